@@ -6,21 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _PART = r"^\d+\s*(-\s*\d+)?$"
+_BEYOND = 1 << 62
 
 
 def _parts(spec: Column) -> Column:
     return F.transform(F.split(F.lower(F.trim(spec)), ","), lambda p: F.trim(p))
 
 
+def _number(digits: Column) -> Column:
+    """Digits as bigint; longer ones than fit lie beyond every document."""
+    return F.coalesce(digits.try_cast("bigint"), F.lit(_BEYOND))
+
+
 def _bounds(part: Column) -> Column:
-    """Ordered first and last page of one well-formed part; null where a number exceeds bigint."""
-    first = F.regexp_extract(part, r"^(\d+)", 1).try_cast("bigint")
+    """Ordered first and last page of one well-formed part."""
+    first = _number(F.regexp_extract(part, r"^(\d+)", 1))
     second = F.regexp_extract(part, r"-\s*(\d+)$", 1)
-    last = F.when(second == "", first).otherwise(second.try_cast("bigint"))
-    known = first.isNotNull() & last.isNotNull()
+    last = F.when(second == "", first).otherwise(_number(second))
     return F.struct(
-        F.when(known, F.least(first, last)).alias("first"),
-        F.when(known, F.greatest(first, last)).alias("last"),
+        F.least(first, last).alias("first"), F.greatest(first, last).alias("last")
     )
 
 

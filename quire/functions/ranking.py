@@ -14,6 +14,7 @@ def number_rows(
     bucket: Column,
     order: Sequence[Column],
     out: str = "row_number",
+    newest_first: bool = False,
 ) -> DataFrame:
     """``row_number() over (partition by keys order by bucket, order)`` for groups of any size.
 
@@ -21,12 +22,13 @@ def number_rows(
     (a minute of the timestamp, a block of page numbers; a struct of several is fine).
     Rows are numbered inside (keys, bucket), and the sizes of the earlier buckets,
     counted with map-side aggregation, are added. Only bucket sizes, never rows,
-    meet in one task per key.
+    meet in one task per key. With ``newest_first`` buckets run downwards.
     """
     keys = list(keys)
     bucketed = df.withColumn("_bucket", bucket)
     sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
+    direction = F.desc("_bucket") if newest_first else F.asc("_bucket")
+    earlier = Window.partitionBy(*keys).orderBy(direction).rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = sizes.select(
