@@ -18,7 +18,8 @@ MAX_ERROR = 500
 def batch_request_lines(images: DataFrame) -> DataFrame:
     """One request line per (custom_id, content, mime_type) page image."""
     safe = F.when(F.col("mime_type").startswith("image/"), F.col("mime_type")).otherwise("image/png")
-    url = F.concat(F.lit("data:"), safe, F.lit(";base64,"), F.base64("content"))
+    packed = F.replace(F.base64("content"), F.lit("\r\n"), F.lit(""))
+    url = F.concat(F.lit("data:"), safe, F.lit(";base64,"), packed)
     body = F.struct(
         F.struct(F.lit("image_url").alias("type"), url.alias("image_url")).alias("document"),
         F.lit(True).alias("include_image_base64"),

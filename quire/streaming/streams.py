@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.ranking import minute_of
@@ -91,8 +91,7 @@ def stream_latency_ewma(
     """Running moving average per key. Batches must arrive in time order.
 
     A micro-batch is reduced to (n, s, first) per key, with the ranks spread over time buckets, so
-    a busy key never sits in one task. Composing two batches is s = s1*keep**n2 + s2, which the
-    reader applies to the few log rows of each key.
+    a busy key never sits in one task. Composing two batches is s = s1*keep**n2 + s2.
     """
 
     def reduce_batch(batch: DataFrame) -> DataFrame:
@@ -101,18 +100,21 @@ def stream_latency_ewma(
         )
 
     run_log(samples, reduce_batch, path)
-    log = read_log(spark, path)
-    ordered = F.array_sort(F.collect_list(F.struct("batch_id", "n", "s", "first")))
-    folded = F.aggregate(
-        F.col("_parts"),
-        F.lit(None).cast("double"),
-        lambda acc, p: F.coalesce(
-            acc * F.pow(F.lit(keep), p["n"]) + p["s"],
-            p["s"] + p["first"] * F.pow(F.lit(keep), p["n"]),
-        ),
+    merged = merge_ewma(read_log(spark, path), key, keep)
+    return merged.select(
+        key, (F.col("s") + F.col("first") * F.pow(F.lit(keep), F.col("n"))).alias("ewma"),
+        F.col("n").alias("samples"),
     )
-    return log.groupBy(key).agg(ordered.alias("_parts"), F.sum("n").alias("samples")).select(
-        key, folded.alias("ewma"), "samples"
+
+
+def merge_ewma(log: DataFrame, key: str, keep: float = 0.8) -> DataFrame:
+    """One (n, s, first) row per key from a log of them; the result can start a compacted log."""
+    newer = Window.partitionBy(key).orderBy(F.desc("batch_id")).rowsBetween(Window.unboundedPreceding, -1)
+    later = F.coalesce(F.sum("n").over(newer), F.lit(0))
+    return log.withColumn("_later", later).groupBy(key).agg(
+        F.sum(F.col("s") * F.pow(F.lit(keep), F.col("_later"))).alias("s"),
+        F.min_by("first", "batch_id").alias("first"),
+        F.sum("n").alias("n"),
     )
 
 
