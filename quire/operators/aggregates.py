@@ -195,7 +195,8 @@ def scheduler_snapshot(
         F.count_if(F.col("rate_limited")).alias("rate_limit_events"),
         F.max_by("status", F.struct("ts", "event_id")).alias("last_status"),
     )
-    return counted.join(latest_ewma, "processing_mode", "left").select(
+    latest = latest_ewma.select("processing_mode", "ewma")
+    return counted.join(latest, "processing_mode", "left").select(
         "processing_mode",
         F.lit(limit).alias("pages_per_minute_limit"),
         F.lit(round(limit * utilization)).alias("target_pages_per_minute"),

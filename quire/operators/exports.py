@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import ASSET_REFERENCE, asset_url, export_stem
+from quire.functions.text import ASSET_REFERENCE, asset_url, export_stem, interleave
 
 SEPARATOR = "\n\n---\n\n"
 _PAGE = ["document_id", "page_number"]
@@ -114,23 +114,20 @@ def resolve_asset_links(pages: DataFrame, assets: DataFrame) -> DataFrame:
         .groupBy(*_PAGE)
         .agg(F.collect_set("filename").alias("_known"))
     )
-    pieces = F.split("markdown", ASSET_REFERENCE)
     opens = F.regexp_extract_all("markdown", F.lit(ASSET_REFERENCE), F.lit(1))
-    url = lambda name: F.when(
-        F.array_contains("_known", name),
-        asset_url(F.col("session_id").cast("string"), F.col("document_id").cast("string"), name),
-    ).otherwise(F.concat(F.lit("assets/"), name))
-    rebuilt = F.transform(
-        pieces,
-        lambda piece, i: F.concat(
-            piece,
-            F.when(i < F.size(names), F.concat(F.get(opens, i), url(F.get(names, i)), F.lit(")"))).otherwise(""),
-        ),
-    )
+
+    def link(reference: Column) -> Column:
+        name = reference["name"]
+        url = asset_url(F.col("session_id").cast("string"), F.col("document_id").cast("string"), name)
+        target = F.when(F.array_contains("_known", name), url).otherwise(F.concat(F.lit("assets/"), name))
+        return F.concat(reference["open"], target, F.lit(")"))
+
+    links = F.transform(F.arrays_zip(opens.alias("open"), names.alias("name")), link)
+    rebuilt = interleave(F.split("markdown", ASSET_REFERENCE), links)
     joined = pages.join(known, _PAGE, "left")
     return joined.withColumn(
         "markdown",
-        F.when(F.col("_known").isNull(), F.col("markdown")).otherwise(F.array_join(rebuilt, "")),
+        F.when(F.col("_known").isNull(), F.col("markdown")).otherwise(rebuilt),
     ).drop("_known")
 
 

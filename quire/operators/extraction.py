@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import dedupe_string_list
-from quire.templates import TEMPLATES, Field, Template
+from quire.templates import TEMPLATES, Field, Group, Template
 
 MAX_TEXT = 4000
 MAX_ITEMS = 500
@@ -81,6 +82,20 @@ def _list_error(parsed: Column, key: str) -> Column:
     return F.when(~_kind(_child(parsed, key)).isin("ARRAY", "VOID"), "Repeated fields must be lists")
 
 
+def _item_of(group: Group) -> Callable[[Column], Column]:
+    return lambda item: F.when(
+        _kind(item) == "OBJECT", F.struct(*[_leaf(f, item) for f in group.fields])
+    )
+
+
+def _item_error_of(fields: list[Field]) -> Callable[[Column], Column]:
+    return lambda item: F.coalesce(*[_leaf_error(f, item) for f in fields])
+
+
+def _item_line_of(group: Group) -> Callable[[Column], Column]:
+    return lambda item: _csv_line([cell_text(f, item) for f in group.fields])
+
+
 def normalize_extraction(df: DataFrame, template_id: str, parsed: str = "parsed") -> DataFrame:
     """Adds ``data`` (the template's struct) and fills ``error``; data is null where error is set.
 
@@ -94,14 +109,7 @@ def normalize_extraction(df: DataFrame, template_id: str, parsed: str = "parsed"
     columns += [_leaf(f, value) for f in template.scalars]
     for group in template.tables:
         items = _items(value, group.key)
-        columns.append(
-            F.transform(
-                items,
-                lambda item, g=group: F.when(
-                    _kind(item) == "OBJECT", F.struct(*[_leaf(f, item) for f in g.fields])
-                ),
-            ).alias(group.key)
-        )
+        columns.append(F.transform(items, _item_of(group)).alias(group.key))
         errors.append(_list_error(value, group.key))
         errors.append(
             F.when(
@@ -111,10 +119,7 @@ def normalize_extraction(df: DataFrame, template_id: str, parsed: str = "parsed"
         )
         number_fields = [f for f in group.fields if f.is_number]
         if number_fields:
-            item_errors = F.transform(
-                items,
-                lambda item, fields=number_fields: F.coalesce(*[_leaf_error(f, item) for f in fields]),
-            )
+            item_errors = F.transform(items, _item_error_of(number_fields))
             errors.append(F.get(F.filter(item_errors, lambda e: e.isNotNull()), F.lit(0)))
     for key, _label in template.lists:
         columns.append(dedupe_string_list(F.transform(_items(value, key), _text)).alias(key))
@@ -192,12 +197,7 @@ def extraction_csv_rows(df: DataFrame, template_id: str, data: str = "data") ->
     for group in template.tables:
         titles = [F.lit(f.label) for f in group.fields]
         parts.append(F.array(F.lit(""), _csv_line([F.lit(group.title)]), _csv_line(titles)))
-        parts.append(
-            F.transform(
-                value[group.key],
-                lambda item, g=group: _csv_line([cell_text(f, item) for f in g.fields]),
-            )
-        )
+        parts.append(F.transform(value[group.key], _item_line_of(group)))
     ids = [c for c in df.columns if c != data]
     lines = reduce(lambda a, b: F.concat(a, b), parts)
     return df.where(value.isNotNull()).select(*ids, F.posexplode(lines).alias("_pos", "line")).select(

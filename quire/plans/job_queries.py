@@ -11,10 +11,6 @@ from quire.plans.registry import bind, query
 from quire.session import table
 
 
-def text(name: str):
-    return F.col(name).cast("string").alias(name)
-
-
 _ROLLUP = """
     SELECT job_id, count(*) AS total_pages,
            CAST(count(*) FILTER (status = 'completed') AS BIGINT) AS completed_pages,
@@ -703,7 +699,7 @@ def _shout(document: int, page: int, markdown: str) -> str:
     """Deterministic stand-in for a page model: fails on long pages, shortly on some."""
     if len(markdown) > 3000:
         raise ValueError("page too long")
-    return f"{document}/{page}:{markdown.upper()[:40]}:{len(markdown)}"
+    return f"{document}/{page}:{markdown.replace(' ', '_')[:40]}:{len(markdown)}"
 
 
 @query(
@@ -711,7 +707,7 @@ def _shout(document: int, page: int, markdown: str) -> str:
     """
     SELECT document_id, page_number,
            CASE WHEN length(markdown) <= 3000 THEN concat(document_id, '/', page_number, ':',
-                substr(upper(markdown), 1, 40), ':', length(markdown)) END AS result,
+                substr(replace(markdown, ' ', '_'), 1, 40), ':', length(markdown)) END AS result,
            CASE WHEN length(markdown) > 3000 THEN 'page too long' END AS error,
            CAST(CASE WHEN length(markdown) > 3000 THEN 3 ELSE 1 END AS INTEGER) AS attempts
     FROM [[doc_pages]]

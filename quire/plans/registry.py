@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.plans.bindings import BINDINGS
-from quire.session import table
+from quire.session import stream_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +40,13 @@ def bind(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.sql(text, **tables)
 
 
+def bind_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The binding over a file stream of its table, for bindings of a single table without joins."""
+    text = _spell(_expand(BINDINGS[name]), _SPARK)
+    tables = {t: stream_table(spark, root, t) for t in set(re.findall(r"\{(\w+)\}", text))}
+    return spark.sql(text, **tables)
+
+
 def reference_sql(text: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", _spell(_expand(text), _DUCK)).strip()
 

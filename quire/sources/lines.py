@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +68,7 @@ def batch_result_lines(spark: SparkSession, path: str, error_path: str | None =
 
 def clamp_confidence(value: Column) -> Column:
     number = value.try_cast("double")
-    return F.when(~F.isnan(number), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
+    return F.when(number.isNotNull() & ~F.isnan(number), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
 
 def map_provider_page(results: DataFrame, body: str = "body") -> DataFrame:
@@ -88,7 +90,7 @@ def map_provider_page(results: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def parse_api_log(lines: DataFrame) -> DataFrame:
+def parse_api_log(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``[ts] event | detail | k=v k=v`` as (ts, event, detail, extra map); detail and extra are optional."""
     value = F.col("value")
     fields = F.split(F.regexp_replace(value, r"^\[[^\]]*\] ", ""), r" \| ")
@@ -97,6 +99,7 @@ def parse_api_log(lines: DataFrame) -> DataFrame:
     extra = F.coalesce(third, F.when(second.rlike(pairs), second))
     detail = F.when(third.isNotNull() | ~second.rlike(pairs), second)
     return lines.where(value.startswith("[")).select(
+        *keep,
         F.regexp_extract(value, r"^\[([^\]]*)\]", 1).try_cast("timestamp_ntz").alias("ts"),
         F.get(fields, F.lit(0)).alias("event"),
         detail.alias("detail"),
