@@ -1,10 +1,10 @@
-"""Evaluate an array expression once and use it many times inside a higher-order function."""
+"""Evaluate an expensive expression once where it is used many times."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,3 +12,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value bound once; captured expressions inside lambdas would
     otherwise be evaluated again for every element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``withColumn`` whose value is computed exactly once per row.
+
+    A one-element generator keeps the optimiser from copying the expression into every later use
+    and into filters pushed below it.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.binding import computed
 from quire.functions.text import dedupe_string_list
 from quire.templates import TEMPLATES, Field, Group, Template
 
@@ -20,113 +21,126 @@ _TRIMMED = r"^\s+|\s+$"
 def parse_annotation(df: DataFrame, json: str = "annotation") -> DataFrame:
     """Adds ``parsed`` (variant, objects only) and ``error``."""
     raw = F.col(json)
-    parsed = F.try_parse_json(raw)
-    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
+    read = computed(df, "_read", F.try_parse_json(raw))
+    is_object = F.schema_of_variant("_read").startswith("OBJECT")
     error = (
         F.when(raw.isNull() | (F.trim(raw) == ""), "no structured extraction")
-        .when(parsed.isNull(), "not valid JSON")
+        .when(F.col("_read").isNull(), "not valid JSON")
         .when(~is_object, "invalid structured extraction")
     )
-    return df.withColumn("parsed", F.when(is_object, parsed)).withColumn("error", error)
+    judged = computed(read, "error", error)
+    return judged.withColumn("parsed", F.when(F.col("error").isNull(), F.col("_read"))).drop("_read")
 
 
-def _kind(value: Column) -> Column:
-    """Leading type word of a variant; null variants and absent keys are VOID."""
-    return F.coalesce(F.regexp_extract(F.schema_of_variant(value), r"^([A-Z]+)", 1), F.lit("VOID"))
+def _raw_leaves(fields: Sequence[Field], parent: Column) -> list[Column]:
+    """Each scalar as text; nested JSON given for a scalar keeps its JSON form."""
+    return [F.try_variant_get(parent, f"$.{f.key}", "string").alias(f.key) for f in fields]
 
 
-def _child(value: Column, key: str) -> Column:
-    return F.try_variant_get(value, f"$.{key}", "variant")
+def _raw_list(parsed: Column, key: str) -> Column:
+    return F.struct(
+        F.slice(F.try_variant_get(parsed, f"$.{key}", "array<variant>"), 1, MAX_ITEMS).alias("items"),
+        F.try_variant_get(parsed, f"$.{key}", "string").isNotNull().alias("given"),
+    ).alias(key)
 
 
-def _text(value: Column) -> Column:
-    """Trimmed text cut to the limit, blank as null. Nested JSON given for text keeps its JSON form."""
-    raw = F.try_variant_get(value, "$", "string")
+def _raw_item_of(group: Group) -> Callable[[Column], Column]:
+    """(is_object, is_null, leaves) of one entry."""
+    return lambda item: F.struct(
+        F.schema_of_variant(item).startswith("OBJECT").alias("is_object"),
+        F.is_variant_null(item).alias("is_null"),
+        *_raw_leaves(group.fields, item),
+    )
+
+
+def _text(raw: Column) -> Column:
+    """Trimmed text cut to the limit, blank as null."""
     trimmed = F.regexp_replace(raw, _TRIMMED, "")
     return F.when(trimmed != "", F.substring(trimmed, 1, MAX_TEXT))
 
 
-def _number(value: Column) -> Column:
-    return F.round(F.try_variant_get(value, "$", "string").try_cast("double"), 6)
+def _number(raw: Column) -> Column:
+    return F.round(raw.try_cast("double"), 6)
 
 
-def _number_error(value: Column) -> Column:
+def _number_error(raw: Column) -> Column:
     """A blank string counts as absent, as does null; anything else must be a finite amount."""
-    raw = F.try_variant_get(value, "$", "string")
     number = raw.try_cast("double")
-    kind = _kind(value)
-    return (
-        F.when(
-            (kind == "BOOLEAN") | kind.isin("OBJECT", "ARRAY") | (raw.isNotNull() & (raw != "") & number.isNull()),
-            "Amounts must be numbers",
-        )
-        .when(F.isnan(number) | (F.abs(number) >= _AMOUNT_BOUND), "Amount is outside the supported range")
+    return F.when(raw.isNotNull() & (raw != "") & number.isNull(), "Amounts must be numbers").when(
+        F.isnan(number) | (F.abs(number) >= _AMOUNT_BOUND), "Amount is outside the supported range"
     )
 
 
-def _leaf(field: Field, parent: Column) -> Column:
-    child = _child(parent, field.key)
-    return (_number(child) if field.is_number else _text(child)).alias(field.key)
+def _leaves(fields: Sequence[Field], raw: Column) -> list[Column]:
+    return [(_number(raw[f.key]) if f.is_number else _text(raw[f.key])).alias(f.key) for f in fields]
 
 
-def _leaf_error(field: Field, parent: Column) -> Column | None:
-    return _number_error(_child(parent, field.key)) if field.is_number else None
-
-
-def _items(parsed: Column, key: str) -> Column:
-    listed = F.try_variant_get(_child(parsed, key), "$", "array<variant>")
-    return F.coalesce(F.slice(listed, 1, MAX_ITEMS), F.array().cast("array<variant>"))
-
-
-def _list_error(parsed: Column, key: str) -> Column:
-    return F.when(~_kind(_child(parsed, key)).isin("ARRAY", "VOID"), "Repeated fields must be lists")
+def _leaf_errors(fields: Sequence[Field], raw: Column) -> list[Column]:
+    return [_number_error(raw[f.key]) for f in fields if f.is_number]
 
 
 def _item_of(group: Group) -> Callable[[Column], Column]:
-    return lambda item: F.when(
-        _kind(item) == "OBJECT", F.struct(*[_leaf(f, item) for f in group.fields])
-    )
+    return lambda item: F.when(item["is_object"], F.struct(*_leaves(group.fields, item)))
 
 
-def _item_error_of(fields: list[Field]) -> Callable[[Column], Column]:
-    return lambda item: F.coalesce(*[_leaf_error(f, item) for f in fields])
+def _item_error_of(group: Group) -> Callable[[Column], Column]:
+    return lambda item: F.when(
+        ~item["is_object"] & ~item["is_null"], "Structured sections must be objects"
+    ).when(item["is_object"], F.coalesce(F.lit(None).cast("string"), *_leaf_errors(group.fields, item)))
 
 
 def _item_line_of(group: Group) -> Callable[[Column], Column]:
     return lambda item: _csv_line([cell_text(f, item) for f in group.fields])
 
 
+def _first_error(errors: Column) -> Column:
+    return F.get(F.filter(errors, lambda e: e.isNotNull()), F.lit(0))
+
+
 def normalize_extraction(df: DataFrame, template_id: str, parsed: str = "parsed") -> DataFrame:
     """Adds ``data`` (the template's struct) and fills ``error``; data is null where error is set.
 
     Undeclared keys vanish, text is trimmed, amounts are rounded to six places, repeated
     sections hold at most 500 entries, and the first failing field names the error.
+    The variant is read once into raw text, which the rules then work on.
     """
     template = TEMPLATES[template_id]
     value = F.col(parsed)
-    errors: list[Column] = [e for f in template.scalars if (e := _leaf_error(f, value)) is not None]
-    columns: list[Column] = [F.lit(template.id).alias("document_type")]
-    columns += [_leaf(f, value) for f in template.scalars]
+    repeated = [group.key for group in template.tables] + [key for key, _ in template.lists]
+    lists = computed(df, "_lists", F.struct(*[_raw_list(value, key) for key in repeated]))
+    raw_items = [
+        F.transform(F.col("_lists")[g.key]["items"], _raw_item_of(g)).alias(g.key) for g in template.tables
+    ]
+    raw_texts = [
+        F.transform(
+            F.col("_lists")[key]["items"], lambda item: F.try_variant_get(item, "$", "string")
+        ).alias(key)
+        for key, _ in template.lists
+    ]
+    read = computed(
+        lists, "_raw", F.struct(*_raw_leaves(template.scalars, value), *raw_items, *raw_texts)
+    )
+    raw = F.col("_raw")
+    columns = [F.lit(template.id).alias("document_type"), *_leaves(template.scalars, raw)]
+    errors = _leaf_errors(template.scalars, raw)
     for group in template.tables:
-        items = _items(value, group.key)
-        columns.append(F.transform(items, _item_of(group)).alias(group.key))
-        errors.append(_list_error(value, group.key))
-        errors.append(
-            F.when(
-                F.exists(items, lambda item: ~_kind(item).isin("OBJECT", "VOID")),
-                "Structured sections must be objects",
-            )
-        )
-        number_fields = [f for f in group.fields if f.is_number]
-        if number_fields:
-            item_errors = F.transform(items, _item_error_of(number_fields))
-            errors.append(F.get(F.filter(item_errors, lambda e: e.isNotNull()), F.lit(0)))
+        empty = F.array().cast(template.struct_type()[group.key].dataType)
+        columns.append(F.coalesce(F.transform(raw[group.key], _item_of(group)), empty).alias(group.key))
+        errors.append(_first_error(F.transform(raw[group.key], _item_error_of(group))))
     for key, _label in template.lists:
-        columns.append(dedupe_string_list(F.transform(_items(value, key), _text)).alias(key))
-        errors.append(_list_error(value, key))
-    error = F.coalesce(F.col("error"), *errors) if "error" in df.columns else F.coalesce(*errors)
-    return df.withColumn("error", error).withColumn(
-        "data", F.when(F.col("error").isNull() & value.isNotNull(), F.struct(*columns))
+        unique = dedupe_string_list(F.transform(raw[key], _text))
+        columns.append(F.coalesce(unique, F.array().cast("array<string>")).alias(key))
+    for key in repeated:
+        part = F.col("_lists")[key]
+        errors.append(F.when(part["given"] & part["items"].isNull(), "Repeated fields must be lists"))
+    known = [F.col("error")] if "error" in df.columns else []
+    found = F.coalesce(*known, *errors)
+    worked = computed(read, "_n", F.struct(found.alias("error"), F.struct(*columns).alias("data")))
+    fine = F.col("_n.error").isNull() & value.isNotNull()
+    return (
+        worked.withColumn("data", F.when(fine, F.col("_n.data")))
+        .withColumn("error", F.col("_n.error"))
+        .drop("_n", "_raw", "_lists")
     )
 
 

@@ -7,11 +7,14 @@ frequency is the number of page tokens with that prefix, and the corpus is all p
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.binding import computed
 from quire.functions.tokens import (
     MAX_QUERY_CHARS,
     MAX_QUERY_TOKENS,
@@ -36,23 +39,25 @@ def inverted_index(pages: DataFrame) -> DataFrame:
     Tokens are counted inside the page's own row (its sorted tokens are cut into runs), so the
     postings come out of the scan without any shuffle.
     """
-    sorted_tokens = F.sort_array(tokens(F.col("markdown")))
-    split = pages.select(*_PAGE, sorted_tokens.alias("_t")).where(F.size("_t") > 0)
+    split = computed(pages.select(*_PAGE, "markdown"), "_t", F.sort_array(tokens(F.col("markdown")))).drop(
+        "markdown"
+    )
+    token = F.col("_t")
     starts = F.filter(
-        F.sequence(F.lit(1), F.size("_t")),
-        lambda i: (i == 1) | (F.get(F.col("_t"), i - 1) != F.get(F.col("_t"), i - 2)),
+        F.transform(token, lambda t, i: F.when((i == 0) | (t != F.get(token, i - 1)), i)),
+        lambda i: i.isNotNull(),
     )
+    runs = computed(split, "_starts", starts)
+    begin = F.col("_starts")
     counted = F.transform(
-        F.col("_starts"),
+        begin,
         lambda start, i: F.struct(
-            F.get(F.col("_t"), start - 1).alias("token"),
-            (F.coalesce(F.get(F.col("_starts"), i + 1), F.size("_t") + 1) - start).alias("tf"),
+            F.get(token, start).alias("token"),
+            (F.coalesce(F.get(begin, i + 1), F.size(token)) - start).alias("tf"),
         ),
     )
-    return (
-        split.withColumn("_starts", starts)
-        .select(*_PAGE, F.size("_t").alias("dl"), F.explode(counted).alias("_c"))
-        .select("_c.token", *_PAGE, "_c.tf", "dl")
+    return runs.select(*_PAGE, F.size(token).alias("dl"), F.explode(counted).alias("_c")).select(
+        "_c.token", *_PAGE, "_c.tf", "dl"
     )
 
 
@@ -72,8 +77,6 @@ def search_terms(query: str) -> list[str]:
     """Folded prefix terms of a literal query; repeats are kept, over-long queries give none."""
     if len(query) > MAX_QUERY_CHARS:
         return []
-    import unicodedata
-
     folded = "".join(
         c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c)
     )
@@ -89,6 +92,53 @@ def _gain(tf: Column, dl: Column, avg_length: Column) -> Column:
     return tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / avg_length))
 
 
+def _rank(per_page: DataFrame, terms: list[str], distinct: list[str], corpus: DataFrame) -> DataFrame:
+    """BM25 over rows (document_id, page_number, _dl, _tf0, _tf1, ...), all terms required.
+
+    ``corpus`` is one row with struct ``s`` of n_pages, avg_length and the page counts n0, n1, ...
+    """
+    count = range(len(distinct))
+    found = per_page.where(reduce(lambda a, b: a & b, [F.col(f"_tf{i}") > 0 for i in count])).withColumn(
+        "_s", corpus.scalar()
+    )
+    score = reduce(
+        lambda a, b: a + b,
+        [
+            F.lit(float(terms.count(t)))
+            * _idf(F.col("_s.n_pages"), F.col(f"_s.n{i}"))
+            * _gain(F.col(f"_tf{i}"), F.col("_dl"), F.col("_s.avg_length"))
+            for i, t in enumerate(distinct)
+        ],
+    )
+    return found.select(*_PAGE, score.alias("score"))
+
+
+def search_text(pages: DataFrame, query: str) -> DataFrame:
+    """One query over page text without an index: two scans, no shuffle but a one-row aggregate."""
+    terms = search_terms(query)
+    distinct = list(dict.fromkeys(terms))
+    if not terms:
+        return pages.select(*_PAGE, F.lit(0.0).alias("score")).limit(0)
+    split = computed(pages.select(*_PAGE, "markdown"), "_t", tokens(F.col("markdown")))
+    per_page = split.select(
+        *_PAGE,
+        F.size("_t").alias("_dl"),
+        *[F.size(F.filter("_t", _begins(t))).alias(f"_tf{i}") for i, t in enumerate(distinct)],
+    )
+    corpus = per_page.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("n_pages"),
+            F.avg("_dl").alias("avg_length"),
+            *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"n{i}") for i in range(len(distinct))],
+        ).alias("s")
+    )
+    return _rank(per_page, terms, distinct, corpus)
+
+
+def _begins(term: str) -> Callable[[Column], Column]:
+    return lambda token: token.startswith(term)
+
+
 def search_pages(postings: DataFrame, size: DataFrame, query: str) -> DataFrame:
     """Pages holding every prefix term of one query, with their BM25 ``score``.
 
@@ -110,23 +160,19 @@ def search_pages(postings: DataFrame, size: DataFrame, query: str) -> DataFrame:
             for i, t in enumerate(distinct)
         ],
     )
-    frequencies = per_page.agg(
-        F.struct(*[F.count_if(F.col(f"_tf{i}") > 0).alias(f"n{i}") for i in range(len(distinct))]).alias("f")
-    )
-    corpus = size.select(F.struct("n_pages", "avg_length").alias("s"))
-    found = per_page.where(
-        reduce(lambda a, b: a & b, [F.col(f"_tf{i}") > 0 for i in range(len(distinct))])
-    ).withColumn("_f", frequencies.scalar()).withColumn("_s", corpus.scalar())
-    score = reduce(
-        lambda a, b: a + b,
-        [
-            F.lit(float(terms.count(t)))
-            * _idf(F.col("_s.n_pages"), F.col(f"_f.n{i}"))
-            * _gain(F.col(f"_tf{i}"), F.col("_dl"), F.col("_s.avg_length"))
-            for i, t in enumerate(distinct)
-        ],
+    whole = size.select(F.struct("n_pages", "avg_length").alias("w"))
+    corpus = (
+        per_page.agg(*[F.count_if(F.col(f"_tf{i}") > 0).alias(f"n{i}") for i in range(len(distinct))])
+        .withColumn("_w", whole.scalar())
+        .select(
+            F.struct(
+                F.col("_w.n_pages").alias("n_pages"),
+                F.col("_w.avg_length").alias("avg_length"),
+                *[f"n{i}" for i in range(len(distinct))],
+            ).alias("s")
+        )
     )
-    return found.select(*_PAGE, score.alias("score"))
+    return _rank(per_page, terms, distinct, corpus)
 
 
 def build_search_query(queries: DataFrame, text: str = "query") -> DataFrame:

@@ -69,9 +69,9 @@ def process_batches(
     when it raises, become errors. A group holds at most ``size`` pages.
     """
     types = dict(job_pages.dtypes)
+    keys = ["job_id", "batch_number"]
 
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["priority", "page_number"], ascending=[False, True])
+    def call(batch: pd.DataFrame) -> pd.DataFrame:
         numbers = [int(p) for p in batch["page_number"]]
         try:
             results = fn(numbers, list(batch["markdown"]))
@@ -83,10 +83,25 @@ def process_batches(
         out["error"] = [str(g)[:MAX_ERROR] if isinstance(g, Exception) else None for g in got]
         return out
 
+    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows arrive sorted by batch; the last batch of a chunk may continue in the next one.
+        open_rows = None
+        for chunk in chunks:
+            rows = chunk if open_rows is None else pd.concat([open_rows, chunk], ignore_index=True)
+            last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1)
+            open_rows, closed = rows[last], rows[~last]
+            if len(closed):
+                yield pd.concat([call(g) for _, g in closed.groupby(keys, sort=False)], ignore_index=True)
+        if open_rows is not None:
+            yield call(open_rows)
+
     numbered = micro_batches(job_pages, size)
-    return numbered.select("job_id", "page_number", "priority", "batch_number", "markdown").groupBy(
-        "job_id", "batch_number"
-    ).applyInPandas(
+    ordered = (
+        numbered.select("job_id", "page_number", "priority", "batch_number", "markdown")
+        .repartition(*keys)
+        .sortWithinPartitions(*keys, F.desc("priority"), F.asc("page_number"))
+    )
+    return ordered.mapInPandas(
         run,
         f"job_id {types['job_id']}, page_number {types['page_number']}, batch_number bigint, "
         "result string, error string",

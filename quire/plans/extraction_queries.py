@@ -13,7 +13,7 @@ from quire.templates import template_catalogue
 
 def _result_lines(spark, root):
     """Provider result lines, one per stored page; unstored pages have none."""
-    outcomes = bind(spark, root, "provider_outcomes")
+    outcomes = bind(spark, root, "provider_outcomes", heavy=True)
     page = F.struct(
         "markdown",
         F.array(
@@ -152,7 +152,7 @@ def _invoice_json(spark, root):
         F.substr(fixed, F.lit(1), F.length(fixed) - 1), F.lit(',"total_amount":'), amount, F.lit("}")
     )
     annotation = F.when(noise == 0, F.concat(F.lit("["), whole, F.lit("]"))).otherwise(whole)
-    return bind(spark, root, "invoices").select("document_id", annotation.alias("annotation"))
+    return bind(spark, root, "invoices", heavy=True).select("document_id", annotation.alias("annotation"))
 
 
 def _normalized(spark, root):
@@ -315,7 +315,7 @@ def _answer(content: str) -> str:
     """,
 )
 def _(spark, root):
-    documents = bind(spark, root, "doc_table").select("document_id", "content")
+    documents = bind(spark, root, "doc_table", heavy=True).select("document_id", "content")
     return userfuncs.annotate_documents(documents, _answer, "receipt").select(
         "document_id", "error", "data.merchant_name", "data.total_amount"
     )

@@ -715,7 +715,7 @@ def _shout(document: int, page: int, markdown: str) -> str:
 )
 def _(spark, root):
     return userfuncs.process_pages(
-        bind(spark, root, "doc_pages"), _shout, retryable=lambda error: isinstance(error, ValueError)
+        bind(spark, root, "doc_pages", heavy=True), _shout, retryable=lambda error: isinstance(error, ValueError)
     )
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.plans.bindings import BINDINGS
-from quire.session import stream_table, table
+from quire.session import spread, stream_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,10 +34,12 @@ def _spell(text: str, rules: tuple) -> str:
     return text
 
 
-def bind(spark: SparkSession, root: str, name: str) -> DataFrame:
+def bind(spark: SparkSession, root: str, name: str, heavy: bool = False) -> DataFrame:
+    """A binding as a DataFrame; ``heavy`` spreads few input splits over all cores."""
     text = _spell(_expand(BINDINGS[name]), _SPARK)
     tables = {t: table(spark, root, t) for t in set(re.findall(r"\{(\w+)\}", text))}
-    return spark.sql(text, **tables)
+    bound = spark.sql(text, **tables)
+    return spread(bound) if heavy else bound
 
 
 def bind_stream(spark: SparkSession, root: str, name: str) -> DataFrame:

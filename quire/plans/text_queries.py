@@ -30,7 +30,7 @@ def _tok(column: str) -> str:
     """,
 )
 def _(spark, root):
-    return search.tokenize_pages(bind(spark, root, "doc_pages"))
+    return search.tokenize_pages(bind(spark, root, "doc_pages", heavy=True))
 
 
 _STATS = f"""
@@ -50,7 +50,7 @@ _STATS = f"""
     """,
 )
 def _(spark, root):
-    return corpus_stats(bind(spark, root, "doc_pages"))
+    return corpus_stats(bind(spark, root, "doc_pages", heavy=True))
 
 
 @query(
@@ -62,7 +62,7 @@ def _(spark, root):
     """,
 )
 def _(spark, root):
-    return search.inverted_index(bind(spark, root, "doc_pages"))
+    return search.inverted_index(bind(spark, root, "doc_pages", heavy=True))
 
 
 @query(
@@ -110,7 +110,7 @@ _FIXED = "SELECT 0 AS query_id, unnest(['the', 'tion']) AS term"
 
 @query("search_pages", _score(_FIXED) + "SELECT document_id, page_number, score FROM hits")
 def _(spark, root):
-    pages = bind(spark, root, "doc_pages")
+    pages = bind(spark, root, "doc_pages", heavy=True)
     hits = search.search_pages(search.inverted_index(pages), corpus_size(pages), FIXED_QUERY)
     return hits.withColumn("score", F.round("score", 6))
 
@@ -126,8 +126,7 @@ def _(spark, root):
     """,
 )
 def _(spark, root):
-    pages = bind(spark, root, "doc_pages")
-    hits = search.search_pages(search.inverted_index(pages), corpus_size(pages), FIXED_QUERY)
+    hits = search.search_text(bind(spark, root, "doc_pages", heavy=True), FIXED_QUERY)
     documents = bind(spark, root, "doc_table").select("document_id", "session_id")
     sessions = bind(spark, root, "session_table").select(
         "session_id", F.col("session_updated_at").alias("updated_at")
@@ -148,7 +147,7 @@ def _(spark, root):
     """,
 )
 def _(spark, root):
-    pages = bind(spark, root, "doc_pages")
+    pages = bind(spark, root, "doc_pages", heavy=True)
     short = bind(spark, root, "user_queries").select(
         "query_id", F.array_join(F.slice(tokens(F.col("query")), 1, 2), " ").alias("query")
     )
@@ -172,7 +171,7 @@ _WORDS = "regexp_split_to_array(trim({}, ' ' || chr(9) || chr(10) || chr(13)), '
     """.replace("{{", "{").replace("}}", "}"),
 )
 def _(spark, root):
-    return search.search_excerpt(bind(spark, root, "doc_pages"), FIXED_QUERY).drop("markdown")
+    return search.search_excerpt(bind(spark, root, "doc_pages", heavy=True), FIXED_QUERY).drop("markdown")
 
 
 @query(
@@ -187,7 +186,7 @@ def _(spark, root):
 )
 def _(spark, root):
     terms = ["The", "tion", "a+", "the"]
-    return bind(spark, root, "doc_pages").select(
+    return bind(spark, root, "doc_pages", heavy=True).select(
         "document_id", "page_number",
         text.mark_terms(F.col("markdown"), terms).alias("markdown"),
         text.first_match(F.col("markdown"), terms).cast("string").alias("first_match"),
@@ -207,7 +206,7 @@ _LINES = "string_split(markdown, chr(10))"
     """,
 )
 def _(spark, root):
-    return bind(spark, root, "doc_pages").withColumn("markdown", text.soft_breaks(F.col("markdown")))
+    return bind(spark, root, "doc_pages", heavy=True).withColumn("markdown", text.soft_breaks(F.col("markdown")))
 
 
 _STRUCTURED = (
@@ -227,7 +226,7 @@ _STRUCTURED = (
 )
 def _(spark, root):
     """The corpus holds no fences or display math; those paths are tested against brute force."""
-    return bind(spark, root, "doc_pages").withColumn("markdown", text.hard_breaks(F.col("markdown")))
+    return bind(spark, root, "doc_pages", heavy=True).withColumn("markdown", text.hard_breaks(F.col("markdown")))
 
 
 @query("escape_html", "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM {pages}")
@@ -257,7 +256,7 @@ def _images(spark, root):
     first = F.when(F.length(markdown) % 4 == 0, F.lit("data:image/jpeg;base64,@@@")).otherwise(
         F.concat(F.lit("data:image/jpeg;base64,"), packed)
     )
-    return bind(spark, root, "page_table").select(
+    return bind(spark, root, "page_table", heavy=True).select(
         "document_id", "page_number",
         F.concat(markdown, F.lit(" ![fig.jpeg](fig.jpeg) ![x.png](x.png) ![gone.gif](gone.gif)")).alias("markdown"),
         F.array(
@@ -351,7 +350,7 @@ def _embedded(spark, root):
     markdown = F.col("markdown")
     packed = F.base64(F.to_binary(F.substring(markdown, 1, 30), F.lit("utf-8")))
     first = F.when(F.length(markdown) % 3 == 0, F.concat(packed, F.lit("A"))).otherwise(packed)
-    pages = bind(spark, root, "page_table").select(
+    pages = bind(spark, root, "page_table", heavy=True).select(
         "document_id", "page_number",
         F.concat(
             F.lit("![one](data:image/JPEG;base64,"), first, F.lit(") "), markdown,
@@ -469,7 +468,7 @@ def _(spark, root):
 )
 def _(spark, root):
     words = F.split(F.regexp_replace("markdown", r"^\s+|\s+$", ""), r"\s+")
-    return bind(spark, root, "page_table").select(
+    return bind(spark, root, "page_table", heavy=True).select(
         "document_id", "page_number", F.array_join(text.dedupe_string_list(words), " ").alias("words")
     )
 

@@ -12,6 +12,15 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """More tasks for CPU-heavy row work when the scan has fewer splits than there are cores.
+
+    Tables of many files have more splits than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stream_table(spark: SparkSession, root: str, name: str, **options: object) -> DataFrame:
     """The same table as a file stream. The glob lets it be one file or a folder of part files."""
     schema = table(spark, root, name).schema
