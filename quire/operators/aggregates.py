@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.ranking import number_rows
+from quire.functions.skew import attach
 from quire.functions.tokens import tokens, word_count
 
 PAGES_PER_MINUTE = 1250
@@ -58,7 +59,7 @@ def assign_sort_order(
     """New rows with the numbers following the owner's largest ``sort_order``."""
     top = existing.groupBy(owner).agg(F.max("sort_order").alias("_top"))
     numbered = number_rows(new, [owner], bucket, order, "_rank")
-    return numbered.join(top, owner, "left").withColumn(
+    return attach(numbered, top, [owner]).withColumn(
         "sort_order", F.coalesce("_top", F.lit(-1)) + F.col("_rank")
     ).drop("_top", "_rank")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.skew import attach
 from quire.functions.text import ASSET_REFERENCE, asset_url, export_stem, interleave
 
 SEPARATOR = "\n\n---\n\n"
@@ -48,7 +49,7 @@ def document_markdown(
         F.floor((F.min("page_number") - 1) / F.lit(block)).alias("_first")
     )
     info = documents.select("document_id", "num_pages").join(first, "document_id")
-    joined = parts.join(info, "document_id")
+    joined = attach(parts, info, ["document_id"], "inner")
     text = F.col("_text")
     if header == "comment":
         single = len("<!-- Page 1 -->\n\n") + 1
@@ -85,7 +86,7 @@ def package_manifest(
     text_rows = base.join(sizes, "document_id", "left").select(
         "document_id", F.concat(stem, F.lit("_markdown.md")).alias("path"), total.alias("bytes")
     )
-    asset_rows = assets.join(documents.select("document_id"), "document_id", "left_semi").select(
+    asset_rows = attach(assets, documents.select("document_id"), ["document_id"], "left_semi").select(
         "document_id",
         F.concat(F.lit("assets/"), F.col("filename")).alias("path"),
         F.octet_length("content").cast("bigint").alias("bytes"),
@@ -110,7 +111,7 @@ def resolve_asset_links(pages: DataFrame, assets: DataFrame) -> DataFrame:
     names = F.regexp_extract_all("markdown", F.lit(ASSET_REFERENCE), F.lit(2))
     links = pages.select(*_PAGE, F.explode(F.array_distinct(names)).alias("filename"))
     known = (
-        links.join(assets.select("document_id", "filename").distinct(), ["document_id", "filename"], "left_semi")
+        attach(links, assets.select("document_id", "filename"), ["document_id", "filename"], "left_semi")
         .groupBy(*_PAGE)
         .agg(F.collect_set("filename").alias("_known"))
     )

@@ -11,25 +11,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.skew import attach
+
 
 def search_enrich(hits: DataFrame, documents: DataFrame, sessions: DataFrame,
                   projects: DataFrame, pages: DataFrame) -> DataFrame:
     """Hit rows with document, session, page and, where there is one, project columns."""
-    return (
-        hits.join(documents.select("document_id", "document_name", "session_id"), "document_id")
-        .join(sessions.select("session_id", "session_title", "project_id", "session_updated_at"), "session_id")
-        .join(projects.select("project_id", "project_name"), "project_id", "left")
-        .join(
-            pages.select("document_id", "page_number", "review_status", "confidence_score"),
-            ["document_id", "page_number"],
-        )
+    named = attach(
+        hits, documents.select("document_id", "document_name", "session_id"), ["document_id"], "inner"
+    )
+    titled = attach(
+        named, sessions.select("session_id", "session_title", "project_id", "session_updated_at"),
+        ["session_id"], "inner",
+    )
+    placed = attach(titled, projects.select("project_id", "project_name"), ["project_id"])
+    return placed.join(
+        pages.select("document_id", "page_number", "review_status", "confidence_score"),
+        ["document_id", "page_number"],
     )
 
 
 def owner_scoped(rows: DataFrame, sessions: DataFrame, user_id: Column | int) -> DataFrame:
     """Rows whose session belongs to the owner."""
     owned = sessions.where(F.col("user_id") == user_id).select("session_id")
-    return rows.join(owned, "session_id", "left_semi")
+    return attach(rows, owned, ["session_id"], "left_semi")
 
 
 def print_pages(documents: DataFrame, pages: DataFrame) -> DataFrame:
@@ -62,7 +67,7 @@ def project_session_counts(projects: DataFrame, sessions: DataFrame) -> DataFram
 def delete_cascade(tables: Sequence[tuple[DataFrame, str]], deleted: DataFrame, key: str) -> list[DataFrame]:
     """Remove deleted keys from each (table, key column)."""
     return [
-        table.join(deleted.select(F.col(key).alias(column)), column, "left_anti")
+        attach(table, deleted.select(F.col(key).alias(column)), [column], "left_anti")
         for table, column in tables
     ]
 
@@ -70,7 +75,7 @@ def delete_cascade(tables: Sequence[tuple[DataFrame, str]], deleted: DataFrame,
 def delete_set_null(children: DataFrame, deleted: DataFrame, key: str, column: str) -> DataFrame:
     """Keep the children of deleted parents, with the reference cleared."""
     gone = deleted.select(F.col(key).alias(column)).distinct().withColumn("_gone", F.lit(True))
-    return children.join(gone, column, "left").withColumn(
+    return attach(children, gone, [column]).withColumn(
         column, F.when(F.col("_gone").isNull(), F.col(column))
     ).select(*children.columns)
 
@@ -101,7 +106,7 @@ def reject_stale(results: DataFrame, documents: DataFrame, running: DataFrame |
     current = documents.select(
         "document_id", F.col("checksum").alias("_checksum"), F.lit(True).alias("_exists")
     )
-    joined = results.join(current, "document_id", "left")
+    joined = attach(results, current, ["document_id"])
     reason = F.when(F.col("_exists").isNull(), "document_missing").when(
         F.col("expected_checksum").isNotNull()
         & ~F.col("expected_checksum").eqNullSafe(F.col("_checksum")),
@@ -109,7 +114,7 @@ def reject_stale(results: DataFrame, documents: DataFrame, running: DataFrame |
     )
     if running is not None:
         alive = running.select("document_id", "page_number").distinct().withColumn("_running", F.lit(True))
-        joined = joined.join(alive, ["document_id", "page_number"], "left")
+        joined = attach(joined, alive, ["document_id", "page_number"])
         reason = reason.when(F.col("_running").isNull(), "page_not_running")
     return joined.withColumn("reject_reason", reason).drop("_checksum", "_exists", "_running")
 
@@ -117,7 +122,7 @@ def reject_stale(results: DataFrame, documents: DataFrame, running: DataFrame |
 def find_duplicate_upload(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Reuse the smallest stored id with the same content in the same session."""
     known = existing.groupBy("session_id", "checksum").agg(F.min("document_id").alias("_known"))
-    return incoming.join(known, ["session_id", "checksum"], "left").withColumn(
+    return attach(incoming, known, ["session_id", "checksum"]).withColumn(
         "stored_id", F.coalesce("_known", "document_id")
     ).withColumn("duplicate", F.col("_known").isNotNull()).drop("_known")
 

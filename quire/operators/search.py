@@ -11,10 +11,11 @@ import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.binding import computed
+from quire.functions.skew import attach
 from quire.functions.tokens import (
     MAX_QUERY_CHARS,
     MAX_QUERY_TOKENS,
@@ -61,16 +62,30 @@ def inverted_index(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_index(postings: DataFrame, path: str, buckets: int = 64) -> None:
-    """Store postings in hash buckets, sorted by token so that prefix filters skip row groups.
+def write_index(pages: DataFrame, path: str, buckets: int = 64) -> None:
+    """Store postings and page lengths of a corpus.
 
-    Bucket by (token, document): a token found on a third of all pages is spread over all files.
+    Postings lie in hash buckets of (token, document), so a token found on a third of all pages is
+    spread over all files, and each file is sorted by token, so a prefix filter skips row groups.
     """
-    bucketed = postings.withColumn("bucket", F.pmod(F.xxhash64("token", "document_id"), F.lit(buckets)))
+    bucket = F.pmod(F.xxhash64("token", "document_id"), F.lit(buckets)).cast("int")
     (
-        bucketed.repartition("bucket").sortWithinPartitions("bucket", "token")
-        .write.partitionBy("bucket").parquet(path)
+        inverted_index(pages)
+        .withColumn("bucket", bucket)
+        .repartition("bucket")
+        .sortWithinPartitions("bucket", "token")
+        .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     )
+    lengths = pages.select(*_PAGE, F.size(tokens(F.col("markdown"))).alias("dl"))
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and the one-row corpus size of a stored index."""
+    size = spark.read.parquet(f"{path}/lengths").agg(
+        F.count(F.lit(1)).alias("n_pages"), F.avg("dl").alias("avg_length")
+    )
+    return spark.read.parquet(f"{path}/postings").drop("bucket"), size
 
 
 def search_terms(query: str) -> list[str]:
@@ -203,7 +218,7 @@ def search_many(
         "token",
         F.explode(F.sequence(F.lit(1), F.char_length("token"))).alias("_len"),
     ).select("token", F.substr("token", F.lit(1), F.col("_len")).alias("term"))
-    matched = prefixes.join(terms, "term")
+    matched = attach(prefixes, terms, ["term"], "inner")
     term_pages = (
         postings.join(matched, "token")
         .groupBy("term", *_PAGE)
@@ -220,18 +235,18 @@ def search_many(
         )
     )
     scored = (
-        term_pages.join(weighted, "term")
+        attach(term_pages, weighted, ["term"], "inner")
         .groupBy(key, *_PAGE)
         .agg(
             F.sum(F.col("term_weight") * _gain(F.col("tf"), F.col("dl"), F.col("avg_length"))).alias("score"),
             F.count(F.lit(1)).alias("n_found"),
         )
-        .join(needed, key)
-        .where(F.col("n_found") == F.col("n_terms"))
-        .select(key, *_PAGE, F.round("score", 6).alias("score"))
+    )
+    complete = attach(scored, needed, [key], "inner").where(F.col("n_found") == F.col("n_terms")).select(
+        key, *_PAGE, F.round("score", 6).alias("score")
     )
     order = Window.partitionBy(key).orderBy(F.desc("score"), *_PAGE)
-    return scored.withColumn("rank", F.row_number().over(order)).where(
+    return complete.withColumn("rank", F.row_number().over(order)).where(
         F.col("rank") <= max(1, min(k, 100))
     )
 

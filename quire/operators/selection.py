@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.ranges import lenient_pages, strict_pages
+from quire.functions.skew import attach
 
 ACTIVE_JOB = ("queued", "running", "cancelling")
 TERMINAL_RECOVERABLE = ("failed", "interrupted", "cancelled")
@@ -32,7 +33,7 @@ def requested_pages(parts: DataFrame, key: str = "spec_id") -> DataFrame:
     """
     outside = (F.col("first") < 1) | (F.col("last") > F.col("total_pages"))
     bad = parts.where(outside).select(key).distinct()
-    kept = parts.join(bad, key, "left_anti").where(~outside)
+    kept = attach(parts, bad, [key], "left_anti").where(~outside)
     return kept.select(
         key, F.explode(F.sequence(F.col("first"), F.col("last"))).alias("page_number")
     ).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.skew import attach
 from quire.operators.selection import ACTIVE_JOB
 
 REVIEW_THRESHOLD = 0.80
@@ -130,7 +131,7 @@ def prioritize_pages(job_pages: DataFrame, requests: DataFrame, jobs: DataFrame)
     key = ["job_id", "page_number"]
     open_jobs = jobs.where(F.col("status").isin("queued", "running")).select("job_id", "num_pages")
     wanted = (
-        requests.select(*key).distinct().join(open_jobs, "job_id")
+        attach(requests.select(*key).distinct(), open_jobs, ["job_id"], "inner")
         .where(F.col("page_number").between(1, F.col("num_pages")))
         .select(*key, F.lit(True).alias("_asked"))
     )
@@ -146,10 +147,9 @@ def prioritize_pages(job_pages: DataFrame, requests: DataFrame, jobs: DataFrame)
 def retry_failed(jobs: DataFrame, job_pages: DataFrame) -> DataFrame:
     """Fresh queue rows for the failed and cancelled pages of finished jobs."""
     finished = jobs.where(~F.col("status").isin(*ACTIVE_JOB)).select("job_id")
-    return (
-        job_pages.where(F.col("status").isin("failed", "cancelled"))
-        .join(finished, "job_id", "left_semi")
-        .select("job_id", "page_number", F.lit("queued").alias("status"), F.lit(0).alias("attempts"))
+    unfinished = job_pages.where(F.col("status").isin("failed", "cancelled"))
+    return attach(unfinished, finished, ["job_id"], "left_semi").select(
+        "job_id", "page_number", F.lit("queued").alias("status"), F.lit(0).alias("attempts")
     )
 
 
@@ -184,7 +184,7 @@ def recover_interrupted_pages(jobs: DataFrame, job_pages: DataFrame) -> DataFram
         .otherwise(F.col("error"))
     )
     return (
-        job_pages.join(state, "job_id", "left")
+        attach(job_pages, state, ["job_id"])
         .withColumn("error", error)
         .withColumn("status", F.when(stop, "cancelled").when(resume, "queued").otherwise(status))
         .drop("_cancel", "_resume")
@@ -210,7 +210,7 @@ def finish_cancelled_pages(jobs: DataFrame, job_pages: DataFrame) -> DataFrame:
     """Queued pages of cancelling jobs become cancelled."""
     stopping = jobs.where(F.col("status") == "cancelling").select("job_id").withColumn("_stop", F.lit(True))
     stop = F.coalesce("_stop", F.lit(False)) & (F.col("status") == "queued")
-    return job_pages.join(stopping, "job_id", "left").withColumn(
+    return attach(job_pages, stopping, ["job_id"]).withColumn(
         "status", F.when(stop, "cancelled").otherwise(F.col("status"))
     ).drop("_stop")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.ranking import number_rows, page_block
+from quire.functions.skew import flag_first
 from quire.functions.text import decode_data_url
 from quire.operators.selection import ACTIVE_JOB
 
@@ -27,14 +28,12 @@ def resolve_claims(
 ) -> DataFrame:
     """Marks each claim ``won`` (earliest of its key in ``order``) or ``duplicate_claim``.
 
-    The winner per key is a map-side minimum joined back, so a key claimed by a third of all
-    rows is never sorted in one task. ``order`` must tell any two claims of a key apart.
+    ``order`` must tell any two claims of a key apart.
     """
-    rank = F.struct(*[F.col(c) for c in order])
-    winners = claims.groupBy(*keys).agg(F.min(rank).alias("_first"))
-    return claims.join(winners, list(keys)).withColumn(
-        "outcome", F.when(rank == F.col("_first"), "won").otherwise("duplicate_claim")
-    ).drop("_first")
+    flagged = flag_first(claims, keys, [F.col(c) for c in order], order, "_won")
+    return flagged.withColumn(
+        "outcome", F.when(F.col("_won"), "won").otherwise("duplicate_claim")
+    ).drop("_won")
 
 
 def release_claims(held: DataFrame, releases: DataFrame, keys: Sequence[str]) -> DataFrame:

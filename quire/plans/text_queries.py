@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.functions.tokens import tokens
 from quire.operators import search
-from quire.operators.aggregates import corpus_size, corpus_stats
+from quire.operators.aggregates import corpus_stats
 from quire.operators.exports import preprocess_report_rows
 from quire.operators.userfuncs import register_page_range
 from quire.operators.windows import asset_ordinals, search_top_k
 from quire.plans.registry import bind, query
-from quire.session import table
+from quire.session import table, work_dir
 
 FIXED_QUERY = "the tion"
 _TOKENS = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}]+')"
@@ -108,10 +108,15 @@ def _score(term_where: str) -> str:
 _FIXED = "SELECT 0 AS query_id, unnest(['the', 'tion']) AS term"
 
 
+def _stored_index(spark, root):
+    path = work_dir(spark, "index")
+    search.write_index(bind(spark, root, "doc_pages", heavy=True), path, buckets=spark.sparkContext.defaultParallelism)
+    return search.read_index(spark, path)
+
+
 @query("search_pages", _score(_FIXED) + "SELECT document_id, page_number, score FROM hits")
 def _(spark, root):
-    pages = bind(spark, root, "doc_pages", heavy=True)
-    hits = search.search_pages(search.inverted_index(pages), corpus_size(pages), FIXED_QUERY)
+    hits = search.search_pages(*_stored_index(spark, root), FIXED_QUERY)
     return hits.withColumn("score", F.round("score", 6))
 
 
@@ -147,11 +152,10 @@ def _(spark, root):
     """,
 )
 def _(spark, root):
-    pages = bind(spark, root, "doc_pages", heavy=True)
     short = bind(spark, root, "user_queries").select(
         "query_id", F.array_join(F.slice(tokens(F.col("query")), 1, 2), " ").alias("query")
     )
-    return search.search_many(search.inverted_index(pages), corpus_size(pages), short, k=10)
+    return search.search_many(*_stored_index(spark, root), short, k=10)
 
 
 _WORDS = "regexp_split_to_array(trim({}, ' ' || chr(9) || chr(10) || chr(13)), '\\s+')"

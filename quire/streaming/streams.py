@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.ranking import minute_of
+from quire.functions.skew import attach
 from quire.operators.aggregates import PAGES_PER_MINUTE, TARGET_UTILIZATION, ewma_parts
 from quire.operators.joins import reject_stale
 from quire.operators.search import inverted_index
@@ -162,7 +163,7 @@ def stream_reject_stale(
         judged = reject_stale(batch, documents)
         if cancelled is not None:
             stopped = cancelled.select("job_id").distinct().withColumn("_stopped", F.lit(True))
-            judged = judged.join(stopped, "job_id", "left").withColumn(
+            judged = attach(judged, stopped, ["job_id"]).withColumn(
                 "reject_reason",
                 F.coalesce("reject_reason", F.when(F.col("_stopped"), "job_cancelled")),
             ).drop("_stopped")
