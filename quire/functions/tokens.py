@@ -56,5 +56,4 @@ def match_expression(query: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Whitespace-separated words; zero for blank text."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+")))
+    return F.regexp_count(text, F.lit(r"(?U)\S+"))

@@ -184,6 +184,10 @@ def word_counts(pages: DataFrame) -> DataFrame:
     )
 
 
+def page_word_counts(pages: DataFrame) -> DataFrame:
+    return pages.select("document_id", "page_number", word_count(F.col("markdown")).alias("words"))
+
+
 def scheduler_snapshot(
     attempts: DataFrame,
     latest_ewma: DataFrame,

@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.binding import computed
-from quire.functions.text import dedupe_string_list
+from quire.functions.text import dedupe_string_list, export_stem
 from quire.templates import TEMPLATES, Field, Group, Template
 
 MAX_TEXT = 4000
 MAX_ITEMS = 500
 _AMOUNT_BOUND = 1e12
-_TRIMMED = r"^\s+|\s+$"
+_TRIMMED = r"(?U)^\s+|\s+$"
 
 
 def parse_annotation(df: DataFrame, json: str = "annotation") -> DataFrame:
@@ -193,13 +193,8 @@ def _csv_line(cells: list[Column]) -> Column:
     return F.concat_ws(",", *[csv_cell(c) for c in cells])
 
 
-def extraction_csv_rows(df: DataFrame, template_id: str, data: str = "data") -> DataFrame:
-    """CSV lines of each extraction in order: header, fields, lists, then each table.
-
-    All lines of a document come from its own row, so nothing is shuffled.
-    """
-    template: Template = TEMPLATES[template_id]
-    value = F.col(data)
+def csv_lines(template: Template, value: Column) -> Column:
+    """CSV lines of one extraction in order: header, fields, lists, then each table."""
     head = [F.lit("field,value")]
     head += [
         _csv_line([F.lit(f.label), cell_text(f, value)]) for s in template.sections for f in s.fields
@@ -212,13 +207,32 @@ def extraction_csv_rows(df: DataFrame, template_id: str, data: str = "data") ->
         titles = [F.lit(f.label) for f in group.fields]
         parts.append(F.array(F.lit(""), _csv_line([F.lit(group.title)]), _csv_line(titles)))
         parts.append(F.transform(value[group.key], _item_line_of(group)))
+    return reduce(lambda a, b: F.concat(a, b), parts)
+
+
+def extraction_csv_rows(df: DataFrame, template_id: str, data: str = "data") -> DataFrame:
+    """CSV lines of each extraction with their number.
+
+    All lines of a document come from its own row, so nothing is shuffled.
+    """
+    value = F.col(data)
     ids = [c for c in df.columns if c != data]
-    lines = reduce(lambda a, b: F.concat(a, b), parts)
+    lines = csv_lines(TEMPLATES[template_id], value)
     return df.where(value.isNotNull()).select(*ids, F.posexplode(lines).alias("_pos", "line")).select(
         *ids, (F.col("_pos") + 1).alias("seq"), "line"
     )
 
 
+def extraction_csv_files(df: DataFrame, template_id: str, name: str = "document_name", data: str = "data") -> DataFrame:
+    """One CSV file per extraction as (document_id, filename, text), with byte-order mark and CRLF ends."""
+    lines = csv_lines(TEMPLATES[template_id], F.col(data))
+    return df.where(F.col(data).isNotNull()).select(
+        "document_id",
+        F.concat(export_stem(F.col(name)), F.lit(f"-{template_id}-data.csv")).alias("filename"),
+        F.concat(F.lit("\ufeff"), F.array_join(lines, "\r\n"), F.lit("\r\n")).alias("text"),
+    )
+
+
 def extraction_eligible(documents: DataFrame, limit: int = 8) -> DataFrame:
     """Documents short enough for annotation."""
     return documents.where(F.col("num_pages") <= limit)

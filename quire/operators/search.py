@@ -251,6 +251,10 @@ def search_many(
     )
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+
+
 def search_excerpt(pages: DataFrame, query: str, width: int = 24, lead: int = 5) -> DataFrame:
     """Adds ``excerpt``: up to ``width`` words starting at most ``lead`` before the first match.
 
@@ -259,10 +263,7 @@ def search_excerpt(pages: DataFrame, query: str, width: int = 24, lead: int = 5)
     """
     terms = search_terms(query)
     begins = "|".join(re.escape(t) for t in dict.fromkeys(terms))
-    trimmed = F.regexp_replace(F.col("markdown"), r"^\s+|\s+$", "")
-    words = pages.withColumn("_w", F.split(trimmed, r"\s+")).withColumn(
-        "_f", F.split(fold(trimmed), r"\s+")
-    )
+    words = pages.withColumn("_w", _words(F.col("markdown"))).withColumn("_f", _words(fold(F.col("markdown"))))
     hit = F.transform("_f", lambda w: w.rlike(rf"(^|[^\p{{L}}\p{{N}}])({begins})"))
     placed = words.withColumn("_at", F.array_position(hit, F.lit(True)))
     start = F.greatest(F.lit(1), F.col("_at") - lead)

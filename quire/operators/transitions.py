@@ -18,8 +18,8 @@ _TERMINAL_PAGE = ("completed", "failed", "cancelled")
 
 def initial_review_status(markdown: Column, confidence: Column, is_ocr: Column) -> Column:
     """OCR results that are blank or below the confidence threshold need review."""
-    blank = F.regexp_replace(markdown, r"\s+", "") == ""
-    doubtful = F.coalesce(blank | (confidence < REVIEW_THRESHOLD), F.lit(False)) | blank
+    blank = ~markdown.rlike(r"(?U)\S")
+    doubtful = blank | F.coalesce(confidence < REVIEW_THRESHOLD, F.lit(False))
     return F.when(is_ocr & doubtful, "needs_review").otherwise("unreviewed")
 
 
@@ -123,6 +123,16 @@ def create_jobs(documents: DataFrame, pages: DataFrame, force: bool = False) ->
     ).drop("_done")
 
 
+def new_job_rows(documents: DataFrame, rate_limit: int = 1250, force: bool = False) -> DataFrame:
+    """Job rows of new jobs, remembering the document's checksum at submission."""
+    return documents.select(
+        "job_id", "document_id",
+        F.lit("queued").alias("status"), F.lit("adaptive").alias("processing_mode"),
+        F.lit(force).alias("force_reprocess"), F.lit(False).alias("cancel_requested"),
+        F.col("checksum").alias("document_checksum"), F.lit(max(1, rate_limit)).alias("rate_limit_ppm"),
+    )
+
+
 def prioritize_pages(job_pages: DataFrame, requests: DataFrame, jobs: DataFrame) -> DataFrame:
     """Requested pages of queued or running jobs move to the front; running pages stay as they are.
 
@@ -137,11 +147,12 @@ def prioritize_pages(job_pages: DataFrame, requests: DataFrame, jobs: DataFrame)
     )
     joined = job_pages.join(wanted, key, "full_outer")
     moved = F.coalesce(F.col("_asked"), F.lit(False)) & ~F.col("status").eqNullSafe("running")
-    return joined.select(
-        *key,
-        F.when(moved, F.lit(TOP_PRIORITY)).otherwise(F.col("priority")).alias("priority"),
-        F.when(moved, "queued").otherwise(F.col("status")).alias("status"),
-    )
+    changed = {
+        "priority": F.when(moved, F.lit(TOP_PRIORITY)).otherwise(F.col("priority")),
+        "status": F.when(moved, "queued").otherwise(F.col("status")),
+        **{c: F.when(~moved, F.col(c)) for c in ("error", "started_at", "finished_at") if c in job_pages.columns},
+    }
+    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in job_pages.columns])
 
 
 def retry_failed(jobs: DataFrame, job_pages: DataFrame) -> DataFrame:

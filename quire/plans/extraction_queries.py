@@ -262,6 +262,29 @@ def _(spark, root):
     return extraction.extraction_csv_rows(_normalized(spark, root).select("document_id", "data"), "invoice")
 
 
+@query(
+    "extraction_csv_files",
+    f"""
+    WITH {_FIELD_ROWS}, {_ITEMS},
+    f AS (SELECT document_id, string_agg(concat(label, ',', coalesce(value, ''), chr(13), chr(10)), '' ORDER BY seq) AS t
+          FROM fields GROUP BY document_id),
+    i AS (SELECT document_id, string_agg(concat('item ', i, ',', i, '.0,', CAST(round(total / i, 6) AS VARCHAR), ',,',
+                 CAST(i * 5e-1 AS VARCHAR), chr(13), chr(10)), '' ORDER BY i) FILTER (i > 0) AS t
+          FROM items GROUP BY document_id)
+    SELECT v.document_id, concat('order_', v.document_id, '-invoice-data.csv') AS filename,
+           concat(chr(65279), 'field,value', chr(13), chr(10), f.t, 'Review notes,Check | ', v.note, chr(13), chr(10),
+                  chr(13), chr(10), 'Line items', chr(13), chr(10), 'Description,Qty,Unit price,Tax,Amount',
+                  chr(13), chr(10), coalesce(i.t, '')) AS text
+    FROM [[invoices]] v JOIN f ON f.document_id = v.document_id JOIN i ON i.document_id = v.document_id
+    """,
+)
+def _(spark, root):
+    named = _normalized(spark, root).withColumn(
+        "document_name", F.concat(F.lit("order "), F.col("document_id").cast("string"), F.lit(".pdf"))
+    )
+    return extraction.extraction_csv_files(named, "invoice")
+
+
 _USED = """
     WITH u AS (SELECT CASE quality + 2 * toxic WHEN 0 THEN 'invoice' WHEN 1 THEN 'receipt' WHEN 2 THEN 'quotation'
                            ELSE 'resume' END AS template, count(*) AS documents FROM {labels} GROUP BY template)

@@ -194,7 +194,13 @@ _WORDS = "CASE WHEN trim({0}, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 0 E
 )
 def _(spark, root):
     pages = bind(spark, root, "page_table").select("document_id", "markdown")
-    return aggregates.word_counts(pages.union(bind(spark, root, "doc_pages").select("document_id", "markdown")))
+    documents = bind(spark, root, "doc_pages", heavy=True).select("document_id", "markdown")
+    return aggregates.word_counts(pages.union(documents))
+
+
+@query("page_word_counts", f"SELECT document_id, page_number, CAST({_WORDS.format('markdown')} AS INTEGER) AS words FROM [[doc_pages]]")
+def _(spark, root):
+    return aggregates.page_word_counts(bind(spark, root, "doc_pages", heavy=True))
 
 
 @query(
@@ -481,6 +487,22 @@ def _(spark, root):
     )
 
 
+@query(
+    "new_job_rows",
+    """
+    SELECT concat('job-', document_id) AS job_id, document_id, 'queued' AS status, 'adaptive' AS processing_mode,
+           false AS force_reprocess, false AS cancel_requested, checksum AS document_checksum,
+           CAST(1250 AS INTEGER) AS rate_limit_ppm
+    FROM [[doc_table]]
+    """,
+)
+def _(spark, root):
+    documents = bind(spark, root, "doc_table").withColumn(
+        "job_id", F.concat(F.lit("job-"), F.col("document_id").cast("string"))
+    )
+    return transitions.new_job_rows(documents)
+
+
 @query(
     "prioritize_pages",
     """

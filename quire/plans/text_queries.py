@@ -9,6 +9,7 @@ from quire.functions.tokens import tokens
 from quire.operators import search
 from quire.operators.aggregates import corpus_stats
 from quire.operators.exports import preprocess_report_rows
+from quire.operators.joins import owner_scoped, search_enrich
 from quire.operators.userfuncs import register_page_range
 from quire.operators.windows import asset_ordinals, search_top_k
 from quire.plans.registry import bind, query
@@ -140,6 +141,35 @@ def _(spark, root):
     return search_top_k(dated.drop("session_id"), 30)
 
 
+@query(
+    "search_owned",
+    _score(_FIXED)
+    + """
+    SELECT h.document_id, h.page_number, h.score, d.name AS document_name, s.session_title, p.project_name, r.review_status
+    FROM hits h JOIN [[doc_table]] d ON h.document_id = d.document_id
+    JOIN [[session_table]] s ON d.session_id = s.session_id AND s.user_id = 1
+    LEFT JOIN [[project_table]] p ON s.project_id = p.project_id
+    JOIN [[review_pages]] r ON r.document_id = h.document_id AND r.page_number = h.page_number
+    ORDER BY h.score DESC, s.session_updated_at DESC, h.document_id, h.page_number LIMIT 30
+    """,
+)
+def _(spark, root):
+    """The whole search: ranked over all pages, then cut to the owner's sessions and enriched."""
+    hits = search.search_text(bind(spark, root, "doc_pages", heavy=True), FIXED_QUERY).withColumn(
+        "score", F.round("score", 6)
+    )
+    sessions = bind(spark, root, "session_table")
+    documents = bind(spark, root, "doc_table").withColumnRenamed("name", "document_name")
+    enriched = search_enrich(
+        hits, owner_scoped(documents, sessions, 1), sessions, bind(spark, root, "project_table"),
+        bind(spark, root, "review_pages"),
+    )
+    top = search_top_k(enriched.withColumnRenamed("session_updated_at", "updated_at"), 30)
+    return top.select(
+        "document_id", "page_number", "score", "document_name", "session_title", "project_name", "review_status"
+    )
+
+
 @query(
     "search_many",
     _score(

@@ -19,6 +19,8 @@ from quire.operators.aggregates import PAGES_PER_MINUTE, TARGET_UTILIZATION, ewm
 from quire.operators.joins import reject_stale
 from quire.operators.search import inverted_index
 
+CLAIM_SALTS = 64
+
 
 def run_log(stream: DataFrame, reduce_batch: Callable[[DataFrame], DataFrame], path: str) -> None:
     """Drain the stream, writing each reduced micro-batch to ``path/log/batch_id=<id>``."""
@@ -63,9 +65,19 @@ def stream_latest_status(spark: SparkSession, events: DataFrame, path: str) -> D
 
 
 def stream_claims(spark: SparkSession, claims: DataFrame, path: str, horizon: str) -> DataFrame:
-    """First claim seen per key within the horizon. Which of several claims in one batch stays is open."""
-    unique = claims.withWatermark("claimed_at", horizon).dropDuplicatesWithinWatermark(
-        ["document_id", "page_number"]
+    """First claim seen per key within the horizon. Which of several claims in one batch stays is open.
+
+    Claims are made unique per (key, salt) first, so a page that everyone claims reaches the final
+    step as at most ``CLAIM_SALTS`` rows per horizon.
+    """
+    key = ["document_id", "page_number"]
+    salt = F.pmod(F.xxhash64("owner_token", "claimed_at"), F.lit(CLAIM_SALTS))
+    unique = (
+        claims.withColumn("_salt", salt)
+        .withWatermark("claimed_at", horizon)
+        .dropDuplicatesWithinWatermark([*key, "_salt"])
+        .dropDuplicatesWithinWatermark(key)
+        .drop("_salt")
     )
     run_log(unique, lambda batch: batch, path)
     return read_log(spark, path)
