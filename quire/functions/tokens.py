@@ -28,14 +28,23 @@ _ACCENTED, _PLAIN = _accent_table()
 _MARKS = "".join(chr(code) for code in range(0x300, 0x370))
 
 
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
 def fold(text: Column) -> Column:
     """Lower-case and strip Latin diacritics; letters such as ß without a base stay as they are."""
-    return F.translate(F.lower(text), _ACCENTED + _MARKS, _PLAIN)
+    lowered = F.lower(text)
+    return F.when(_is_ascii(text), lowered).otherwise(F.translate(lowered, _ACCENTED + _MARKS, _PLAIN))
 
 
 def tokens(text: Column) -> Column:
-    """Folded word tokens of a text, in order."""
-    return F.regexp_extract_all(fold(text), F.lit(TOKEN_PATTERN), F.lit(0))
+    """Folded word tokens of a text, in order. Plain ASCII takes a cheaper pattern."""
+    plain = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    folded = F.translate(F.lower(text), _ACCENTED + _MARKS, _PLAIN)
+    return F.when(_is_ascii(text), plain).otherwise(
+        F.regexp_extract_all(folded, F.lit(TOKEN_PATTERN), F.lit(0))
+    )
 
 
 def query_terms(query: Column) -> Column:

@@ -62,19 +62,17 @@ def inverted_index(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_index(pages: DataFrame, path: str, buckets: int = 64) -> None:
+def write_index(pages: DataFrame, path: str, files: int = 64) -> None:
     """Store postings and page lengths of a corpus.
 
-    Postings lie in hash buckets of (token, document), so a token found on a third of all pages is
-    spread over all files, and each file is sorted by token, so a prefix filter skips row groups.
+    Postings are laid out by ranges of (token, document), so a prefix filter touches few files and
+    row groups, and a token found on a third of all pages fills several files.
     """
-    bucket = F.pmod(F.xxhash64("token", "document_id"), F.lit(buckets)).cast("int")
     (
         inverted_index(pages)
-        .withColumn("bucket", bucket)
-        .repartition("bucket")
-        .sortWithinPartitions("bucket", "token")
-        .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        .repartitionByRange(files, "token", "document_id")
+        .sortWithinPartitions("token", "document_id")
+        .write.mode("overwrite").parquet(f"{path}/postings")
     )
     lengths = pages.select(*_PAGE, F.size(tokens(F.col("markdown"))).alias("dl"))
     lengths.write.mode("overwrite").parquet(f"{path}/lengths")
@@ -85,7 +83,7 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     size = spark.read.parquet(f"{path}/lengths").agg(
         F.count(F.lit(1)).alias("n_pages"), F.avg("dl").alias("avg_length")
     )
-    return spark.read.parquet(f"{path}/postings").drop("bucket"), size
+    return spark.read.parquet(f"{path}/postings"), size
 
 
 def search_terms(query: str) -> list[str]:
@@ -213,18 +211,22 @@ def search_many(
     )
     needed = wanted.groupBy(key).agg(F.count(F.lit(1)).alias("n_terms"))
     terms = wanted.select("term").distinct()
-    vocabulary = postings.select("token").distinct()
-    prefixes = vocabulary.select(
-        "token",
-        F.explode(F.sequence(F.lit(1), F.char_length("token"))).alias("_len"),
-    ).select("token", F.substr("token", F.lit(1), F.col("_len")).alias("term"))
+    # At most MAX_QUERY_CHARS different lengths can occur.
+    lengths = terms.agg(F.collect_set(F.char_length("term")).alias("l"))
+    vocabulary = postings.select("token").distinct().withColumn("_lens", lengths.scalar())
+    fitting = F.filter("_lens", lambda n: n <= F.char_length("token"))
+    prefixes = vocabulary.select("token", F.explode(fitting).alias("_len")).select(
+        "token", F.substr("token", F.lit(1), F.col("_len")).alias("term")
+    )
     matched = attach(prefixes, terms, ["term"], "inner")
     term_pages = (
         postings.join(matched, "token")
         .groupBy("term", *_PAGE)
         .agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
     )
-    frequency = term_pages.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # Naming both columns keeps this branch identical to the scoring one, so its shuffle is reused.
+    counted = (F.col("tf") > 0) & (F.col("dl") > 0)
+    frequency = term_pages.groupBy("term").agg(F.count_if(counted).alias("n_term"))
     corpus = size.select(F.struct("n_pages", "avg_length").alias("s"))
     weighted = (
         wanted.join(frequency, "term")

@@ -71,14 +71,19 @@ def process_batches(
     types = dict(job_pages.dtypes)
     keys = ["job_id", "batch_number"]
 
-    def call(batch: pd.DataFrame) -> pd.DataFrame:
-        numbers = [int(p) for p in batch["page_number"]]
+    def call(numbers: list[int], texts: list[str]) -> list[str | Exception]:
         try:
-            results = fn(numbers, list(batch["markdown"]))
+            results = fn(numbers, texts)
         except Exception as error:
             results = dict.fromkeys(numbers, error)
-        got = [results.get(p, RuntimeError("No batch result returned")) for p in numbers]
-        out = batch[["job_id", "page_number", "batch_number"]].copy()
+        return [results.get(p, RuntimeError("No batch result returned")) for p in numbers]
+
+    def answer(rows: pd.DataFrame) -> pd.DataFrame:
+        changed = (rows[keys] != rows[keys].shift()).any(axis=1).to_numpy()
+        starts = [*np.flatnonzero(changed), len(rows)]
+        pages, texts = rows["page_number"].tolist(), rows["markdown"].tolist()
+        got = [g for a, b in zip(starts, starts[1:], strict=False) for g in call(pages[a:b], texts[a:b])]
+        out = rows[["job_id", "page_number", "batch_number"]].copy()
         out["result"] = [None if isinstance(g, Exception) else g for g in got]
         out["error"] = [str(g)[:MAX_ERROR] if isinstance(g, Exception) else None for g in got]
         return out
@@ -91,9 +96,9 @@ def process_batches(
             last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1)
             open_rows, closed = rows[last], rows[~last]
             if len(closed):
-                yield pd.concat([call(g) for _, g in closed.groupby(keys, sort=False)], ignore_index=True)
+                yield answer(closed)
         if open_rows is not None:
-            yield call(open_rows)
+            yield answer(open_rows)
 
     numbered = micro_batches(job_pages, size)
     ordered = (

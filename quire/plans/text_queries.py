@@ -111,7 +111,7 @@ _FIXED = "SELECT 0 AS query_id, unnest(['the', 'tion']) AS term"
 
 def _stored_index(spark, root):
     path = work_dir(spark, "index")
-    search.write_index(bind(spark, root, "doc_pages", heavy=True), path, buckets=spark.sparkContext.defaultParallelism)
+    search.write_index(bind(spark, root, "doc_pages", heavy=True), path, files=spark.sparkContext.defaultParallelism)
     return search.read_index(spark, path)
 
 
