@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.ranking import number_rows
@@ -136,32 +136,54 @@ def corpus_stats(pages: DataFrame) -> DataFrame:
 
 
 def ewma_parts(
-    samples: DataFrame, keys: Sequence[str], value: str, bucket: Column, order: Sequence[Column],
+    samples: DataFrame, keys: Sequence[str], value: str, bucket: Column, newest: Sequence[Column],
     keep: float = 0.8,
 ) -> DataFrame:
     """Per key: ``n`` positive samples, their discounted sum ``s`` and the ``first`` one.
 
-    The ordered fold is linear: a sample followed by r later ones weighs (1-keep)*keep**r. So
-    newest-first ranks plus a plain sum replace a sequential pass over the key.
-    ``bucket`` and ``order`` run newest first.
+    The ordered fold is linear: a sample followed by r later ones weighs (1-keep)*keep**r. So it is
+    folded inside coarse time buckets first, and the few bucket rows of a key are then merged.
+    ``newest`` orders samples from the newest on; ``bucket`` grows with time.
     """
-    positive = samples.where(F.col(value) > 0)
-    ranked = number_rows(positive, keys, bucket, order, "_age", newest_first=True)
+    keys = list(keys)
+    within = Window.partitionBy(*keys, "_bucket").orderBy(*newest)
     weight = (1.0 - keep) * F.pow(F.lit(keep), F.col("_age") - 1)
-    return ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col(value) * weight).alias("s"),
-        F.max_by(value, "_age").alias("first"),
+    parts = (
+        samples.where(F.col(value) > 0)
+        .withColumn("_bucket", bucket)
+        .withColumn("_age", F.row_number().over(within))
+        .groupBy(*keys, "_bucket")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.col(value) * weight).alias("s"),
+            F.max_by(value, "_age").alias("first"),
+        )
     )
+    return merge_ewma(parts, keys, "_bucket", keep)
+
+
+def merge_ewma(parts: DataFrame, keys: Sequence[str], order: str, keep: float = 0.8) -> DataFrame:
+    """One (n, s, first) row per key from several in ``order``; the result can be merged again."""
+    newer = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    later = F.coalesce(F.sum("n").over(newer), F.lit(0))
+    return parts.withColumn("_later", later).groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("s") * F.pow(F.lit(keep), F.col("_later"))).alias("s"),
+        F.min_by("first", order).alias("first"),
+    )
+
+
+def ewma_value(parts: DataFrame, keys: Sequence[str], keep: float = 0.8) -> DataFrame:
+    """The first sample seeds the average instead of entering with the small weight."""
+    seeded = F.col("s") + F.col("first") * F.pow(F.lit(keep), F.col("n"))
+    return parts.select(*keys, seeded.alias("ewma"), F.col("n").alias("samples"))
 
 
 def latency_ewma(
-    samples: DataFrame, key: str, value: str, bucket: Column, order: Sequence[Column], keep: float = 0.8
+    samples: DataFrame, key: str, value: str, bucket: Column, newest: Sequence[Column], keep: float = 0.8
 ) -> DataFrame:
-    """Moving average per key over positive samples; the first one seeds it."""
-    parts = ewma_parts(samples, [key], value, bucket, order, keep)
-    seeded = F.col("s") + F.col("first") * F.pow(F.lit(keep), F.col("n"))
-    return parts.select(key, seeded.alias("ewma"), F.col("n").alias("samples"))
+    """Moving average per key over positive samples."""
+    return ewma_value(ewma_parts(samples, [key], value, bucket, newest, keep), [key], keep)
 
 
 def dedup_checksum(documents: DataFrame, keys: Sequence[str] = ("session_id", "checksum")) -> DataFrame:

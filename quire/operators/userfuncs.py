@@ -141,7 +141,7 @@ def annotate_documents(documents: DataFrame, fn: Callable[[str], str], template_
     return normalize_extraction(parsed, template_id).select("document_id", "data", "error")
 
 
-@udtf(returnType="page_number: int")
+@udtf(returnType="page_number: int", useArrow=True)
 class PageRange:
     """Table form of the strict page-range grammar; a rejected spec yields no rows."""
 

@@ -91,8 +91,8 @@ def throughput_windows(
 ) -> DataFrame:
     """Full windows of max(8, 2*concurrency) successes: pages per second, and whether it improved.
 
-    The previous window arrives by an equi-join on the window number instead of a lag, so the
-    windows of one key need not meet in one task.
+    Each window also sends its rate to the next window number, and the two meet by (key, number),
+    so the windows of one key never sort in one task.
     """
     size = max(8, 2 * concurrency)
     numbered = number_rows(samples, [key], bucket, order, "_rank")
@@ -109,12 +109,23 @@ def throughput_windows(
             "pages_per_second", F.col("pages") / F.greatest(F.lit(0.001), F.col("elapsed_seconds"))
         )
     )
-    previous = windows.select(
-        key,
-        (F.col("window_number") + 1).alias("window_number"),
-        F.col("pages_per_second").alias("_previous"),
+    sent = F.array(
+        F.struct(
+            F.col("window_number").alias("at"), F.col("pages").alias("pages"),
+            F.col("elapsed_seconds").alias("elapsed_seconds"), F.col("pages_per_second").alias("own"),
+            F.lit(None).cast("double").alias("previous"),
+        ),
+        F.struct(
+            (F.col("window_number") + 1).alias("at"), F.lit(None).cast("bigint").alias("pages"),
+            F.lit(None).cast("double").alias("elapsed_seconds"), F.lit(None).cast("double").alias("own"),
+            F.col("pages_per_second").alias("previous"),
+        ),
+    )
+    met = windows.select(key, F.inline(sent)).groupBy(key, F.col("at").alias("window_number")).agg(
+        F.max("pages").alias("pages"), F.max("elapsed_seconds").alias("elapsed_seconds"),
+        F.max("own").alias("pages_per_second"), F.max("previous").alias("_previous"),
     )
-    return windows.join(previous, [key, "window_number"], "left").select(
+    return met.where(F.col("pages").isNotNull()).select(
         key,
         "window_number",
         "pages",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import text
+from quire.functions.skew import attach
 from quire.functions.tokens import tokens
 from quire.operators import search
 from quire.operators.aggregates import corpus_stats
@@ -154,18 +155,22 @@ def _(spark, root):
     """,
 )
 def _(spark, root):
-    """The whole search: ranked over all pages, then cut to the owner's sessions and enriched."""
+    """The whole search: ranked over all pages, cut to the owner's sessions, and only the top enriched."""
     hits = search.search_text(bind(spark, root, "doc_pages", heavy=True), FIXED_QUERY).withColumn(
         "score", F.round("score", 6)
     )
     sessions = bind(spark, root, "session_table")
     documents = bind(spark, root, "doc_table").withColumnRenamed("name", "document_name")
+    dates = sessions.select("session_id", F.col("session_updated_at").alias("updated_at"))
+    owned = attach(
+        attach(hits, documents.select("document_id", "session_id"), ["document_id"], "inner"), dates,
+        ["session_id"], "inner",
+    )
+    top = search_top_k(owner_scoped(owned, sessions, 1), 30).select("document_id", "page_number", "score")
     enriched = search_enrich(
-        hits, owner_scoped(documents, sessions, 1), sessions, bind(spark, root, "project_table"),
-        bind(spark, root, "review_pages"),
+        top, documents, sessions, bind(spark, root, "project_table"), bind(spark, root, "review_pages")
     )
-    top = search_top_k(enriched.withColumnRenamed("session_updated_at", "updated_at"), 30)
-    return top.select(
+    return enriched.select(
         "document_id", "page_number", "score", "document_name", "session_title", "project_name", "review_status"
     )
 

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.ranking import minute_of
 from quire.functions.skew import attach
-from quire.operators.aggregates import PAGES_PER_MINUTE, TARGET_UTILIZATION, ewma_parts
+from quire.operators.aggregates import PAGES_PER_MINUTE, TARGET_UTILIZATION, ewma_parts, ewma_value, merge_ewma
 from quire.operators.joins import reject_stale
 from quire.operators.search import inverted_index
 
@@ -113,22 +113,7 @@ def stream_latency_ewma(
         )
 
     run_log(samples, reduce_batch, path)
-    merged = merge_ewma(read_log(spark, path), key, keep)
-    return merged.select(
-        key, (F.col("s") + F.col("first") * F.pow(F.lit(keep), F.col("n"))).alias("ewma"),
-        F.col("n").alias("samples"),
-    )
-
-
-def merge_ewma(log: DataFrame, key: str, keep: float = 0.8) -> DataFrame:
-    """One (n, s, first) row per key from a log of them; the result can start a compacted log."""
-    newer = Window.partitionBy(key).orderBy(F.desc("batch_id")).rowsBetween(Window.unboundedPreceding, -1)
-    later = F.coalesce(F.sum("n").over(newer), F.lit(0))
-    return log.withColumn("_later", later).groupBy(key).agg(
-        F.sum(F.col("s") * F.pow(F.lit(keep), F.col("_later"))).alias("s"),
-        F.min_by("first", "batch_id").alias("first"),
-        F.sum("n").alias("n"),
-    )
+    return ewma_value(merge_ewma(read_log(spark, path), [key], "batch_id", keep), [key], keep)
 
 
 def stream_job_progress(spark: SparkSession, job_pages: DataFrame, path: str) -> DataFrame:

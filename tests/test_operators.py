@@ -85,7 +85,7 @@ def test_page_lists_in_blocks(spark):
 
 
 RECEIPT = {
-    "merchant_name": "Kedai Laju", "currency": "MYR", "total_amount": 10.6, "payment_method": " ",
+    "merchant_name": "Corner Shop", "currency": "MYR", "total_amount": 10.6, "payment_method": " ",
     "purchased_items": [{"description": "Tea", "quantity": 2, "unit_price": "5.3", "amount": 10.6}],
     "review_notes": ["Check", "check", ""], "unknown": 1,
 }
@@ -107,7 +107,7 @@ def test_receipt_normalises_and_exports(spark):
     assert data["purchased_items"] == [{"description": "Tea", "quantity": 2.0, "unit_price": 5.3, "amount": 10.6}]
     assert data["review_notes"] == ["Check"]
     lines = [r["line"] for r in extraction.extraction_csv_rows(done.select("id", "data"), "receipt").orderBy("seq").collect()]
-    assert lines[:2] == ["field,value", "Merchant,Kedai Laju"]
+    assert lines[:2] == ["field,value", "Merchant,Corner Shop"]
     assert "Total,10.6" in lines and lines[-1] == "Tea,2.0,5.3,10.6" and lines[-3] == "Purchased items"
 
 
