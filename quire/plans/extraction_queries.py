@@ -325,14 +325,14 @@ def _answer(content: str) -> str:
 
     if len(content) > 20000:
         raise RuntimeError("document too long")
-    return json.dumps({"merchant_name": f"  {content[:8]} ", "total_amount": len(content) / 8, "ignored": 1})
+    return json.dumps({"merchant_name": f"  {content.count(' ')} blanks ", "total_amount": len(content) / 8, "ignored": 1})
 
 
 @query(
     "annotate_documents",
     """
     SELECT document_id, CASE WHEN length(content) > 20000 THEN 'document too long' END AS error,
-           CASE WHEN length(content) <= 20000 THEN nullif(trim(substr(content, 1, 8), ' ' || chr(9) || chr(10) || chr(13)), '') END AS merchant_name,
+           CASE WHEN length(content) <= 20000 THEN concat(length(content) - length(replace(content, ' ', '')), ' blanks') END AS merchant_name,
            CASE WHEN length(content) <= 20000 THEN length(content) / 8e0 END AS total_amount
     FROM [[doc_table]]
     """,

@@ -721,7 +721,7 @@ def _shout(document: int, page: int, markdown: str) -> str:
     """Deterministic stand-in for a page model: fails on long pages, shortly on some."""
     if len(markdown) > 3000:
         raise ValueError("page too long")
-    return f"{document}/{page}:{markdown.replace(' ', '_')[:40]}:{len(markdown)}"
+    return f"{document}/{page}:{markdown.count(' ')}:{len(markdown)}"
 
 
 @query(
@@ -729,7 +729,7 @@ def _shout(document: int, page: int, markdown: str) -> str:
     """
     SELECT document_id, page_number,
            CASE WHEN length(markdown) <= 3000 THEN concat(document_id, '/', page_number, ':',
-                substr(replace(markdown, ' ', '_'), 1, 40), ':', length(markdown)) END AS result,
+                length(markdown) - length(replace(markdown, ' ', '')), ':', length(markdown)) END AS result,
            CASE WHEN length(markdown) > 3000 THEN 'page too long' END AS error,
            CAST(CASE WHEN length(markdown) > 3000 THEN 3 ELSE 1 END AS INTEGER) AS attempts
     FROM [[doc_pages]]

@@ -73,15 +73,20 @@ def _(spark, root):
     SELECT query_id, CASE WHEN length(query) <= 200 AND len(t) > 0
              THEN array_to_string(list_transform(t[1:12], lambda x: concat('"', x, '"*')), ' AND ') END AS match_expression
     FROM (SELECT query_id, query, regexp_extract_all(query, '[\\p{L}\\p{N}]+') AS t FROM (
-      SELECT query_id, query FROM [[user_queries]] UNION ALL SELECT -1 - query_id, substr(query, 1, 150) FROM [[user_queries]]
-      UNION ALL SELECT 1000000 + doc_id, concat(source, '_', lang, ' ?') FROM {documents}))
+      SELECT query_id, query FROM [[user_queries]]
+      UNION ALL SELECT -1 - o_orderkey, concat_ws('-', o_orderkey, o_custkey, o_orderpriority, o_orderstatus, o_custkey + 1,
+        o_custkey + 2, o_custkey + 3, o_custkey + 4, o_custkey + 5, o_custkey + 6, o_custkey + 7, o_custkey + 8) FROM {orders}
+      UNION ALL SELECT 1000000000 + doc_id, concat(source, '_', lang, ' ?') FROM {documents}))
     """,
 )
 def _(spark, root):
     given = bind(spark, root, "user_queries")
-    queries = given.union(given.select(-1 - F.col("query_id"), F.substring("query", 1, 150))).union(
+    customer = F.col("o_custkey")
+    parts = ["o_orderkey", customer, "o_orderpriority", "o_orderstatus", *[customer + i for i in range(1, 9)]]
+    long_queries = table(spark, root, "orders").select(-1 - F.col("o_orderkey"), F.concat_ws("-", *parts))
+    queries = given.union(long_queries).union(
         table(spark, root, "documents").select(
-            1000000 + F.col("doc_id"), F.concat("source", F.lit("_"), "lang", F.lit(" ?"))
+            1000000000 + F.col("doc_id"), F.concat("source", F.lit("_"), "lang", F.lit(" ?"))
         )
     )
     return search.build_search_query(queries).select("query_id", "match_expression")
@@ -283,15 +288,20 @@ def _(spark, root):
 _IMAGES = """
     SELECT document_id, page_number, markdown,
            concat(markdown, ' ![fig.jpeg](fig.jpeg) ![x.png](x.png) ![gone.gif](gone.gif)') AS source,
-           length(markdown) % 4 = 0 AS broken, base64(encode(substr(markdown, 1, 20))) AS packed
+           length(markdown) % 4 = 0 AS broken, base64(encode(markdown)) AS packed
     FROM [[page_table]]
 """
 
 
+def _packed(content):
+    """Base64 in one line."""
+    return F.replace(F.base64(F.to_binary(content, F.lit("utf-8"))), F.lit("\r\n"), F.lit(""))
+
+
 def _images(spark, root):
     """Pages with three image references; the first image is broken on some, the third never delivered."""
     markdown = F.col("markdown")
-    packed = F.base64(F.to_binary(F.substring(markdown, 1, 20), F.lit("utf-8")))
+    packed = _packed(markdown)
     first = F.when(F.length(markdown) % 4 == 0, F.lit("data:image/jpeg;base64,@@@")).otherwise(
         F.concat(F.lit("data:image/jpeg;base64,"), packed)
     )
@@ -346,7 +356,7 @@ def _(spark, root):
 )
 def _(spark, root):
     ordinals = asset_ordinals(_images(spark, root).drop("markdown"))
-    return ordinals.withColumn("packed", F.base64("content")).drop("content")
+    return ordinals.withColumn("packed", F.replace(F.base64("content"), F.lit("\r\n"), F.lit(""))).drop("content")
 
 
 @query(
@@ -381,13 +391,13 @@ def _(spark, root):
 
 _EMBEDDED = """
     SELECT document_id, page_number, markdown, length(markdown) % 3 = 0 AS broken,
-           base64(encode(substr(markdown, 1, 30))) AS packed FROM [[page_table]]
+           base64(encode(markdown)) AS packed FROM [[page_table]]
 """
 
 
 def _embedded(spark, root):
     markdown = F.col("markdown")
-    packed = F.base64(F.to_binary(F.substring(markdown, 1, 30), F.lit("utf-8")))
+    packed = _packed(markdown)
     first = F.when(F.length(markdown) % 3 == 0, F.concat(packed, F.lit("A"))).otherwise(packed)
     pages = bind(spark, root, "page_table", heavy=True).select(
         "document_id", "page_number",
@@ -413,7 +423,8 @@ def _embedded(spark, root):
 def _(spark, root):
     found = _embedded(spark, root).select("document_id", "page_number", F.inline("assets"))
     return found.where("filename is not null").select(
-        "document_id", "page_number", "source_ref", "filename", "mime_type", F.base64("content").alias("packed")
+        "document_id", "page_number", "source_ref", "filename", "mime_type",
+        F.replace(F.base64("content"), F.lit("\r\n"), F.lit("")).alias("packed"),
     )
 
 
