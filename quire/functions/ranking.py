@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +19,9 @@ def number_rows(
 ) -> DataFrame:
     """``row_number() over (partition by keys order by bucket, order)`` for groups of any size.
 
-    ``bucket`` must be a coarse, deterministic, non-null function of the ordering
-    (a minute of the timestamp, a block of page numbers; a struct of several is fine).
+    ``bucket`` must be a coarse, deterministic function of the ordering (a minute of the
+    timestamp, a block of page numbers; a struct of several is fine). Null keys and buckets count
+    as values of their own, so no row is lost.
     Rows are numbered inside (keys, bucket), and the sizes of the earlier buckets,
     counted with map-side aggregation, are added. Only bucket sizes, never rows,
     meet in one task per key. With ``newest_first`` buckets run downwards.
@@ -31,17 +33,18 @@ def number_rows(
     earlier = Window.partitionBy(*keys).orderBy(direction).rowsBetween(
         Window.unboundedPreceding, -1
     )
+    group = [*keys, "_bucket"]
     offsets = sizes.select(
-        *keys,
-        "_bucket",
+        *[F.col(c).alias(f"_of_{c}") for c in group],
         F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"),
     )
-    within = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    within = Window.partitionBy(*group).orderBy(*order)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group])
     return (
         bucketed.withColumn("_local", F.row_number().over(within))
-        .join(offsets, [*keys, "_bucket"])
+        .join(offsets, same)
         .withColumn(out, F.col("_local") + F.col("_offset"))
-        .drop("_bucket", "_local", "_offset")
+        .drop("_bucket", "_local", "_offset", *[f"_of_{c}" for c in group])
     )
 
 

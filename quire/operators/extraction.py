@@ -15,7 +15,8 @@ from quire.templates import TEMPLATES, Field, Group, Template
 MAX_TEXT = 4000
 MAX_ITEMS = 500
 _AMOUNT_BOUND = 1e12
-_TRIMMED = r"(?U)^\s+|\s+$"
+# Every Unicode blank.
+_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def parse_annotation(df: DataFrame, json: str = "annotation") -> DataFrame:
@@ -55,7 +56,7 @@ def _raw_item_of(group: Group) -> Callable[[Column], Column]:
 
 def _text(raw: Column) -> Column:
     """Trimmed text cut to the limit, blank as null."""
-    trimmed = F.regexp_replace(raw, _TRIMMED, "")
+    trimmed = F.btrim(raw, F.lit(_BLANKS))
     return F.when(trimmed != "", F.substring(trimmed, 1, MAX_TEXT))
 
 

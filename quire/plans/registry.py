@@ -38,8 +38,9 @@ def bind(spark: SparkSession, root: str, name: str, heavy: bool = False) -> Data
     """A binding as a DataFrame; ``heavy`` spreads few input splits over all cores."""
     text = _spell(_expand(BINDINGS[name]), _SPARK)
     tables = {t: table(spark, root, t) for t in set(re.findall(r"\{(\w+)\}", text))}
-    bound = spark.sql(text, **tables)
-    return spread(bound) if heavy else bound
+    if heavy:
+        tables = {t: spread(df) for t, df in tables.items()}
+    return spark.sql(text, **tables)
 
 
 def bind_stream(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -12,13 +12,14 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """More tasks for CPU-heavy row work when the scan has fewer splits than there are cores.
+def spread(scan: DataFrame) -> DataFrame:
+    """More tasks for CPU-heavy row work when a table scan has fewer splits than there are cores.
 
-    Tables of many files have more splits than cores and pass through without a shuffle.
+    Tables of many files have more splits than cores and pass through without a shuffle. Only for
+    plain scans: asking a plan with shuffles for its partitions would run them.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def stream_table(spark: SparkSession, root: str, name: str, **options: object) -> DataFrame:

@@ -62,6 +62,15 @@ def test_numbering_matches_sorting_under_skew(spark):
         assert {(r["k"], r["page"]): r["n"] for r in got} == want
 
 
+def test_numbering_keeps_null_keys_and_buckets(spark):
+    rows = [(None, 5), (None, None), ("a", None), ("a", 3), ("a", 4000)]
+    df = spark.createDataFrame(rows, "k string, page int")
+    got = number_rows(df, ["k"], page_block(F.col("page"), 64), [F.asc("page")], "n").collect()
+    assert {(r["k"], r["page"]): r["n"] for r in got} == {
+        (None, None): 1, (None, 5): 2, ("a", None): 1, ("a", 3): 2, ("a", 4000): 3
+    }
+
+
 def test_ewma_matches_the_fold(spark):
     rng = random.Random(2)
     rows = [("hot" if rng.random() < 0.7 else "cold", i, rng.choice([0.0, -1.0, 1.5, 2.5, 9.0])) for i in range(400)]

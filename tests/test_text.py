@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.functions.tokens import fold, match_expression, word_count
 from quire.operators import search
-from quire.operators.exports import document_markdown, package_manifest, resolve_asset_links
+from quire.operators.exports import document_markdown, package_manifest, resolve_asset_links, write_documents
 from quire.operators.windows import asset_ordinals
 
 
@@ -183,6 +183,15 @@ def test_search_over_index_equals_text_search(spark):
         assert set(a) == want
 
 
+def test_document_parts_are_written_in_order(spark, tmp_path):
+    rows = [(d, p, f"{d}-{p}") for d in (1, 2) for p in range(1, 8)]
+    pages = spark.createDataFrame(rows, "document_id int, page_number int, markdown string")
+    documents = spark.createDataFrame([(1, 7), (2, 7)], "document_id int, num_pages int")
+    write_documents(document_markdown(pages, documents, block=3), str(tmp_path / "out"))
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert stored.groupBy("document_id").count().where("count = 3").count() == 2
+
+
 def test_document_parts_concatenate_to_the_whole(spark):
     rows = [(1, p, f"text {p}") for p in (2, 3, 5, 9)] + [(2, 1, "only")]
     pages = spark.createDataFrame(rows, "document_id int, page_number int, markdown string")
@@ -201,3 +210,17 @@ def test_document_parts_concatenate_to_the_whole(spark):
         "a_markdown.md": len(comments[1].encode()), "b_markdown.md": 4, "assets/x.png": 3,
         "a_markdown.pdf": None, "b_markdown.pdf": None,
     }
+
+
+def test_large_embedded_image(spark):
+    """Megabytes of base64 pass through the patterns without deep recursion."""
+    import base64
+
+    content = bytes(range(256)) * 12000
+    packed = base64.b64encode(content).decode()
+    rows = spark.createDataFrame([(f"a ![x](data:image/png;base64,{packed}) b",)], "markdown string").withColumn(
+        "assets", text.embedded_assets(F.col("markdown"), F.lit("big.pdf"), F.lit(2))
+    )
+    row = rows.select("assets", text.rewrite_embedded(F.col("markdown"), F.col("assets")).alias("v")).first()
+    assert row["v"] == "a ![x](assets/big-2-image-1.png) b"
+    assert bytes(row["assets"][0]["content"]) == content
