@@ -1 +1,8 @@
 """Document-page analytics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the workers by value, so it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
