@@ -120,11 +120,25 @@ def reject_stale(results: DataFrame, documents: DataFrame, running: DataFrame |
 
 
 def find_duplicate_upload(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Reuse the smallest stored id with the same content in the same session."""
-    known = existing.groupBy("session_id", "checksum").agg(F.min("document_id").alias("_known"))
-    return attach(incoming, known, ["session_id", "checksum"]).withColumn(
-        "stored_id", F.coalesce("_known", "document_id")
-    ).withColumn("duplicate", F.col("_known").isNotNull()).drop("_known")
+    """Adds ``stored_id`` and ``duplicate``: content already in the session keeps its smallest stored id.
+
+    Among new uploads of one content the smallest id is stored and the others reuse it.
+    """
+    key = ["session_id", "checksum"]
+    marked = existing.select(*key, "document_id", F.lit(True).alias("_old")).union(
+        incoming.select(*key, "document_id", F.lit(False))
+    )
+    known = marked.groupBy(*key).agg(
+        F.min(F.when(F.col("_old"), F.col("document_id"))).alias("_stored"),
+        F.min("document_id").alias("_first"),
+    )
+    stored = F.coalesce("_stored", "_first", "document_id")
+    return (
+        attach(incoming, known, key)
+        .withColumn("stored_id", stored)
+        .withColumn("duplicate", F.col("_stored").isNotNull() | (F.col("stored_id") != F.col("document_id")))
+        .drop("_stored", "_first")
+    )
 
 
 def fk_audit(links: Sequence[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:

@@ -500,10 +500,11 @@ def _(spark, root):
 @query(
     "find_duplicate_upload",
     """
-    WITH k AS (SELECT session_id, checksum, min(document_id) AS first_id FROM [[doc_table]]
-               WHERE is_pdf GROUP BY session_id, checksum)
-    SELECT d.document_id, coalesce(k.first_id, d.document_id) AS stored_id, k.first_id IS NOT NULL AS duplicate
-    FROM [[doc_table]] d LEFT JOIN k ON d.session_id = k.session_id AND d.checksum = k.checksum
+    WITH k AS (SELECT session_id, checksum, min(document_id) FILTER (is_pdf) AS stored, min(document_id) AS first_id
+               FROM [[doc_table]] GROUP BY session_id, checksum)
+    SELECT d.document_id, coalesce(k.stored, k.first_id) AS stored_id,
+           k.stored IS NOT NULL OR k.first_id <> d.document_id AS duplicate
+    FROM [[doc_table]] d JOIN k ON d.session_id = k.session_id AND d.checksum = k.checksum
     """,
 )
 def _(spark, root):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.ranges import lenient_pages, strict_pages
 from quire.functions.ranking import number_rows, page_block
-from quire.operators import aggregates, extraction, selection, transitions, userfuncs, windows
+from quire.operators import aggregates, extraction, joins, selection, transitions, userfuncs, windows
 from quire.sources.lines import batch_result_lines, map_provider_page, parse_api_log, write_request_lines
 from quire.sources.tables import page_metadata_scan
 from quire.sources.uploads import ingest_files, validate_uploads
@@ -312,6 +312,14 @@ def test_requested_pages_reject_whole_key(spark):
     assert sorted(r["page_number"] for r in selection.requested_pages(parts).collect()) == [1, 2, 3]
 
 
+def test_repeated_upload_reuses_the_stored_document(spark):
+    schema = "document_id int, session_id string, checksum string"
+    existing = spark.createDataFrame([(1, "s", "a"), (2, "t", "b")], schema)
+    incoming = spark.createDataFrame([(5, "s", "a"), (6, "s", "b"), (7, "s", "b"), (8, "s", None)], schema)
+    got = {r["document_id"]: (r["stored_id"], r["duplicate"]) for r in joins.find_duplicate_upload(incoming, existing).collect()}
+    assert got == {5: (1, True), 6: (6, False), 7: (6, True), 8: (8, False)}
+
+
 def test_forced_run_takes_every_page(spark):
     documents = spark.createDataFrame([(1, 3, 2)], "document_id int, num_pages int, start_page int")
     pages = spark.createDataFrame([(1, 3)], "document_id int, page_number int")
