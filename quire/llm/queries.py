@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import packing
+from quire.llm import grammar, packing
 from quire.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,8 @@ def query(name: str, sql: str | None = None) -> Callable:
 @query("op9_best_fit_packing")
 def _(spark, root):
     return packing.pack_documents(read(spark, root, "documents"))
+
+
+@query("op8_token_files")
+def _(spark, root):
+    return grammar.token_files(read(spark, root, "documents"))
