@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import grammar, packing
+from quire.llm import grammar, packing, quality
 from quire.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,8 @@ def _(spark, root):
 @query("op8_token_files")
 def _(spark, root):
     return grammar.token_files(read(spark, root, "documents"))
+
+
+@query("op1_quality_rules")
+def _(spark, root):
+    return quality.quality_rules(read(spark, root, "documents"))
