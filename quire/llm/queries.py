@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import grammar, packing, quality
+from quire.llm import grammar, language, packing, quality
 from quire.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,8 @@ def _(spark, root):
 @query("op1_quality_rules")
 def _(spark, root):
     return quality.quality_rules(read(spark, root, "documents"))
+
+
+@query("op7_language_id")
+def _(spark, root):
+    return language.identify(read(spark, root, "documents"))
