@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import grammar, language, packing, quality
+from quire.llm import extract, grammar, language, packing, quality
 from quire.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,8 @@ def _(spark, root):
 @query("op7_language_id")
 def _(spark, root):
     return language.identify(read(spark, root, "documents"))
+
+
+@query("op4_html_extraction")
+def _(spark, root):
+    return extract.extract_pages(read(spark, root, "pages"))
