@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,3 +90,37 @@ def hash_strings(values: pa.Array) -> np.ndarray:
 
     one = xxhash.xxh3_64_intdigest
     return np.fromiter((one(v) for v in values.to_pylist()), dtype=np.uint64, count=len(values))
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of consecutive runs, one after the other."""
+    ends = np.cumsum(lengths)
+    at = np.repeat((starts - (ends - lengths)).astype(np.int32), lengths)
+    at += np.arange(len(at), dtype=np.int32)
+    return at
+
+
+class WordTable:
+    """Encoded words of the blocks before. ``learn`` gives ids and sizes of new words; when the table
+    would exceed ``limit`` words it starts anew."""
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_500_000) -> None:
+        self.learn, self.limit = learn, limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.ids, self.starts = pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def gather(self, words: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``words[codes]`` one after the other, and the number of ids of each."""
+        if len(self.known) + len(words) > self.limit:
+            self._forget()
+        missing = words.filter(pc.invert(pc.is_in(words, self.known))).to_pylist()
+        if missing:
+            ids, sizes = self.learn(missing)
+            self.known = pa.concat_arrays([self.known, pa.array(missing, pa.large_string())])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        at = pc.index_in(words, self.known).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+        lengths = (self.starts[1:] - self.starts[:-1])[at]
+        return self.ids[spread(self.starts[at], lengths)], lengths

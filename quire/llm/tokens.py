@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quire.llm.shared import WordTable, spread
+
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: White space other than blank and line feed; two white-space characters in a row, or one at an end.
@@ -24,18 +26,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-#: Words kept encoded between the blocks of a task.
-_KEPT_WORDS = 1_500_000
 #: One of these after a letter, at the end of a word, is a token of its own.
 _TAILS = ".,;:!?"
 
 
-def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The positions of consecutive runs, one after the other."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
 def _byte_letters() -> np.ndarray:
     """The letter that stands for each byte in a byte-level vocabulary: itself if it is visible in
     Latin-1, else the next one from U+0100 on. A line feed, which parts the words, stays."""
@@ -68,10 +62,7 @@ class Encoder:
             self.sizes[i] = len(token)
         self.feed = self._whole(["\n"])[0][0]
         self.tails = {c: self._whole([c])[0][0] for c in _TAILS}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known, self.table, self.starts = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.words = WordTable(self._learn)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -84,8 +75,8 @@ class Encoder:
         last = np.searchsorted(np.cumsum(self.sizes[ids]), ends)
         return ids, np.diff(last + 1, prepend=0)
 
-    def _learn(self, words: list[str]) -> None:
-        """Adds words to the table; one that starts with a line feed follows it, others follow a blank."""
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of words; one that starts with a line feed follows it, others follow a blank."""
         bases: dict[str, int] = {}
         odd: dict[str, int] = {}
         which, feed, tail = np.empty(len(words), np.int64), np.zeros(len(words), bool), np.full(len(words), -1, np.int64)
@@ -112,11 +103,9 @@ class Encoder:
         at = np.cumsum(total) - total
         out = np.empty(total.sum(), np.int64)
         out[at[feed]] = self.feed
-        out[_spread(at + feed, inner)] = ids[_spread(starts[which], inner)]
+        out[spread(at + feed, inner)] = ids[spread(starts[which], inner)]
         out[(at + total - 1)[tail >= 0]] = tail[tail >= 0]
-        self.known = pa.concat_arrays([self.known, pa.array(words, pa.large_string())])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(total)])
-        self.table = np.concatenate([self.table, out])
+        return out, total
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, each text followed by the end id, and the number of each."""
@@ -130,7 +119,7 @@ class Encoder:
         ids, counts = self._by_words(pa.array([strings[i] for i in even], pa.large_string()))
         parts = dict(zip(even, np.split(ids, np.cumsum(counts)[:-1]), strict=True)) if even else {}
         for i, x in whole.items():
-            parts[i] = np.append(x, END_ID)
+            parts[i] = np.append(x, END_ID).astype(np.int32)
         ordered = [parts[i] for i in range(len(strings))]
         return np.concatenate(ordered) if ordered else np.zeros(0, np.int64), np.array([len(x) for x in ordered], np.int64)
 
@@ -145,21 +134,12 @@ class Encoder:
         filled = pc.greater(pc.binary_length(flat), 0)
         encoded = flat.filter(filled).dictionary_encode()
         rows = rows[filled.to_numpy(zero_copy_only=False)]
-        words = encoded.dictionary
-        if len(self.known) + len(words) > _KEPT_WORDS:
-            self._forget()
-        missing = words.filter(pc.invert(pc.is_in(words, self.known))).to_pylist()
-        if missing:
-            self._learn(missing)
-        code = pc.index_in(words, self.known).to_numpy(zero_copy_only=False).astype(np.int64)
-        code = code[encoded.indices.to_numpy(zero_copy_only=False)]
-        lengths = (self.starts[1:] - self.starts[:-1])[code]
+        ids, lengths = self.words.gather(encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False))
         ends = np.cumsum(lengths)
-        ids = self.table[_spread(self.starts[code], lengths)]
         at = (ends - lengths)[np.flatnonzero(np.diff(rows, prepend=-1))]  # where each text's line feed is
         counts = np.diff(np.append(at, len(ids)))
         ids[at[1:]] = END_ID  # it ends the text before
-        return np.append(ids[1:], END_ID), counts
+        return np.append(ids[1:], np.int32(END_ID)), counts
 
 
 def crc(ids: np.ndarray) -> int:
