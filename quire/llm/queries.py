@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import extract, grammar, language, packing, quality
+from quire.llm import extract, grammar, language, packing, pieces, quality
 from quire.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def _(spark, root):
 @query("op4_html_extraction")
 def _(spark, root):
     return extract.extract_pages(read(spark, root, "pages"))
+
+
+@query("op10_sentencepiece")
+def _(spark, root):
+    return pieces.piece_digests(read(spark, root, "documents"))
