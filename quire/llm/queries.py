@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import extract, grammar, language, packing, pieces, quality
+from quire.llm import extract, grammar, language, neighbors, packing, pieces, quality
 from quire.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def _(spark, root):
 @query("op10_sentencepiece")
 def _(spark, root):
     return pieces.piece_digests(read(spark, root, "documents"))
+
+
+@query("op5_near_vectors")
+def _(spark, root):
+    return neighbors.near_vectors(read(spark, root, "embeddings"))[0]
