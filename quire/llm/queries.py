@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import extract, grammar, language, neighbors, packing, pieces, quality
+from quire.llm import extract, grammar, language, neighbors, packing, pieces, quality, spans
 from quire.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def _(spark, root):
 @query("op5_near_vectors")
 def _(spark, root):
     return neighbors.near_vectors(read(spark, root, "embeddings"))[0]
+
+
+@query("op6_sentence_spans")
+def _(spark, root):
+    return spans.span_digests(read(spark, root, "documents"))
