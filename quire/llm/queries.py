@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import extract, grammar, language, neighbors, packing, pieces, quality, spans
+from quire.llm import extract, grammar, language, neighbors, ngram_join, packing, pieces, quality, spans
 from quire.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def _(spark, root):
 @query("op6_sentence_spans")
 def _(spark, root):
     return spans.span_digests(read(spark, root, "documents"))
+
+
+@query("op3_ngram_jaccard_join")
+def _(spark, root):
+    return ngram_join.join_groups(read(spark, root, "documents"), n=3, percent=90)
