@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import extract, grammar, language, neighbors, ngram_join, packing, pieces, quality, spans
+from quire.llm import extract, grammar, language, neighbors, ngram_join, packing, pieces, quality, spans, suffixes
 from quire.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def _(spark, root):
 @query("op3_ngram_jaccard_join")
 def _(spark, root):
     return ngram_join.join_groups(read(spark, root, "documents"), n=3, percent=90)
+
+
+@query("op2_suffix_array_dedup")
+def _(spark, root):
+    return suffixes.dedup_bytes(read(spark, root, "documents")).drop("kept")

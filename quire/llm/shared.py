@@ -30,12 +30,25 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+#: Spark removes the shuffle files of a query at its end where this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder, which cuts the lineage there: a lost
-    executor costs its running tasks only."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executor costs its running tasks only. The shuffle files behind the table go when it is written."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def doc_texts(docs: DataFrame, *more: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,7 +117,7 @@ class WordTable:
     """Encoded words of the blocks before. ``learn`` gives ids and sizes of new words; when the table
     would exceed ``limit`` words it starts anew."""
 
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_500_000) -> None:
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 800_000) -> None:
         self.learn, self.limit = learn, limit
         self._forget()
 
@@ -115,12 +128,13 @@ class WordTable:
         """The ids of ``words[codes]`` one after the other, and the number of ids of each."""
         if len(self.known) + len(words) > self.limit:
             self._forget()
-        missing = words.filter(pc.invert(pc.is_in(words, self.known))).to_pylist()
-        if missing:
-            ids, sizes = self.learn(missing)
-            self.known = pa.concat_arrays([self.known, pa.array(missing, pa.large_string())])
+        missing = words.filter(pc.invert(pc.is_in(words, self.known)))
+        learned = [self.learn(missing.slice(i, 40_000).to_pylist()) for i in range(0, len(missing), 40_000)]
+        if learned:
+            self.known = pa.concat_arrays([self.known, missing.cast(pa.large_string())])
+            sizes = np.concatenate([sizes for _, sizes in learned])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+            self.ids = np.concatenate([self.ids, *(ids.astype(np.int32) for ids, _ in learned)])
         at = pc.index_in(words, self.known).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
         lengths = (self.starts[1:] - self.starts[:-1])[at]
         return self.ids[spread(self.starts[at], lengths)], lengths
