@@ -334,3 +334,26 @@ def dedup_bytes(docs: DataFrame, build_bytes: int = BUILD_BYTES) -> DataFrame:
     ranges = repeated_ranges(docs, build_bytes).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     joined = doc_texts(docs).join(ranges, "doc_id", "left")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def _cut_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for text, ranges in zip(batch.column("text").to_pylist(), batch.column("_ranges").to_pylist(), strict=True):
+            if text is not None and ranges:
+                data, at, kept = text.encode(), 0, []
+                for start, stop in merged((r["start"], r["stop"]) for r in ranges):
+                    kept.append(data[at:start])
+                    at = stop
+                text = b"".join([*kept, data[at:]]).decode(errors="ignore")
+            texts.append(text)
+        columns = {name: batch.column(name) for name in batch.schema.names if name != "_ranges"} | {"text": pa.array(texts, pa.string())}
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+def cut_documents(docs: DataFrame, build_bytes: int = BUILD_BYTES) -> DataFrame:
+    """All rows and columns of ``docs`` with the repeated bytes taken out of ``text``; a character that a cut
+    leaves incomplete goes too. A null text stays null."""
+    ranges = repeated_ranges(docs, build_bytes).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "stop")).alias("_ranges"))
+    joined = docs.join(ranges, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    return joined.mapInArrow(_cut_texts, docs.schema)
