@@ -7,8 +7,6 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_QUERY_TOKENS = 12
-MAX_QUERY_CHARS = 200
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 
 
@@ -26,6 +24,7 @@ def _accent_table() -> tuple[str, str]:
 
 _ACCENTED, _PLAIN = _accent_table()
 _MARKS = "".join(chr(code) for code in range(0x300, 0x370))
+_FOLDING = str.maketrans(_ACCENTED, _PLAIN, _MARKS)
 
 
 def _is_ascii(text: Column) -> Column:
@@ -48,19 +47,21 @@ def tokens(text: Column) -> Column:
 
 
 def query_terms(query: Column) -> Column:
-    """At most twelve prefix terms of a search query; repeats are kept."""
-    return F.slice(tokens(query), 1, MAX_QUERY_TOKENS)
+    """Prefix terms of a search query; repeats are kept."""
+    return tokens(query)
+
+
+def literal_tokens(text: str) -> list[str]:
+    """``tokens`` of a text known to the driver."""
+    folded = text.lower().translate(_FOLDING)
+    return "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in folded).split()
 
 
 def match_expression(query: Column) -> Column:
-    """Quoted prefix terms joined by AND; null when the query has no token or is too long."""
+    """Quoted prefix terms joined by AND; null when the query has no token."""
     raw = F.regexp_extract_all(query, F.lit(TOKEN_PATTERN), F.lit(0))
-    quoted = F.transform(
-        F.slice(raw, 1, MAX_QUERY_TOKENS), lambda t: F.concat(F.lit('"'), t, F.lit('"*'))
-    )
-    return F.when(
-        (F.size(raw) > 0) & (F.length(query) <= MAX_QUERY_CHARS), F.array_join(quoted, " AND ")
-    )
+    quoted = F.transform(raw, lambda t: F.concat(F.lit('"'), t, F.lit('"*')))
+    return F.when(F.size(raw) > 0, F.array_join(quoted, " AND "))
 
 
 def word_count(text: Column) -> Column:

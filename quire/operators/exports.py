@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.skew import attach
-from quire.functions.text import ASSET_REFERENCE, asset_url, export_stem, interleave
+from quire.functions.text import ASSET_LINK, asset_url, export_stem, interleave
 
 SEPARATOR = "\n\n---\n\n"
 _PAGE = ["document_id", "page_number"]
@@ -108,14 +108,15 @@ def resolve_asset_links(pages: DataFrame, assets: DataFrame) -> DataFrame:
     ``pages`` carry session_id. Only the links found in a page travel to the join, and each page
     takes back just its own matches.
     """
-    names = F.regexp_extract_all("markdown", F.lit(ASSET_REFERENCE), F.lit(2))
+    found = F.regexp_extract_all("markdown", F.lit(ASSET_LINK), F.lit(0))
+    names = F.transform(found, lambda x: F.rtrim(F.substring_index(x, "](assets/", -1), F.lit(")")))
     links = pages.select(*_PAGE, F.explode(F.array_distinct(names)).alias("filename"))
     known = (
         attach(links, assets.select("document_id", "filename"), ["document_id", "filename"], "left_semi")
         .groupBy(*_PAGE)
         .agg(F.collect_set("filename").alias("_known"))
     )
-    opens = F.regexp_extract_all("markdown", F.lit(ASSET_REFERENCE), F.lit(1))
+    opens = F.transform(found, lambda x: F.concat(F.substring_index(x, "](assets/", 1), F.lit("](")))
 
     def link(reference: Column) -> Column:
         name = reference["name"]
@@ -124,7 +125,7 @@ def resolve_asset_links(pages: DataFrame, assets: DataFrame) -> DataFrame:
         return F.concat(reference["open"], target, F.lit(")"))
 
     links = F.transform(F.arrays_zip(opens.alias("open"), names.alias("name")), link)
-    rebuilt = interleave(F.split("markdown", ASSET_REFERENCE), links)
+    rebuilt = interleave(F.split("markdown", ASSET_LINK), links)
     joined = pages.join(known, _PAGE, "left")
     return joined.withColumn(
         "markdown",

@@ -12,8 +12,8 @@ from quire.functions.binding import computed
 from quire.functions.text import dedupe_string_list, export_stem
 from quire.templates import TEMPLATES, Field, Group, Template
 
-MAX_TEXT = 4000
-MAX_ITEMS = 500
+#: An amount: digits with an optional sign, fraction and exponent, or the name of a special value.
+_AMOUNT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)\s*$"
 _AMOUNT_BOUND = 1e12
 # Every Unicode blank.
 _BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -40,7 +40,7 @@ def _raw_leaves(fields: Sequence[Field], parent: Column) -> list[Column]:
 
 def _raw_list(parsed: Column, key: str) -> Column:
     return F.struct(
-        F.slice(F.try_variant_get(parsed, f"$.{key}", "array<variant>"), 1, MAX_ITEMS).alias("items"),
+        F.try_variant_get(parsed, f"$.{key}", "array<variant>").alias("items"),
         F.try_variant_get(parsed, f"$.{key}", "string").isNotNull().alias("given"),
     ).alias(key)
 
@@ -55,18 +55,23 @@ def _raw_item_of(group: Group) -> Callable[[Column], Column]:
 
 
 def _text(raw: Column) -> Column:
-    """Trimmed text cut to the limit, blank as null."""
+    """Trimmed text, blank as null."""
     trimmed = F.btrim(raw, F.lit(_BLANKS))
-    return F.when(trimmed != "", F.substring(trimmed, 1, MAX_TEXT))
+    return F.when(trimmed != "", trimmed)
+
+
+def _amount(raw: Column) -> Column:
+    """A number by its form; literals with a type suffix are none."""
+    return F.when(raw.rlike(_AMOUNT), F.btrim(raw, F.lit(_BLANKS)).try_cast("double"))
 
 
 def _number(raw: Column) -> Column:
-    return F.round(raw.try_cast("double"), 6)
+    return F.round(_amount(raw), 6)
 
 
 def _number_error(raw: Column) -> Column:
     """A blank string counts as absent, as does null; anything else must be a finite amount."""
-    number = raw.try_cast("double")
+    number = _amount(raw)
     return F.when(raw.isNotNull() & (raw != "") & number.isNull(), "Amounts must be numbers").when(
         F.isnan(number) | (F.abs(number) >= _AMOUNT_BOUND), "Amount is outside the supported range"
     )
@@ -101,8 +106,8 @@ def _first_error(errors: Column) -> Column:
 def normalize_extraction(df: DataFrame, template_id: str, parsed: str = "parsed") -> DataFrame:
     """Adds ``data`` (the template's struct) and fills ``error``; data is null where error is set.
 
-    Undeclared keys vanish, text is trimmed, amounts are rounded to six places, repeated
-    sections hold at most 500 entries, and the first failing field names the error.
+    Undeclared keys vanish, text is trimmed, amounts are rounded to six places, and the first
+    failing field names the error.
     The variant is read once into raw text, which the rules then work on.
     """
     template = TEMPLATES[template_id]

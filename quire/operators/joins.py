@@ -80,13 +80,17 @@ def delete_set_null(children: DataFrame, deleted: DataFrame, key: str, column: s
     ).select(*children.columns)
 
 
-def batch_correlate(requested: DataFrame, results: DataFrame, key: str = "custom_id") -> DataFrame:
+def batch_correlate(requested: DataFrame, results: DataFrame, key: str = "custom_id", order: str | None = None) -> DataFrame:
     """Requested pages with their result by id, in any order of lines.
 
-    An id reported as an error, by either file, is an error; one without any line gets its own.
+    An id reported as an error, by either file, is an error; one without any line gets its own. Of
+    several lines of one id the last by ``order`` counts, by default the greatest text.
     """
+    by = [F.col(order)] if order else []
     found = results.groupBy(key).agg(
-        F.max("markdown").alias("_markdown"), F.max("error").alias("_error"), F.lit(True).alias("_found")
+        F.max_by("markdown", F.when(F.col("markdown").isNotNull(), F.struct(*by, F.col("markdown")))).alias("_markdown"),
+        F.max_by("error", F.when(F.col("error").isNotNull(), F.struct(*by, F.col("error")))).alias("_error"),
+        F.lit(True).alias("_found"),
     )
     error = F.when(F.col("_found").isNull(), "no result for this page").otherwise(F.col("_error"))
     return (

@@ -7,7 +7,6 @@ frequency is the number of page tokens with that prefix, and the corpus is all p
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,9 +16,8 @@ from pyspark.sql import functions as F
 from quire.functions.binding import computed
 from quire.functions.skew import attach
 from quire.functions.tokens import (
-    MAX_QUERY_CHARS,
-    MAX_QUERY_TOKENS,
     fold,
+    literal_tokens,
     match_expression,
     query_terms,
     tokens,
@@ -87,13 +85,8 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def search_terms(query: str) -> list[str]:
-    """Folded prefix terms of a literal query; repeats are kept, over-long queries give none."""
-    if len(query) > MAX_QUERY_CHARS:
-        return []
-    folded = "".join(
-        c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c)
-    )
-    return re.findall(r"[^\W_]+", folded)[:MAX_QUERY_TOKENS]
+    """Folded prefix terms of a literal query by the rule that page text is folded with; repeats are kept."""
+    return literal_tokens(query)
 
 
 def _idf(n_pages: Column, frequency: Column) -> Column:
@@ -204,14 +197,12 @@ def search_many(
     A query with repeated terms counts them as often as they occur.
     """
     wanted = (
-        queries.where(F.length(text) <= MAX_QUERY_CHARS)
-        .select(key, F.explode(query_terms(F.col(text))).alias("term"))
+        queries.select(key, F.explode(query_terms(F.col(text))).alias("term"))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
     needed = wanted.groupBy(key).agg(F.count(F.lit(1)).alias("n_terms"))
     terms = wanted.select("term").distinct()
-    # At most MAX_QUERY_CHARS different lengths can occur.
     lengths = terms.agg(F.collect_set(F.char_length("term")).alias("l"))
     vocabulary = postings.select("token").distinct().withColumn("_lens", lengths.scalar())
     fitting = F.filter("_lens", lambda n: n <= F.char_length("token"))
@@ -249,7 +240,7 @@ def search_many(
     )
     order = Window.partitionBy(key).orderBy(F.desc("score"), *_PAGE)
     return complete.withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= max(1, min(k, 100))
+        F.col("rank") <= max(1, k)
     )
 
 
@@ -264,6 +255,8 @@ def search_excerpt(pages: DataFrame, query: str, width: int = 24, lead: int = 5)
     full-text engines is internal to them; this window is this operator's own definition.
     """
     terms = search_terms(query)
+    if not terms:
+        return pages.withColumn("excerpt", F.lit(None).cast("string"))
     begins = "|".join(re.escape(t) for t in dict.fromkeys(terms))
     words = pages.withColumn("_w", _words(F.col("markdown"))).withColumn("_f", _words(fold(F.col("markdown"))))
     hit = F.transform("_f", lambda w: w.rlike(rf"(^|[^\p{{L}}\p{{N}}])({begins})"))

@@ -66,10 +66,17 @@ def apply_patches(
     key: str,
     fields: Mapping[str, str | None],
     rules: Mapping[str, Column] | None = None,
+    order: str | None = None,
 ) -> DataFrame:
-    """Sparse update. ``fields`` maps a column to its "supplied" flag column in the patches, or None
+    """Sparse update. Of several patches of one key the last by ``order`` counts for each field it gives. ``fields`` maps a column to its "supplied" flag column in the patches, or None
     when a null patch value means "leave alone". ``rules`` then override columns and may refer to
     ``patch_<column>``."""
+    if order is not None:
+        given = {c: F.col(flag) if flag else F.col(c).isNotNull() for c, flag in fields.items()}
+        patches = patches.groupBy(key).agg(
+            *[F.max_by(c, F.when(given[c], F.struct(F.col(order), F.col(c)))).alias(c) for c in fields],
+            *[F.coalesce(F.bool_or(flag), F.lit(False)).alias(flag) for flag in dict.fromkeys(fields.values()) if flag],
+        )
     renamed = patches.select(
         key,
         F.lit(True).alias("_hit"),

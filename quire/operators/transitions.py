@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +25,42 @@ def initial_review_status(markdown: Column, confidence: Column, is_ocr: Column)
     return F.when(is_ocr & doubtful, "needs_review").otherwise("unreviewed")
 
 
-def upsert_pages(old: DataFrame, new: DataFrame) -> DataFrame:
+def last_by_key(rows: DataFrame, key: Sequence[str], order: str | None) -> DataFrame:
+    """The row of each key with the greatest ``order``, equal orders by the row's content. Without an order
+    column keys must not repeat."""
+    if order is None:
+        return rows
+    rest = [c for c in rows.columns if c not in key]
+    comparable = [F.to_json(F.struct(*rest))]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), *comparable)).alias("_last"))
+    return last.select(*key, "_last.*")
+
+
+def upsert_pages(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
     """Page table after OCR results and edits. A row with source text is an OCR result.
 
     OCR replaces text, confidence, report and source; a plain edit keeps those three.
     Either resets the review. Both sides carry document_id, page_number, source_markdown,
     markdown, preprocessing_json, confidence_score; the old one review_status and reviewed_at too.
+    With ``order``, a column of ``new``, a page may have several rows there: the last one gives text
+    and review, the last OCR result among them the other three.
     """
     fields = ("source_markdown", "markdown", "preprocessing_json", "confidence_score")
-    n = new.select(*_PAGE, F.lit(True).alias("_new"), *[F.col(c).alias(f"_n_{c}") for c in fields])
+    if order is None:
+        n = new.withColumn("_last_ocr", F.col("source_markdown").isNotNull())
+    else:
+        by = F.struct(F.col(order), F.col("markdown"))
+        ocr = F.col("source_markdown").isNotNull()
+        kept = ("source_markdown", "preprocessing_json", "confidence_score")
+        n = new.groupBy(*_PAGE).agg(
+            F.max_by(F.struct("markdown", ocr.alias("ocr")), by).alias("_e"),
+            F.max_by(F.struct(*kept), F.when(ocr, by)).alias("_o"),
+        ).select(*_PAGE, "_e.markdown", F.col("_e.ocr").alias("_last_ocr"), "_o.*")
+    n = n.select(*_PAGE, F.lit(True).alias("_new"), "_last_ocr", *[F.col(c).alias(f"_n_{c}") for c in fields])
     joined = old.join(n, _PAGE, "full_outer")
     touched = F.coalesce("_new", F.lit(False))
     is_ocr = F.col("_n_source_markdown").isNotNull()
-    status = initial_review_status(F.col("_n_markdown"), F.col("_n_confidence_score"), is_ocr)
+    status = initial_review_status(F.col("_n_markdown"), F.col("_n_confidence_score"), F.coalesce("_last_ocr", F.lit(False)))
     return joined.select(
         *_PAGE,
         F.coalesce("_n_source_markdown", "source_markdown").alias("source_markdown"),
@@ -58,10 +83,10 @@ def replace_page_assets(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def apply_reviews(pages: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Pages with the new status of valid reviews (one per page); only approval sets reviewed_at."""
-    valid = reviews.where(F.col("status").isin(*REVIEW_STATUSES)).select(
-        *_PAGE, F.col("status").alias("_status"), F.col("at").alias("_at")
-    )
+    """Pages with the new status of the last valid review by ``at``; only approval sets reviewed_at."""
+    valid = reviews.where(F.col("status").isin(*REVIEW_STATUSES)).groupBy(*_PAGE).agg(
+        F.max_by("status", F.struct("at", "status")).alias("_status"), F.max("at").alias("_at")
+    )
     given = F.col("_status").isNotNull()
     return (
         pages.join(valid, _PAGE, "left")
@@ -90,18 +115,21 @@ def rejected_reviews(pages: DataFrame, reviews: DataFrame) -> DataFrame:
 def upsert_extractions(old: DataFrame, new: DataFrame) -> DataFrame:
     """Extraction table keyed (document_id, profile); the first created_at stays.
 
-    ``new`` carries data_json, schema_version, status, model and ``at``.
+    ``new`` carries data_json, schema_version, status, model and ``at``; of a repeated key the row
+    with the last ``at`` counts, and a key that is new was created at its first.
     """
     key = ["document_id", "profile"]
     fields = ("data_json", "schema_version", "status", "model")
-    n = new.select(*key, F.col("at").alias("_at"), *[F.col(c).alias(f"_n_{c}") for c in fields])
+    firsts = new.groupBy(*key).agg(F.min("at").alias("_first"))
+    n = last_by_key(new.select(*key, "at", *fields), key, "at").join(firsts, key)
+    n = n.select(*key, F.col("at").alias("_at"), "_first", *[F.col(c).alias(f"_n_{c}") for c in fields])
     touched = F.col("_at").isNotNull()
     return old.join(n, key, "full_outer").select(
         *key,
         *[F.when(touched, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) for c in fields],
         F.when(touched, F.when(F.col("_n_status") == "approved", F.col("_at")))
         .otherwise(F.col("reviewed_at")).alias("reviewed_at"),
-        F.coalesce("created_at", "_at").alias("created_at"),
+        F.coalesce("created_at", "_first").alias("created_at"),
     )
 
 
@@ -258,7 +286,7 @@ def mark_pages(job_pages: DataFrame, events: DataFrame) -> DataFrame:
 
 def start_jobs(jobs: DataFrame, started: DataFrame) -> DataFrame:
     """Queued jobs named by ``started`` turn running."""
-    asked = started.select("job_id").distinct().withColumn("_started", F.lit(True))
+    asked = started.select("job_id").where("job_id IS NOT NULL").distinct().withColumn("_started", F.lit(True))
     return jobs.join(asked, "job_id", "left").withColumn(
         "status",
         F.when(F.col("_started") & (F.col("status") == "queued"), "running").otherwise(F.col("status")),

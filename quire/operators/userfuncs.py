@@ -14,7 +14,6 @@ from quire.operators.extraction import normalize_extraction, parse_annotation
 from quire.operators.windows import micro_batches
 
 MAX_ATTEMPTS = 3
-MAX_ERROR = 500
 MIN_SHORT_SIDE = 1200
 MAX_LONG_SIDE = 3600
 ANALYSIS_SIDE = 420
@@ -40,7 +39,7 @@ def process_pages(
                 return fn(document, page, text), None, number
             except Exception as error:
                 if number == max_attempts or not retryable(error):
-                    return None, str(error)[:MAX_ERROR], number
+                    return None, str(error), number
         raise AssertionError("max_attempts must be positive")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,7 +84,7 @@ def process_batches(
         got = [g for a, b in zip(starts, starts[1:], strict=False) for g in call(pages[a:b], texts[a:b])]
         out = rows[["job_id", "page_number", "batch_number"]].copy()
         out["result"] = [None if isinstance(g, Exception) else g for g in got]
-        out["error"] = [str(g)[:MAX_ERROR] if isinstance(g, Exception) else None for g in got]
+        out["error"] = [str(g) if isinstance(g, Exception) else None for g in got]
         return out
 
     def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,7 +128,7 @@ def annotate_documents(documents: DataFrame, fn: Callable[[str], str], template_
                     errors.append(None)
                 except Exception as error:
                     answers.append(None)
-                    errors.append(str(error)[:MAX_ERROR])
+                    errors.append(str(error))
             yield pd.DataFrame(
                 {"document_id": batch["document_id"], "annotation": answers, "call_error": errors}
             )

@@ -323,18 +323,18 @@ def _answer(content: str) -> str:
     """Deterministic stand-in for an annotation model."""
     import json
 
-    if len(content) > 20000:
-        raise RuntimeError("document too long")
+    if content.count("e") % 9 == 0:
+        raise RuntimeError("no answer")
     return json.dumps({"merchant_name": f"  {content.count(' ')} blanks ", "total_amount": len(content) / 8, "ignored": 1})
 
 
 @query(
     "annotate_documents",
     """
-    SELECT document_id, CASE WHEN length(content) > 20000 THEN 'document too long' END AS error,
-           CASE WHEN length(content) <= 20000 THEN concat(length(content) - length(replace(content, ' ', '')), ' blanks') END AS merchant_name,
-           CASE WHEN length(content) <= 20000 THEN length(content) / 8e0 END AS total_amount
-    FROM [[doc_table]]
+    SELECT document_id, CASE WHEN silent THEN 'no answer' END AS error,
+           CASE WHEN NOT silent THEN concat(length(content) - length(replace(content, ' ', '')), ' blanks') END AS merchant_name,
+           CASE WHEN NOT silent THEN length(content) / 8e0 END AS total_amount
+    FROM (SELECT *, (length(content) - length(replace(content, 'e', ''))) % 9 = 0 AS silent FROM [[doc_table]])
     """,
 )
 def _(spark, root):

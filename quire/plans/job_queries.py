@@ -718,9 +718,9 @@ def _(spark, root):
 
 
 def _shout(document: int, page: int, markdown: str) -> str:
-    """Deterministic stand-in for a page model: fails on long pages, shortly on some."""
-    if len(markdown) > 3000:
-        raise ValueError("page too long")
+    """Deterministic stand-in for a page model: fails on some pages by their number."""
+    if (document + page) % 9 == 0:
+        raise ValueError("page unreadable")
     return f"{document}/{page}:{markdown.count(' ')}:{len(markdown)}"
 
 
@@ -728,10 +728,10 @@ def _shout(document: int, page: int, markdown: str) -> str:
     "process_pages",
     """
     SELECT document_id, page_number,
-           CASE WHEN length(markdown) <= 3000 THEN concat(document_id, '/', page_number, ':',
+           CASE WHEN (document_id + page_number) % 9 <> 0 THEN concat(document_id, '/', page_number, ':',
                 length(markdown) - length(replace(markdown, ' ', '')), ':', length(markdown)) END AS result,
-           CASE WHEN length(markdown) > 3000 THEN 'page too long' END AS error,
-           CAST(CASE WHEN length(markdown) > 3000 THEN 3 ELSE 1 END AS INTEGER) AS attempts
+           CASE WHEN (document_id + page_number) % 9 = 0 THEN 'page unreadable' END AS error,
+           CAST(CASE WHEN (document_id + page_number) % 9 = 0 THEN 3 ELSE 1 END AS INTEGER) AS attempts
     FROM [[doc_pages]]
     """,
 )

@@ -70,8 +70,8 @@ def _(spark, root):
 @query(
     "build_search_query",
     """
-    SELECT query_id, CASE WHEN length(query) <= 200 AND len(t) > 0
-             THEN array_to_string(list_transform(t[1:12], lambda x: concat('"', x, '"*')), ' AND ') END AS match_expression
+    SELECT query_id, CASE WHEN len(t) > 0
+             THEN array_to_string(list_transform(t, lambda x: concat('"', x, '"*')), ' AND ') END AS match_expression
     FROM (SELECT query_id, query, regexp_extract_all(query, '[\\p{L}\\p{N}]+') AS t FROM (
       SELECT query_id, query FROM [[user_queries]]
       UNION ALL SELECT -1 - o_orderkey, concat_ws('-', o_orderkey, o_custkey, o_orderpriority, o_orderstatus, o_custkey + 1,

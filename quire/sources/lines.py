@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.binding import let
+
 RESULT_SCHEMA = (
     "custom_id string, error string, response struct<status_code: string, body: string>"
 )
@@ -14,7 +16,6 @@ BODY_SCHEMA = (
     "pages array<struct<markdown: string, images: array<struct<id: string, image_base64: string>>, "
     "confidence_scores: struct<average_page_confidence_score: string>>>"
 )
-MAX_ERROR = 500
 
 
 def batch_request_lines(images: DataFrame) -> DataFrame:
@@ -42,14 +43,14 @@ def parse_result_lines(lines: DataFrame, error_file: bool = False) -> DataFrame:
     body = F.col("_l.response.body")
     if error_file:
         given = F.coalesce(F.col("_l.error"), F.col("value"))
-        error = F.substring(given, 1, MAX_ERROR)
+        error = given
     else:
         empty = body.isNull() | body.isin("", "{}")
         given = F.coalesce(
             F.nullif(F.col("_l.error"), F.lit("")), F.when(~empty, body),
             F.concat(F.lit("HTTP "), status.cast("string")),
         )
-        error = F.when(status != 200, F.substring(given, 1, MAX_ERROR))
+        error = F.when(status != 200, given)
     return parsed.select(
         F.col("_l.custom_id").alias("custom_id"),
         status.alias("status_code"),
@@ -90,20 +91,38 @@ def map_provider_page(results: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+def _pairs(text: Column) -> Column:
+    """Map of the ``k=v`` pieces of a text; of a repeated key the last value counts. A
+    piece without ``=`` is a key without a value."""
+    pieces = F.transform(
+        F.split(text, " "),
+        lambda x, i: F.struct(
+            F.substring_index(x, "=", 1).alias("key"), (-i).alias("back"),
+            F.when(x.contains("="), F.substr(x, F.locate("=", x) + 1)).alias("value"),
+        ),
+    )
+    last = let(
+        F.sort_array(pieces),
+        lambda s: F.filter(s, lambda e, i: (i == 0) | (e["key"] != F.get(s, i - 1)["key"])),
+    )
+    ordered = F.sort_array(F.transform(last, lambda e: F.struct((-e["back"]).alias("at"), e["key"].alias("key"), e["value"].alias("value"))))
+    return F.map_from_entries(F.transform(ordered, lambda e: F.struct(e["key"], e["value"])))
+
+
 def parse_api_log(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``[ts] event | detail | k=v k=v`` as (ts, event, detail, extra map); detail and extra are optional."""
     value = F.col("value")
     fields = F.split(F.regexp_replace(value, r"^\[[^\]]*\] ", ""), r" \| ")
-    pairs = r"^\S+=\S*( \S+=\S*)*$"
     second, third = F.get(fields, F.lit(1)), F.get(fields, F.lit(2))
-    extra = F.coalesce(third, F.when(second.rlike(pairs), second))
-    detail = F.when(third.isNotNull() | ~second.rlike(pairs), second)
+    paired = F.forall(F.split(second, " "), lambda x: x.contains("=") & ~x.startswith("="))
+    extra = F.coalesce(third, F.when(paired, second))
+    detail = F.when(third.isNotNull() | ~paired, second)
     return lines.where(value.startswith("[")).select(
         *keep,
         F.regexp_extract(value, r"^\[([^\]]*)\]", 1).try_cast("timestamp_ntz").alias("ts"),
         F.get(fields, F.lit(0)).alias("event"),
         detail.alias("detail"),
-        F.when(extra.isNotNull(), F.str_to_map(extra, F.lit(" "), F.lit("="))).alias("extra"),
+        F.when(extra.isNotNull(), _pairs(extra)).alias("extra"),
     )
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = ("pdf", "png", "jpg", "jpeg", "webp")
-MAX_BYTES = 30 * 1024 * 1024
 
 
 def extension_of(name: Column) -> Column:
@@ -27,15 +26,17 @@ def content_mime(content: Column) -> Column:
 
 
 def ingest_files(
-    spark: SparkSession, path: str, extensions: Sequence[str] = EXTENSIONS, max_bytes: int = MAX_BYTES
+    spark: SparkSession, path: str, extensions: Sequence[str] = EXTENSIONS, max_bytes: int | None = None
 ) -> DataFrame:
     """Files below ``path`` as (name, extension, bytes, sha256, mime_type, is_pdf, content).
 
-    Size and name are filtered before any content is read.
+    Empty files and other extensions are filtered before any content is read, larger files only where
+    ``max_bytes`` is given.
     """
+    fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .where((F.col("length") > 0) & (F.col("length") <= max_bytes))
+        .where((F.col("length") > 0) & fits)
     )
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     return (
@@ -52,7 +53,7 @@ def ingest_files(
     )
 
 
-def validate_uploads(files: DataFrame) -> DataFrame:
+def validate_uploads(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Adds ``mime_type``, ``accepted`` and ``reason`` to (name, content) rows, judging by content."""
     extension = extension_of(F.col("name"))
     mime = content_mime(F.col("content"))
@@ -60,7 +61,7 @@ def validate_uploads(files: DataFrame) -> DataFrame:
     reason = (
         F.when(~extension.isin(*EXTENSIONS), "unsupported extension")
         .when(size == 0, "empty file")
-        .when(size > MAX_BYTES, "file too large")
+        .when(size > max_bytes if max_bytes is not None else F.lit(False), "file too large")
         .when((extension == "pdf") & ~mime.eqNullSafe("application/pdf"), "not a valid PDF")
         .when((extension != "pdf") & ~F.coalesce(mime.startswith("image/"), F.lit(False)), "not a readable image")
     )

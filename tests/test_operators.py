@@ -148,9 +148,23 @@ def test_extraction_errors(spark):
     assert rows[-2]["data"]["purchased_items"] == [None]
 
 
-def test_long_lists_and_texts_are_cut(spark):
+def test_long_lists_and_texts_stay_whole(spark):
     data = normalized(spark, "receipt", {"merchant_name": "x" * 5000, "purchased_items": [{"amount": i} for i in range(600)]}).first()["data"]
-    assert len(data["merchant_name"]) == 4000 and len(data["purchased_items"]) == 500
+    assert len(data["merchant_name"]) == 5000 and len(data["purchased_items"]) == 600
+
+
+def test_amounts_by_form(spark):
+    for text, amount in (("5d", None), ("7f", None), ("NaN", None), ("0x1", None), (" 1e2 ", 100.0), ("-.5", -0.5), ("3.", 3.0)):
+        row = normalized(spark, "receipt", {"total_amount": text}).first()
+        assert (row["data"] and row["data"]["total_amount"]) == amount and (row["error"] is None) == (amount is not None)
+
+
+def test_log_lines_with_repeated_keys_and_many_pairs(spark):
+    many = " ".join(f"k{i}=v{i}" for i in range(50_000))
+    lines = [("[2026-08-14 10:00:00] a | x=1 y=a=b x=2",), (f"[2026-08-14 10:00:00] b | {many}",), ("[2026-08-14 10:00:00] c | name=my report pages=3",)]
+    got = {r.event: r for r in parse_api_log(spark.createDataFrame(lines, "value string")).collect()}
+    assert got["a"].extra == {"x": "2", "y": "a=b"} and len(got["b"].extra) == 50_000
+    assert got["c"].extra is None and got["c"].detail == "name=my report pages=3"
 
 
 def test_number_text(spark):
@@ -220,7 +234,7 @@ def test_out_of_order_batch_lines(spark, tmp_path):
     got = {r["custom_id"]: r for r in map_provider_page(rows).collect()}
     assert (got["1"]["markdown"], got["2"]["markdown"], got["2"]["confidence"], got["1"]["confidence"]) == ("one", "two", 1.0, None)
     assert [i["id"] for i in got["1"]["images"]] == ["a"]
-    assert got["3"]["error"].startswith('{"m"') and len(got["3"]["error"]) == 500
+    assert got["3"]["error"].startswith("{\"m\"") and len(got["3"]["error"]) == 608
     assert (got["4"]["error"], got["5"]["error"], got["6"]["markdown"], got["6"]["error"]) == ("bad", "HTTP 404", "", None)
 
 
@@ -332,3 +346,28 @@ def test_metadata_scan_never_reads_content(spark, tmp_path):
     spark.createDataFrame([(1, bytearray(b"x"))], "document_id int, content binary").write.parquet(str(tmp_path / "d"))
     plan = page_metadata_scan(spark.read.parquet(str(tmp_path / "d")))._jdf.queryExecution().executedPlan().toString()
     assert "document_id" in plan and "content" not in plan
+
+
+def test_last_writer_wins_in_upserts(spark):
+    old = spark.createDataFrame(
+        [(1, 1, "s0", "m0", "p0", 0.5, "approved", "t0")],
+        "document_id int, page_number int, source_markdown string, markdown string, preprocessing_json string, "
+        "confidence_score double, review_status string, reviewed_at string",
+    )
+    new = spark.createDataFrame(
+        [(1, 1, "s1", "m1", "p1", 0.9, 1), (1, 1, None, "edit", None, None, 2), (2, 1, None, "a", None, None, 1), (2, 1, None, "b", None, None, 3)],
+        "document_id int, page_number int, source_markdown string, markdown string, preprocessing_json string, confidence_score double, at int",
+    )
+    got = {r.document_id: r for r in transitions.upsert_pages(old, new, "at").collect()}
+    assert (got[1].markdown, got[1].confidence_score, got[1].source_markdown, got[1].review_status) == ("edit", 0.9, "s1", "unreviewed")
+    assert got[2].markdown == "b" and len(got) == 2
+    reviews = spark.createDataFrame([(1, 1, "approved", "t1"), (1, 1, "needs_review", "t2"), (1, 1, "odd", "t3")], "document_id int, page_number int, status string, at string")
+    rows = transitions.apply_reviews(old, reviews).collect()
+    assert [(r.review_status, r.reviewed_at) for r in rows] == [("needs_review", None)]
+    made = spark.createDataFrame(
+        [(1, "p", "x", 1, "draft", "m", 1), (1, "p", "y", 1, "approved", "m", 2)],
+        "document_id int, profile string, data_json string, schema_version int, status string, model string, at int",
+    )
+    none = spark.createDataFrame([], "document_id int, profile string, data_json string, schema_version int, status string, model string, reviewed_at int, created_at int")
+    rows = transitions.upsert_extractions(none, made).collect()
+    assert [(r.data_json, r.created_at, r.reviewed_at) for r in rows] == [("y", 1, 2)]
