@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.skew import attach
 from quire.llm.shared import WORD_SPACE, blocks, mix, split_words, written
 
 #: Characters that count as symbols.
@@ -198,7 +199,7 @@ def _closest(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     one = Window.partitionBy("unit", "start")
     counts = counts.withColumn("upto", F.sum("n").over(one.orderBy("step"))).withColumn("all", F.sum("n").over(one))
     bounds = counts.where(F.col("upto") >= SUPPORT * F.col("all")).groupBy("unit", "start").agg(F.min("step").alias("bound"))
-    return placed.join(bounds, ["unit", "start"]).where("step <= bound").select("unit", "start", "vector")
+    return attach(placed, bounds, ["unit", "start"], "inner").where("step <= bound").select("unit", "start", "vector")
 
 
 def _units(stats: DataFrame) -> DataFrame:
