@@ -64,18 +64,29 @@ def assign_sort_order(
     ).drop("_top", "_rank")
 
 
-def finalize_jobs(job_pages: DataFrame) -> DataFrame:
-    """Jobs without a queued or running page; failed ones name how many pages failed."""
+def finalize_jobs(job_pages: DataFrame, jobs: DataFrame | None = None, at: Column | None = None) -> DataFrame:
+    """Jobs without a queued or running page; failed ones name how many pages failed.
+
+    With ``jobs`` (job_id, status) only those that are still queued or running themselves end, and
+    ``finished_at`` is set to ``at``.
+    """
     counted = job_pages.groupBy("job_id").agg(
         F.count_if(F.col("status").isin("queued", "running")).alias("_pending"),
         F.count_if(_is("failed")).alias("_failed"),
     )
-    return counted.where("_pending = 0").select(
+    ending = counted.where("_pending = 0")
+    stamp = []
+    if jobs is not None:
+        live = jobs.where(F.col("status").isin("queued", "running")).select("job_id")
+        ending = ending.join(live, "job_id", "left_semi")
+        stamp = [(at if at is not None else F.current_timestamp()).alias("finished_at")]
+    return ending.select(
         "job_id",
         F.when(F.col("_failed") > 0, "failed").otherwise("completed").alias("status"),
         F.when(
             F.col("_failed") > 0, F.concat(F.col("_failed").cast("string"), F.lit(" page(s) failed"))
         ).alias("error"),
+        *stamp,
     )
 
 

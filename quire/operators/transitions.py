@@ -15,6 +15,7 @@ REVIEW_STATUSES = ("unreviewed", "needs_review", "approved")
 TOP_PRIORITY = 1000
 MAX_ATTEMPTS = 3
 _PAGE = ["document_id", "page_number"]
+_GIVEN = ("processing_mode", "remote_batch_id")
 _TERMINAL_PAGE = ("completed", "failed", "cancelled")
 
 
@@ -258,7 +259,9 @@ def mark_pages(job_pages: DataFrame, events: DataFrame) -> DataFrame:
     """Job pages after all status events (``status``, ``duration_ms``, ``ts``, ``event_id``).
 
     The last event decides status and error, durations keep the last known value, each start
-    counts as an attempt, and times follow the last start and the last end.
+    counts as an attempt, and times follow the last start and the last end. Where the tables have
+    them, a start also sets ``priority`` to 0, ``error_code`` follows the last event, and
+    ``processing_mode`` and ``remote_batch_id`` keep the last value that an event gives.
     """
     key = ["job_id", "page_number"]
     order = F.struct("ts", "event_id")
@@ -271,8 +274,16 @@ def mark_pages(job_pages: DataFrame, events: DataFrame) -> DataFrame:
         F.count_if(running).alias("_starts"),
         F.max(F.when(running, ts)).alias("_started"),
         F.max(F.when(ended, ts)).alias("_finished"),
+        *[F.max_by(c, order).alias(f"_{c}") for c in ("error_code",) if c in events.columns],
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"_{c}") for c in _GIVEN if c in events.columns],
     )
     hit = F.col("_status").isNotNull()
+    more = []
+    if "priority" in job_pages.columns:
+        more.append(F.when(F.coalesce("_starts", F.lit(0)) > 0, 0).otherwise(F.col("priority")).alias("priority"))
+    if "error_code" in job_pages.columns and "error_code" in events.columns:
+        more.append(F.when(hit, F.col("_error_code")).otherwise(F.col("error_code")).alias("error_code"))
+    more += [F.coalesce(f"_{c}", c).alias(c) for c in _GIVEN if c in job_pages.columns and c in events.columns]
     return job_pages.join(summary, key, "left").select(
         *key,
         F.coalesce("_status", "status").alias("status"),
@@ -281,6 +292,7 @@ def mark_pages(job_pages: DataFrame, events: DataFrame) -> DataFrame:
         (F.col("attempts") + F.coalesce("_starts", F.lit(0))).alias("attempts"),
         F.coalesce("_started", "started_at").alias("started_at"),
         F.coalesce("_finished", "finished_at").alias("finished_at"),
+        *more,
     )
 
 

@@ -41,11 +41,9 @@ def _(spark, root):
     """
     SELECT date_trunc('minute', ts) AS window_start, count(*) AS pages, count(*) > 1100 AS over_target
     FROM [[job_pages]] GROUP BY window_start
-    HAVING window_start + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM [[job_pages]]) - INTERVAL 10 MINUTE
     """,
 )
 def _(spark, root):
-    """Windows closed by the watermark, as in append mode; the last ten minutes stay open."""
     pages = _timed(bind_stream(spark, root, "job_pages"))
     closed = streams.stream_rate_windows(spark, pages, work_dir(spark, "rate"))
     return closed.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "pages", "over_target")
@@ -63,13 +61,14 @@ def _(spark, root):
 @query(
     "stream_job_progress",
     """
-    SELECT job_id, CAST(count(*) FILTER (status IN ('completed', 'failed', 'cancelled')) AS BIGINT) AS done,
-           count(*) AS total FROM [[job_pages]] GROUP BY job_id
+    SELECT job_id, CAST(count(*) FILTER (status IN ('completed', 'failed', 'cancelled')) AS BIGINT) AS done, count(*) AS total
+    FROM (SELECT job_id, page_number, arg_max(status, (ts, event_id)) AS status FROM [[status_events]] GROUP BY job_id, page_number)
+    GROUP BY job_id
     """,
 )
 def _(spark, root):
     return streams.stream_job_progress(
-        spark, bind_stream(spark, root, "job_pages"), work_dir(spark, "progress")
+        spark, bind_stream(spark, root, "status_events"), work_dir(spark, "progress")
     )
 
 

@@ -18,6 +18,7 @@ from quire.functions.skew import attach
 from quire.operators.aggregates import PAGES_PER_MINUTE, TARGET_UTILIZATION, ewma_parts, ewma_value, merge_ewma
 from quire.operators.joins import reject_stale
 from quire.operators.search import inverted_index
+from quire.operators.transitions import last_by_key
 
 CLAIM_SALTS = 64
 
@@ -84,18 +85,20 @@ def stream_claims(spark: SparkSession, claims: DataFrame, path: str, horizon: st
 
 
 def stream_rate_windows(
-    spark: SparkSession, pages: DataFrame, path: str, delay: str = "10 minutes",
-    target: float = PAGES_PER_MINUTE * TARGET_UTILIZATION,
+    spark: SparkSession, pages: DataFrame, path: str, target: float = PAGES_PER_MINUTE * TARGET_UTILIZATION
 ) -> DataFrame:
-    """Pages per closed one-minute window against the target rate; late rows beyond the delay are dropped."""
-    windows = (
-        pages.withWatermark("ts", delay)
-        .groupBy(F.window("ts", "1 minute"))
-        .agg(F.count(F.lit(1)).alias("pages"))
-        .select(F.col("window.start").alias("window_start"), "pages", (F.col("pages") > target).alias("over_target"))
-    )
-    run_log(windows, lambda batch: batch, path)
-    return read_log(spark, path)
+    """Pages per one-minute window against the target rate.
+
+    Each micro-batch logs its own counts and the log is summed, so a window shows at once, late rows
+    count in their window, and no state is held between batches.
+    """
+
+    def counts(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(F.window("ts", "1 minute").start.alias("window_start")).agg(F.count(F.lit(1)).alias("pages"))
+
+    run_log(pages, counts, path)
+    windows = read_log(spark, path).groupBy("window_start").agg(F.sum("pages").alias("pages"))
+    return windows.withColumn("over_target", F.col("pages") > target)
 
 
 def stream_latency_ewma(
@@ -116,25 +119,23 @@ def stream_latency_ewma(
     return ewma_value(merge_ewma(read_log(spark, path), [key], "batch_id", keep), [key], keep)
 
 
-def stream_job_progress(spark: SparkSession, job_pages: DataFrame, path: str) -> DataFrame:
-    """Done and total pages per job; only the jobs a batch touched are written for it."""
-
-    def reduce_batch(batch: DataFrame) -> DataFrame:
-        done = F.col("status").isin("completed", "failed", "cancelled")
-        return batch.groupBy("job_id").agg(F.count_if(done).alias("done"), F.count(F.lit(1)).alias("total"))
-
-    run_log(job_pages, reduce_batch, path)
-    return read_log(spark, path).groupBy("job_id").agg(F.sum("done").alias("done"), F.sum("total").alias("total"))
+def stream_job_progress(spark: SparkSession, events: DataFrame, path: str) -> DataFrame:
+    """Done and total pages per job by each page's newest status (job_id, page_number, status, ts, event_id)."""
+    newest = stream_latest_status(spark, events, path)
+    done = F.col("status").isin("completed", "failed", "cancelled")
+    return newest.groupBy("job_id").agg(F.count_if(done).alias("done"), F.count(F.lit(1)).alias("total"))
 
 
-def stream_index_update(spark: SparkSession, changes: DataFrame, path: str) -> DataFrame:
+def stream_index_update(spark: SparkSession, changes: DataFrame, path: str, order: str | None = None) -> DataFrame:
     """Postings in step with page changes; null markdown deletes a page.
 
-    Each batch appends the postings of its pages and the list of those pages. A posting counts
+    Of several changes of one page in a batch the last by ``order``, a column of the changes, counts;
+    without it a page changes at most once a batch. Each batch appends the postings of its pages and the list of those pages. A posting counts
     while no later batch touched its page.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = last_by_key(batch, ["document_id", "page_number"], order)
         pages = batch.select("document_id", "page_number").distinct()
         pages.write.mode("overwrite").parquet(f"{path}/touched/batch_id={batch_id}")
         inverted_index(batch.where(F.col("markdown").isNotNull())).write.mode("overwrite").parquet(

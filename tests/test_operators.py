@@ -371,3 +371,22 @@ def test_last_writer_wins_in_upserts(spark):
     none = spark.createDataFrame([], "document_id int, profile string, data_json string, schema_version int, status string, model string, reviewed_at int, created_at int")
     rows = transitions.upsert_extractions(none, made).collect()
     assert [(r.data_json, r.created_at, r.reviewed_at) for r in rows] == [("y", 1, 2)]
+
+
+def test_only_live_jobs_end_and_marks_carry_mode_and_code(spark):
+    pages = spark.createDataFrame([("a", "completed"), ("b", "failed"), ("c", "running")], "job_id string, status string")
+    jobs = spark.createDataFrame([("a", "cancelled"), ("b", "running"), ("c", "running")], "job_id string, status string")
+    got = aggregates.finalize_jobs(pages, jobs, F.lit("now")).collect()
+    assert [(r.job_id, r.status, r.finished_at) for r in got] == [("b", "failed", "now")]
+    stored = spark.createDataFrame(
+        [("a", 1, "queued", None, None, 0, None, None, 1000, None, "realtime", None)],
+        "job_id string, page_number int, status string, error string, duration_ms long, attempts int, started_at int, finished_at int, "
+        "priority int, error_code string, processing_mode string, remote_batch_id string",
+    )
+    events = spark.createDataFrame(
+        [("a", 1, "running", None, None, 1, 1, None, "batch", "r1"), ("a", 1, "failed", "bad", 5, 2, 2, "upstream_503", None, None)],
+        "job_id string, page_number int, status string, error string, duration_ms long, ts int, event_id int, error_code string, "
+        "processing_mode string, remote_batch_id string",
+    )
+    row = transitions.mark_pages(stored, events).first()
+    assert (row.status, row.priority, row.error_code, row.processing_mode, row.remote_batch_id) == ("failed", 0, "upstream_503", "batch", "r1")

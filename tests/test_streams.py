@@ -53,18 +53,25 @@ def test_index_follows_changes_and_deletes(spark, tmp_path):
 
 
 def test_progress_over_batches(spark, root, tmp_path):
-    pages = bind(spark, root, "job_pages")
-    got = streams.stream_job_progress(spark, in_files(spark, pages, "event_id", str(tmp_path / "in")), str(tmp_path / "w"))
-    want = aggregates.job_rollup(pages).select("job_id", "total_pages")
+    events = bind(spark, root, "status_events")
+    got = streams.stream_job_progress(spark, in_files(spark, events, "event_id", str(tmp_path / "in")), str(tmp_path / "w"))
+    want = aggregates.job_rollup(streams.latest_status(events)).select("job_id", "total_pages")
     assert {r["job_id"]: r["total"] for r in got.collect()} == {r["job_id"]: r["total_pages"] for r in want.collect()}
 
 
-def test_late_rows_beyond_the_delay_are_dropped(spark, tmp_path):
+def test_repeated_changes_inside_a_batch(spark, tmp_path):
+    schema = "document_id int, page_number int, markdown string, seq int"
+    changes = spark.createDataFrame([(1, 1, "old words", 1), (1, 1, "new", 2), (2, 1, "gone", 3), (2, 1, None, 4)], schema)
+    got = streams.stream_index_update(spark, in_files(spark, changes, "seq", str(tmp_path / "in"), n=1), str(tmp_path / "w"), "seq")
+    assert [(r.token, r.document_id) for r in got.collect()] == [("new", 1)]
+
+
+def test_every_row_counts_in_its_window(spark, tmp_path):
     rows = [(f"2024-01-01 00:{m:02d}:30", i) for i, m in enumerate((0, 1, 40, 45, 0, 50))]
     pages = spark.createDataFrame(rows, "t string, i int").select(F.col("t").cast("timestamp").alias("ts"), "i")
     stream = in_files(spark, pages, "i", str(tmp_path / "in"), n=6)
-    got = streams.stream_rate_windows(spark, stream, str(tmp_path / "w"), delay="10 minutes")
-    assert sorted(r["pages"] for r in got.collect()) == [1, 1]
+    got = streams.stream_rate_windows(spark, stream, str(tmp_path / "w"))
+    assert sorted(r["pages"] for r in got.collect()) == [1, 1, 1, 1, 2]
 
 
 def test_claims_over_batches(spark, tmp_path):
