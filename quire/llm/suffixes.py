@@ -21,9 +21,10 @@ from quire.llm.shared import blocks, doc_texts, mix, spread, written
 
 #: Bytes of a repeated string, and of the strings inside it whose least hash deals it.
 LENGTH, INNER = 50, 16
-#: Bytes of the strings that one transform is built over, about. Strings of one hash beyond this are dealt
-#: anew, each 50-byte string by its own hash.
-BUILD_BYTES = 1 << 20
+#: Bytes of the strings that one transform is built over, about; its arrays should fit a core's cache.
+BUILD_BYTES = 1 << 16
+#: Of a hash with this many times as many bytes, each 50-byte string is dealt anew by its own hash.
+DEAL_ANEW = 16
 #: Bytes of a build kept in memory for each of its files; what is beyond goes to a scratch file of the task.
 _IN_MEMORY = 32 << 20
 
@@ -141,6 +142,27 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
+def _sides(data: np.ndarray, eight: np.ndarray, inner: np.ndarray, value: np.ndarray, begin: np.ndarray, count: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Hashes of the 17 bytes before and behind the place of each run's least inner hash, and a last bit for
+    runs that have it twice. A 50-byte string of two runs holds the 17 bytes on one side of it at least, so
+    runs of one hash with neither side in common share none. A side that leaves the run gets a value of its own."""
+    span = np.arange(2 * (LENGTH - INNER) + 1)
+    places = np.minimum(begin[:, None] + span, len(inner) - 1)
+    found = (inner[places] == value[:, None]) & (span < (count + LENGTH - INNER)[:, None])
+    at = begin + found.argmax(axis=1)
+    k = np.uint64(0x9E3779B97F4A7C15)
+    side = (LENGTH - INNER) // 2
+    end = begin + count + LENGTH - 1
+    left, right = at - side >= begin, at + INNER + side <= end
+    a, b = np.where(left, at - side, 0), np.where(right, at + INNER, 0)
+    top = len(eight) - 1
+    before = mix(mix(eight[a] * k + eight[np.minimum(a + 8, top)]) + data[a + 16])
+    behind = mix(mix(eight[b] * k + eight[np.minimum(b + 8, top)] + np.uint64(1)) + data[b + 16])
+    before, behind = np.where(left, before, mix(own + np.uint64(1))), np.where(right, behind, mix(own + np.uint64(2)))
+    packed = (before >> np.uint64(49)) << np.uint64(16) | (behind >> np.uint64(49)) << np.uint64(1) | (found.sum(axis=1) > 1).astype(np.uint64)
+    return packed.astype(np.int32)
+
+
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of 50-byte strings with the same least inner hash: the hash, a hash of the run's bytes, document,
     first position and number of strings. A run is cut where it could not hold one inner string any more."""
@@ -175,27 +197,29 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in (0, 8, 16, 24, 32, 40, LENGTH - 8):
                 own = mix(own * np.uint64(0x9E3779B97F4A7C15) + eight[at + k])
         own = mix(own + count.astype(np.uint64))
+        sides = _sides(data, eight, inner, least[begin], begin, count, own)
         doc = batch.column("doc_id").to_numpy()
         offset = np.cumsum(sizes) - sizes
         yield pa.RecordBatch.from_arrays(
-            [pa.array(least[begin].view(np.int32)), pa.array(own.view(np.int64)), pa.array(doc[row[begin]]), pa.array((begin - offset[row[begin]]).astype(np.int32)), pa.array(count.astype(np.int32))],
-            ["least", "own", "doc_id", "position", "n"],
+            [pa.array(least[begin].view(np.int32)), pa.array(own.view(np.int64)), pa.array(doc[row[begin]]), pa.array((begin - offset[row[begin]]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(sides)],
+            ["least", "own", "doc_id", "position", "n", "sides"],
         )
 
 
-_RUN = "least int, own long, doc_id long, position int, n int"
+_RUN = "least int, own long, doc_id long, position int, n int, sides int"
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs whose hash several documents have; ``leads`` tells the first document of equal runs. Rows come
-    sorted by hash, run, document and position, and only the rows of a hash with one document so far wait."""
+    """Runs whose hash several documents have; ``leads`` tells the first document of equal runs, which is left
+    out where no other run of the hash has a side in common with it. Rows come sorted by hash, run, document and position, and only
+    the rows of a hash with one document so far wait."""
     held: list[np.ndarray] | None = None
     ongoing: tuple[int, int, int] | None = None  # hash, run and first document of a shared hash so far
     for batch in batches:
-        columns = [batch.column(c).to_numpy() for c in ("least", "own", "doc_id", "position", "n")]
+        columns = [batch.column(c).to_numpy() for c in ("least", "own", "doc_id", "position", "n", "sides")]
         if held is not None:
             columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-        least, own, doc, position, n = columns
+        least, own, doc, position, n, sides = columns
         if not len(least):
             continue
         hashes = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
@@ -207,14 +231,26 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if ongoing[1] == own[0]:
                 leader[: runs[1] if len(runs) > 1 else len(own)] = ongoing[2]
         shared = np.repeat(several, np.diff(np.append(hashes, len(least))))
+        of = np.searchsorted(hashes, runs, "right") - 1
+        whole = np.zeros(len(hashes), bool)  # of these hashes all runs are compared
+        whole[of[sides[runs] & 1 > 0]] = True
+        whole[0] |= ongoing is not None and ongoing[0] == least[0]
+        whole[-1] |= several[-1]  # others may follow
+        differ = whole[of]
+        for side in (sides[runs] >> 16, sides[runs] >> 1 & 0x7FFF):
+            order = np.lexsort((side, of))
+            same = np.flatnonzero((of[order][1:] == of[order][:-1]) & (side[order][1:] == side[order][:-1]))
+            differ[order[same]] = differ[order[same + 1]] = True
+        differ = np.repeat(differ, np.diff(np.append(runs, len(least))))
         held = None
         if several[-1]:
             ongoing = (int(least[-1]), int(own[-1]), int(leader[-1]))
         else:  # more documents may follow
             held, ongoing = [c[hashes[-1] :].copy() for c in columns], None
-        keep = np.flatnonzero(shared)
+        leads = doc == leader
+        keep = np.flatnonzero(shared & (differ | ~leads))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(least[keep]), pa.array(doc[keep]), pa.array(position[keep]), pa.array(n[keep]), pa.array(doc[keep] == leader[keep])], ["least", "doc_id", "position", "n", "leads"]
+            [pa.array(least[keep]), pa.array(doc[keep]), pa.array(position[keep]), pa.array(n[keep]), pa.array(leads[keep])], ["least", "doc_id", "position", "n", "leads"]
         )
 
 
@@ -248,7 +284,7 @@ def _covered(strings: list[bytes], docs: list[int], places: list[int]) -> pa.Rec
     doc, at = doc[order], at[order]
     opens = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + LENGTH))[: len(at)]
     first = np.flatnonzero(opens)
-    last = np.append(first[1:], len(at)) - 1
+    last = np.append(first[1:], len(at))[: len(first)] - 1
     return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(at[first].astype(np.int32)), pa.array((at[last] + LENGTH).astype(np.int32))], ["doc_id", "start", "stop"])
 
 
@@ -311,7 +347,7 @@ def repeated_ranges(docs: DataFrame, build_bytes: int = BUILD_BYTES) -> DataFram
     runs = rows.mapInArrow(_runs, _RUN).repartition("least").sortWithinPartitions("least", "own", "doc_id", "position")
     shared = written(runs.mapInArrow(_shared, "least int, doc_id long, position int, n int, leads boolean"), "runs")
     leading = shared.where("leads")
-    sizes = leading.groupBy("least").agg(F.sum(F.col("n") + (LENGTH - 1)).alias("bytes")).where(F.col("bytes") > build_bytes)
+    sizes = leading.groupBy("least").agg(F.sum(F.col("n") + (LENGTH - 1)).alias("bytes")).where(F.col("bytes") > DEAL_ANEW * build_bytes)
     parts = sizes.select("least", F.ceil(F.col("bytes") * 8 / F.lit(float(build_bytes))).cast("int").alias("parts"))
     leading = attach(leading, parts, ["least"]).withColumn("parts", F.coalesce("parts", F.lit(1)))
     lists = leading.groupBy("doc_id").agg(F.collect_list(F.struct("least", "position", "n", "parts")).alias("runs"))
@@ -338,8 +374,11 @@ def dedup_bytes(docs: DataFrame, build_bytes: int = BUILD_BYTES) -> DataFrame:
 
 def _cut_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        rows = batch.column("row")
+        names = [field.name for field in rows.type]
+        columns = dict(zip(names, rows.flatten(), strict=True))
         texts = []
-        for text, ranges in zip(batch.column("text").to_pylist(), batch.column("_ranges").to_pylist(), strict=True):
+        for text, ranges in zip(columns["text"].to_pylist(), batch.column("ranges").to_pylist(), strict=True):
             if text is not None and ranges:
                 data, at, kept = text.encode(), 0, []
                 for start, stop in merged((r["start"], r["stop"]) for r in ranges):
@@ -347,13 +386,13 @@ def _cut_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = stop
                 text = b"".join([*kept, data[at:]]).decode(errors="ignore")
             texts.append(text)
-        columns = {name: batch.column(name) for name in batch.schema.names if name != "_ranges"} | {"text": pa.array(texts, pa.string())}
-        yield pa.RecordBatch.from_pydict(columns)
+        columns["text"] = pa.array(texts, pa.string())
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
 
 def cut_documents(docs: DataFrame, build_bytes: int = BUILD_BYTES) -> DataFrame:
     """All rows and columns of ``docs`` with the repeated bytes taken out of ``text``; a character that a cut
     leaves incomplete goes too. A null text stays null."""
-    ranges = repeated_ranges(docs, build_bytes).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "stop")).alias("_ranges"))
-    joined = docs.join(ranges, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
-    return joined.mapInArrow(_cut_texts, docs.schema)
+    ranges = repeated_ranges(docs, build_bytes).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row"))
+    return rows.join(ranges, "doc_id", "left").select("row", "ranges").mapInArrow(_cut_texts, docs.schema)
