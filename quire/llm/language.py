@@ -50,6 +50,8 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _shares(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text its distinct buckets and the share of n-grams in each."""
+    if len(texts) > 100:  # a few at a time, for the driver's memory
+        return [x for at in range(0, len(texts), 100) for x in _shares(texts[at : at + 100])]
     found, rows = _grams(pa.array(texts, pa.string()))
     keys, counts = np.unique(rows.astype(np.int64) * BUCKETS + found, return_counts=True)
     row, bucket = keys // BUCKETS, keys % BUCKETS
@@ -113,7 +115,8 @@ def train(texts: list[str], langs: list[str], epochs: int = 10, rate: float = 0.
     if held.any():
         some = [texts[i] for i in np.flatnonzero(held)]
         cuts = [t[: 20 + 30 * (k % 6)] for k, t in enumerate(some)]  # short texts too, where doubt is
-        logits = model.logits(pa.array(some + cuts, pa.string()))
+        both = some + cuts
+        logits = np.concatenate([model.logits(pa.array(both[at : at + 100], pa.string())) for at in range(0, len(both), 100)])
         right = (np.arange(len(logits)), np.tile(target[held], 2))
         grid = np.exp(np.linspace(np.log(0.02), np.log(50), 80))
 
@@ -181,3 +184,21 @@ def fit(docs: DataFrame) -> Model:
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, rejected`` of every row, by a model fitted on the others' labels."""
     return held_out(predict(docs, model or fit(docs))).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def _accepted(model: Model) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predicted = _predicted(model)
+        for batch in batches:
+            texts = pc.fill_null(batch.column("text"), "")
+            rows = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), texts], ["_key", "text"])
+            rejected = [out.column("rejected") for out in predicted([rows])]
+            if rejected:
+                yield batch.filter(pc.invert(pa.concat_arrays(rejected)))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of ``docs`` with all columns whose language is told with enough certainty."""
+    return docs.mapInArrow(_accepted(model or fit(docs)), docs.schema)
