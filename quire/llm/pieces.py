@@ -65,7 +65,7 @@ class Pieces:
             raise ValueError("the model lacks byte pieces")
         self.automaton.make_automaton()
         self.byte_score = usual - 10
-        self.words = WordTable(self._learn, limit=1_000_000)
+        self.words = WordTable(self._learn)
         sizes = np.array([len(b) for b in self.spelled], np.int64)
         self.text_sizes, self.text_starts = sizes, np.cumsum(sizes) - sizes
         self.text_bytes = np.frombuffer(b"".join(self.spelled), np.uint8)
@@ -106,8 +106,8 @@ class Pieces:
             end -= size
         return ids[::-1]
 
-    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [self.viterbi(w) for w in words]
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.viterbi(w) for w in words.to_pylist()]
         sizes = np.array([len(x) for x in found], np.int64)
         return np.fromiter((i for x in found for i in x), np.int64, sizes.sum()), sizes
 
@@ -143,7 +143,7 @@ class Pieces:
 def _encoded(path: str) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
-        for block in blocks(batches, 6 << 20):
+        for block in blocks(batches, 4 << 20):
             ids, sizes = pieces.encode(block.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), lists], ["doc_id", "ids"])
@@ -179,7 +179,7 @@ def _digest(path: str) -> Callable:
         pieces = Pieces(path)
         byte_ids = np.zeros(len(pieces.spelled), bool)
         byte_ids[pieces.bytes] = True
-        for block in blocks(batches, 6 << 20):
+        for block in blocks(batches, 4 << 20):
             ids, sizes = pieces.encode(block.column("text"))
             rows = []
             for doc, own in zip(block.column("doc_id").to_pylist(), split(ids, sizes), strict=True):

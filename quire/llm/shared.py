@@ -117,7 +117,7 @@ class WordTable:
     """Encoded words of the blocks before. ``learn`` gives ids and sizes of new words; when the table
     would exceed ``limit`` words it starts anew."""
 
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 800_000) -> None:
+    def __init__(self, learn: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], limit: int = 800_000) -> None:
         self.learn, self.limit = learn, limit
         self._forget()
 
@@ -128,13 +128,17 @@ class WordTable:
         """The ids of ``words[codes]`` one after the other, and the number of ids of each."""
         if len(self.known) + len(words) > self.limit:
             self._forget()
-        missing = words.filter(pc.invert(pc.is_in(words, self.known)))
-        learned = [self.learn(missing.slice(i, 40_000).to_pylist()) for i in range(0, len(missing), 40_000)]
-        if learned:
-            self.known = pa.concat_arrays([self.known, missing.cast(pa.large_string())])
+        place = pc.index_in(words, self.known)
+        new = place.is_null()
+        place = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = words.filter(new).cast(pa.large_string())
+        if len(missing):
+            place[new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(missing))
+            learned = [self.learn(missing.slice(i, 60_000)) for i in range(0, len(missing), 60_000)]
+            self.known = pa.concat_arrays([self.known, missing])
             sizes = np.concatenate([sizes for _, sizes in learned])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
             self.ids = np.concatenate([self.ids, *(ids.astype(np.int32) for ids, _ in learned)])
-        at = pc.index_in(words, self.known).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+        at = place[codes]
         lengths = (self.starts[1:] - self.starts[:-1])[at]
         return self.ids[spread(self.starts[at], lengths)], lengths

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 #: One of these after a letter, at the end of a word, is a token of its own.
 _TAILS = ".,;:!?"
+#: Letters of Latin scripts, which the split keeps together.
+_LETTERS = r"A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}"
 
 
 def _byte_letters() -> np.ndarray:
@@ -52,6 +55,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.lines = Tokenizer(self.tokenizer.model)  # the same merges over lines of one word
@@ -61,42 +65,39 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.sizes[i] = len(token)
         self.feed = self._whole(["\n"])[0][0]
-        self.tails = {c: self._whole([c])[0][0] for c in _TAILS}
+        self.tails = np.array([self._whole([c])[0][0] for c in _TAILS])
         self.words = WordTable(self._learn)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and sizes of words that the split leaves whole: letters after a blank or none."""
-        joined = self.letters[np.frombuffer("\n".join(words).encode(), np.uint8)].tobytes().decode("utf-16-le")
+        joined = self.letters[np.frombuffer("\n".join(words.to_pylist()).encode(), np.uint8)].tobytes().decode("utf-16-le")
         ids = np.array(self.lines.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int64)
-        ends = np.cumsum(pc.binary_length(pa.array(words, pa.large_string())).to_numpy())
-        last = np.searchsorted(np.cumsum(self.sizes[ids]), ends)
+        last = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(pc.binary_length(words).to_numpy()))
         return ids, np.diff(last + 1, prepend=0)
 
-    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and sizes of words; one that starts with a line feed follows it, others follow a blank."""
-        bases: dict[str, int] = {}
-        odd: dict[str, int] = {}
-        which, feed, tail = np.empty(len(words), np.int64), np.zeros(len(words), bool), np.full(len(words), -1, np.int64)
-        for i, word in enumerate(words):
-            if word[0] == "\n":
-                feed[i], word = True, word[1:]
-                body = word
-            else:
-                body, word = word, " " + word
-            if body[-1] in _TAILS and body[:-1].isalpha():
-                tail[i], body, word = self.tails[body[-1]], body[:-1], word[:-1]
-            if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
-                which[i] = bases.setdefault(word, len(bases))
-            else:
-                which[i] = -1 - odd.setdefault(word, len(odd))
-        ids, sizes = self._plain(list(bases)) if bases else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        rest = self._whole(list(odd))
+        feeds = pc.starts_with(words, "\n")
+        body = pc.if_else(feeds, pc.utf8_slice_codeunits(words, 1), words)
+        lettered = pc.match_substring_regex(body, f"^[{_LETTERS}]+[{_TAILS}]?$")
+        tailed = pc.and_(lettered, pc.match_substring_regex(body, f"[{_TAILS}]$"))
+        lead = pc.if_else(feeds, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+        base = pc.if_else(tailed, pc.utf8_slice_codeunits(body, 0, -1), body)
+        base = pc.binary_join_element_wise(lead, base, pa.scalar("", pa.large_string()))
+        plain, other = (base.filter(x).dictionary_encode() for x in (lettered, pc.invert(lettered)))
+        ids, sizes = self._plain(plain.dictionary) if len(plain) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        rest = self._whole(other.dictionary.to_pylist())
         ids = np.concatenate([ids, *(np.array(x, np.int64) for x in rest)])
         sizes = np.concatenate([sizes, np.array([len(x) for x in rest], np.int64)])
-        which[which < 0] = len(bases) - 1 - which[which < 0]
+        feed, is_plain = feeds.to_numpy(zero_copy_only=False), lettered.to_numpy(zero_copy_only=False)
+        which = np.empty(len(words), np.int64)
+        which[is_plain] = plain.indices.to_numpy(zero_copy_only=False)
+        which[~is_plain] = other.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(plain.dictionary)
+        tail = pc.index_in(pc.utf8_slice_codeunits(body, -1), pa.array(list(_TAILS), pa.large_string()))
+        tail = np.where(tailed.to_numpy(zero_copy_only=False), self.tails[pc.fill_null(tail, 0).to_numpy(zero_copy_only=False)], -1)
         starts = np.cumsum(sizes) - sizes
         inner = sizes[which]
         total = inner + feed + (tail >= 0)
