@@ -71,9 +71,20 @@ def parts(upper: np.ndarray, percent: int) -> np.ndarray:
     return 2 * upper * (100 - percent) // (100 + percent) + 1
 
 
-def signatures(rows: list[np.ndarray], percent: int) -> list[np.ndarray]:
+def spare_parts(percent: int) -> float:
+    """Parts beyond the fewest that are needed, as a share. Where the similarity leaves less than six tokens
+    to a part, many would be empty by chance; with spare ones, similar sets share one that is not."""
+    return 0.35 if (100 + percent) < 12 * (100 - percent) else 0.0
+
+
+def signatures(rows: list[np.ndarray], percent: int, common: np.ndarray | None = None) -> list[np.ndarray]:
     """The signatures of each set: one for each part under the split of its size class and of the next.
-    Similar sets have one in common; sets that share none are not similar."""
+    Similar sets have one in common; sets that share none are not similar.
+
+    Tokens in the buckets of ``common`` enter no part: sets differ in no more tokens without them. With
+    ``E`` spare parts two similar sets have ``E + 1`` equal parts at least, so a set with at most ``E`` empty
+    parts is found by the others; only sets with more have signatures for empty parts too.
+    """
     sizes = np.array([len(r) for r in rows], np.int64)
     if not sizes.sum():
         return [np.zeros(0, np.int64) for _ in rows]
@@ -81,36 +92,89 @@ def signatures(rows: list[np.ndarray], percent: int) -> list[np.ndarray]:
     bounds = np.append(bounds, [-(-bounds[-1] * 100 // percent) + 1])
     own = np.searchsorted(bounds, sizes, "right") - 1
     tokens, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
+    if common is not None:
+        rare = ~common[bucket_of(tokens)]
+        tokens, of = tokens[rare], of[rare]
     out: list[list[np.ndarray]] = [[] for _ in rows]
     scrambled = mix(tokens + np.uint64(0x5851F42D4C957F2D))
     for step in (0, 1):
         which = own + step
-        split = np.where(sizes > 0, parts(bounds[np.minimum(which + 1, len(bounds) - 1)] - 1, percent), 0)
+        least = np.where(sizes > 0, parts(bounds[np.minimum(which + 1, len(bounds) - 1)] - 1, percent), 0)
+        spare = np.ceil(least * spare_parts(percent)).astype(np.int64)
+        split = least + spare
         start = np.cumsum(split) - split
         place = start[of] + ((tokens >> np.uint64(11)) % split[of].astype(np.uint64)).astype(np.int64)
-        total = np.zeros(split.sum(), np.uint64)
+        total, filled = np.zeros(split.sum(), np.uint64), np.zeros(split.sum(), bool)
         np.add.at(total, place, scrambled)
+        filled[place] = True
+        row = np.repeat(np.arange(len(rows)), split)
         number = np.arange(split.sum()) - np.repeat(start, split)
         key = np.repeat(which, split).astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)
         total = mix(mix(key) ^ total).view(np.int64)
-        for i, found in enumerate(np.split(total, np.cumsum(split)[:-1])):
+        many = split - np.bincount(row[filled], minlength=len(rows)) > spare
+        if not spare_parts(percent):
+            many[:] = True
+        keep = filled | many[row]
+        for i, found in enumerate(np.split(total[keep], np.cumsum(np.bincount(row[keep], minlength=len(rows)))[:-1])):
             out[i].append(found)
     return [np.concatenate(x) for x in out]
 
 
-def _described(n: int, percent: int) -> Callable:
+#: Buckets that count the shingles of all texts, by the top bits of their hash.
+_COUNT_BITS = 18
+
+
+def bucket_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - _COUNT_BITS)).astype(np.int64)
+
+
+def _bucket_counts(n: int) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << _COUNT_BITS, np.int64)
+        for batch in blocks(batches, 2 << 20):
+            counts += np.bincount(bucket_of(shingles(batch.column("text"), n)[0]), minlength=len(counts))
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found])], ["bucket", "n"])
+
+    return run
+
+
+def common_buckets(rows: DataFrame, n: int) -> np.ndarray:
+    """The buckets that hold shingles of many texts: those far above the mean count of all buckets. At most
+    ``2 ** _COUNT_BITS`` numbers reach the driver, whatever the corpus."""
+    counts = rows.mapInArrow(_bucket_counts(n), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = counts.toPandas()
+    mean = found["n"].sum() / (1 << _COUNT_BITS)
+    common = np.zeros(1 << _COUNT_BITS, bool)
+    common[found.loc[found["n"] > mean + 6 * np.sqrt(mean) + 16, "bucket"].to_numpy()] = True
+    return common
+
+
+def _described(n: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in blocks(batches, 4 << 20):
+        for batch in blocks(batches, 2 << 20):
             rows = sets(batch.column("text"), n)
             keys = [xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) if len(r) else None for r in rows]
-            marks = signatures(rows, percent)
-            offsets = np.concatenate(([0], np.cumsum([len(m) for m in marks])))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *marks])))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array([len(r) for r in rows], pa.int64()), lists], ["doc_id", "set_key", "n_shingles", "marks"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array([len(r) for r in rows], pa.int64())], ["doc_id", "set_key", "n_shingles"])
+
+    return run
+
+
+def _marked(n: int, percent: int, common: np.ndarray | None) -> Callable:
+    """The signatures of each text's set with the set's hash."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in blocks(batches, 1 << 20):
+            rows = [r for r in sets(batch.column("text"), n) if len(r)]
+            if not rows:
+                continue
+            marks = signatures(rows, percent, common)
+            keys = np.array([xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in rows], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks)), pa.array(np.repeat(keys, [len(m) for m in marks]))], ["mark", "set_key"])
 
     return run
 
@@ -234,7 +298,7 @@ def _deal(n: int) -> Callable:
     """The set of each text, once for each pair of blocks that its group is dealt in."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, 4 << 20):
+        for batch in blocks(batches, 2 << 20):
             rows = sets(batch.column("text"), n)
             group, key, count = (batch.column(c).to_pylist() for c in ("group", "set_key", "blocks"))
             out = []
@@ -289,8 +353,9 @@ def join_groups(docs: DataFrame, n: int = 5, percent: int = 80, trie_tokens: int
     of their blocks. Only sets that share a signature with another are gathered, one for each distinct set.
     """
     rows = doc_texts(docs)
-    described = written(rows.mapInArrow(_described(n, percent), "doc_id long, set_key long, n_shingles long, marks array<long>"), "sets")
-    marks = described.where("set_key IS NOT NULL").select(F.explode("marks").alias("mark"), "set_key")
+    described = written(rows.mapInArrow(_described(n), "doc_id long, set_key long, n_shingles long"), "sets")
+    common = common_buckets(rows, n) if spare_parts(percent) else None
+    marks = rows.mapInArrow(_marked(n, percent, common), "mark long, set_key long")
     ordered = marks.repartition("mark").sortWithinPartitions("mark", "set_key")
     near = components(ordered.mapInArrow(_neighbours, "a long, b long"), "a", "b").toDF("set_key", "group")
     known = described.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
