@@ -61,7 +61,7 @@ class OpenBins:
 def _pieces(path: str, capacity: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for block in blocks(batches, 4 << 20):
+        for block in blocks(batches, 2 << 20):
             ids, counts = encoder.encode(block.column("text"))
             rows = [
                 (doc, k, start, size, crc(own[start : start + size]))

@@ -57,7 +57,7 @@ def doc_texts(docs: DataFrame, *more: str, id: str = "doc_id", text: str = "text
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
 
 
-def blocks(batches: Iterable[pa.RecordBatch], size: int = 8 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterable[pa.RecordBatch], size: int = 2 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts hold about ``size`` bytes, a longer text alone in its slice."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
