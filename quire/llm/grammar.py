@@ -18,41 +18,50 @@ SHARD = (
     "part int, shard int, doc_ids array<long>, sizes array<int>, n_tokens long, "
     "bases array<int>, left binary, right binary, expansion binary, symbols binary"
 )
-_BUCKETS = 18
+_BUCKETS = 14
+#: Text bytes of a part, about. Words are encoded once a part, so a part should not be small.
+PART_BYTES = 32 << 20
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, first_nonterminal: int, least: int = 8) -> dict:
+def compress(ids: np.ndarray, sizes: np.ndarray, first_nonterminal: int, least: int = 16) -> dict:
     """Re-Pair over documents of ``sizes`` ids each; no pair reaches over the end of a document.
 
     Each round counts one candidate pair for each hash bucket exactly and replaces all pairs found
-    ``least`` times or more at once; of overlapping occurrences the more frequent pair wins. It ends
-    when a round finds no pair that frequent.
+    ``least`` times or more at once; of overlapping occurrences the more frequent pair wins. Rounds hash
+    anew, so pairs that shared a bucket get their turn. The last round is the first that replaces less
+    than one symbol in 64.
     """
-    symbols = ids.astype(np.int64)
+    symbols = ids.astype(np.int32)
     opens = np.zeros(len(ids), bool)
     opens[np.cumsum(sizes)[:-1][np.cumsum(sizes)[:-1] < len(ids)]] = True
     lengths = [np.ones(first_nonterminal, np.int64)]
-    left, right, bases, base, idle, salt = [], [], [], first_nonterminal, 0, 0x9E3779B97F4A7C15
-    while idle < 2 and len(symbols) > 1:
+    left, right, bases, base, idle, salt = [], [], [], first_nonterminal, False, 0x9E3779B97F4A7C15
+    while not idle and len(symbols) > 1:
         salt = (salt * 0xD1342543DE82EF95 + 2) & 0xFFFFFFFFFFFFFFFF | 1
-        pairs = symbols[:-1] << 32 | symbols[1:]
+        pairs = symbols[:-1].astype(np.int64) << 32 | symbols[1:]
         bucket = ((pairs.astype(np.uint64) * np.uint64(salt)) >> np.uint64(64 - _BUCKETS)).astype(np.int32)
         chosen = np.empty(1 << _BUCKETS, np.int64)
         chosen[bucket] = pairs
         same = (chosen[bucket] == pairs) & ~opens[1:]
         counts = np.bincount(bucket[same], minlength=1 << _BUCKETS)
-        rank = np.where(same, counts[bucket], 0)
+        rank = np.where(same, counts.astype(np.int32)[bucket], 0)
         rank[rank < least] = 0
         wins = rank > 0
         wins[1:] &= rank[1:] > rank[:-1]
+        tied = np.flatnonzero((rank[1:] == rank[:-1]) & (rank[1:] > 0)) + 1
+        if len(tied):  # of a run of one id every second pair
+            opened = np.flatnonzero(np.diff(tied, prepend=-2) > 1)
+            place = np.arange(len(tied)) - np.repeat(opened, np.diff(np.append(opened, len(tied)))) + 1
+            leads = np.repeat(wins[tied[opened] - 1], np.diff(np.append(opened, len(tied))))
+            wins[tied[leads & (place % 2 == 0)]] = True
         wins[:-1] &= rank[:-1] >= rank[1:]
         used = np.bincount(bucket[wins], minlength=1 << _BUCKETS)
         wins &= used[bucket] >= least // 2
         at = np.flatnonzero(wins)
-        if len(at) < max(1, len(symbols) // 512):
-            idle += 1  # another round hashes anew, so pairs that shared a bucket get their turn
+        if len(at) < max(1, len(symbols) // 64):
+            idle = True
             if not len(at):
-                continue
+                break
         rules, which = np.unique(bucket[at], return_inverse=True)
         pair = chosen[rules]
         bases.append(base)
@@ -120,10 +129,18 @@ def _writer(path: str, shard_tokens: int) -> Callable:
             number, held = number + 1, []
             return pa.RecordBatch.from_pylist([row], _ARROW)
 
-        for block in blocks(batches, 4 << 20):
-            held.append((block.column("doc_id").to_pylist(), *encoder.encode(block.column("text"))))
-            if sum(len(x[1]) for x in held) >= shard_tokens:
-                yield shard()
+        for block in blocks(batches, 3 << 20):
+            docs = block.column("doc_id").to_pylist()
+            ids, sizes = encoder.encode(block.column("text"))
+            ends = np.cumsum(sizes)
+            at = row = 0
+            while row < len(docs):
+                open_tokens = sum(len(x[1]) for x in held)
+                stop = min(len(docs), int(np.searchsorted(ends, at + shard_tokens - open_tokens)) + 1)
+                held.append((docs[row:stop], ids[at : ends[stop - 1]], sizes[row:stop]))
+                at, row = int(ends[stop - 1]), stop
+                if open_tokens + len(held[-1][1]) >= shard_tokens:
+                    yield shard()
         if held:
             yield shard()
 
@@ -135,7 +152,7 @@ _ARROW = pa.schema(
 )
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, shard_tokens: int = 1 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, shard_tokens: int = 1 << 18) -> None:
     """Writes the ids of all documents, each followed by the end id 0, to the folder ``path``.
 
     Documents are dealt by ranges of doc_id and sorted inside, so parts and shards are in ascending
@@ -143,7 +160,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, shar
     end id alone. A shard is closed with the document that brings it to ``shard_tokens``; a longer
     document has a shard of its own. No rows give an empty table.
     """
-    ordered = doc_texts(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = doc_texts(docs)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ordered = rows.repartitionByRange(max(1, -(-size // PART_BYTES)), "doc_id").sortWithinPartitions("doc_id", "text")
     shards = ordered.mapInArrow(_writer(vocabulary or vocabulary_path(), shard_tokens), SHARD)
     shards.write.option("compression", "zstd").mode("overwrite").parquet(path)
 
