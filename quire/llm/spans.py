@@ -98,7 +98,8 @@ def dedup_spans(docs: DataFrame, span: int = SPAN, least_words: int = SPAN_WORDS
     """``doc_id, text, n_sentences, n_removed`` of every row, without sentences inside repeated spans.
 
     Of equal spans the one in the smallest doc_id, and there the earliest, stays; all others lose their
-    sentences. Sentences are equal if their words are, whatever the white space. Rows with a null id pass
+    sentences. Sentences are equal if their words are, whatever the white space; a text of one sentence has no
+    span. Rows with a null id pass
     unchanged; rows that share an id are taken as one document, so equal ones do not cut each other. A
     null text is empty. First occurrences are found by minima that combine before the shuffle, and joined
     back with splittable partitions, so a passage in a third of all documents stays spread.
