@@ -58,9 +58,10 @@ def sets(texts: pa.Array, n: int) -> list[np.ndarray]:
 
 def size_classes(percent: int, largest: int) -> np.ndarray:
     """Lower bounds of size classes such that sets similar to at least ``percent`` lie in the same class or in
-    neighbours: each bound is the one before divided by the similarity."""
+    neighbours: each bound is the one before divided by the similarity. The sequence is the same for every
+    ``largest``, which only says where it may end: past it lie two bounds, so its next class has an upper one."""
     bounds = [1]
-    while bounds[-1] <= largest:
+    while len(bounds) < 3 or bounds[-2] <= largest:
         bounds.append(-(-bounds[-1] * 100 // percent) + (bounds[-1] * 100 % percent == 0))
     return np.array(bounds, np.int64)
 
@@ -88,8 +89,7 @@ def signatures(rows: list[np.ndarray], percent: int, common: np.ndarray | None =
     sizes = np.array([len(r) for r in rows], np.int64)
     if not sizes.sum():
         return [np.zeros(0, np.int64) for _ in rows]
-    bounds = size_classes(percent, int(sizes.max()) + 1)
-    bounds = np.append(bounds, [-(-bounds[-1] * 100 // percent) + 1])
+    bounds = size_classes(percent, int(sizes.max()))
     own = np.searchsorted(bounds, sizes, "right") - 1
     tokens, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
     if common is not None:
@@ -99,7 +99,7 @@ def signatures(rows: list[np.ndarray], percent: int, common: np.ndarray | None =
     scrambled = mix(tokens + np.uint64(0x5851F42D4C957F2D))
     for step in (0, 1):
         which = own + step
-        least = np.where(sizes > 0, parts(bounds[np.minimum(which + 1, len(bounds) - 1)] - 1, percent), 0)
+        least = np.where(sizes > 0, parts(bounds[which + 1] - 1, percent), 0)
         spare = np.ceil(least * spare_parts(percent)).astype(np.int64)
         split = least + spare
         start = np.cumsum(split) - split

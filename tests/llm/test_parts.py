@@ -128,6 +128,20 @@ def test_trie_groups_and_signatures(percent):
         assert all(g == min(k for k, x in enumerate(label) if x == label[i]) for i, g in enumerate(got))
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_signatures_do_not_depend_on_the_other_sets_of_a_block(percent):
+    pick = random.Random(percent)
+    bounds = ngram_join.size_classes(percent, 1300).tolist()
+    for bound in bounds[:-2]:  # a set of the class below the bound, and one of the class that starts there
+        if 100 * (bound - 2) < percent * bound:
+            continue
+        large = np.unique(np.array([pick.getrandbits(63) for _ in range(bound)], np.uint64))
+        small = large[:-2]
+        one, two = (ngram_join.signatures([x], percent)[0].tolist() for x in (small, large))
+        assert set(one) & set(two), bound
+        assert ngram_join.signatures([small, np.arange(5000, dtype=np.uint64)], percent)[0].tolist() == one
+
+
 def test_shingles_of_short_texts():
     found = ngram_join.sets(pa.array(["", "a", "A", "a b", "a b c", "x a b c", " \t", "A  b\nc"]), 3)
     assert [len(x) for x in found] == [0, 1, 1, 1, 1, 2, 0, 1]
