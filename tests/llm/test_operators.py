@@ -139,6 +139,23 @@ def test_sentence_spans(docs, odd):
     assert kept[1][1] == 0 and kept[5] == ("This passage stands in several texts, word for word. Own words end it here.", 2) and kept[2] == ("", 0) and kept[8] == kept[7]  # one sentence alone has no span
 
 
+def test_sentence_spans_of_short_sentences_and_scripts_without_blanks(spark):
+    lines = "milk and bread\nfive red apples\ntea\nsalt\ngreen soap and oil\na box of nails\nrope\n"
+    han = "今天天气很好。我们一起去公园散步。孩子们在草地上玩耍。大家都非常高兴。"
+    thai = "วันนี้อากาศดีมาก\nเราไปเดินเล่นที่สวน\nเด็กเล่นบนสนามหญ้า\n"
+    clauses = "我们从北方的城市出发，" + "".join(f"经过第{k}座山和第{k}条河，" for k in "一二三四五六七八") + "最后到达南方的海边"
+    texts = {}
+    for k, passage in enumerate((lines, han, thai, clauses)):
+        texts |= {2 * k: f"First own line {k}.\n{passage}", 2 * k + 1: f"Other own line {k}!\n{passage}"}
+    words = [f"w{k}" for k in range(300)]
+    texts[10], texts[11] = (f"Own line {k} of this text.\n{' '.join(words)}" for k in "ab")
+    texts |= {8: "tea\nsalt\n", 9: "tea\nsalt\n"}  # under twelve words in all
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    digests = by_id(spans.span_digests(df), "kept_sha256")
+    want = {i: t if i % 2 == 0 or i == 9 else f"Other own line {i // 2}!\n" for i, t in texts.items()} | {11: "Own line b of this text.\n"}
+    assert digests == {i: (hashlib.sha256(t.encode()).hexdigest(),) for i, t in want.items()}
+
+
 def test_packing(docs, odd):
     for df in (docs, odd):
         rows = packing.pack_documents(df).toPandas()

@@ -183,6 +183,12 @@ def test_sentences_join_to_the_text():
         assert "".join(spans.sentences(text)) == text
 
 
+def test_cut_sentences_join_to_the_text():
+    for text in [*odd_texts(400), " ".join(f"w{k}" for k in range(200)), "日本語の文章" * 40, "a, " * 90 + "b " * 50]:
+        assert "".join(spans.sentences(text, whole=True)) == text
+    assert len(spans.sentences(" ".join(f"w{k}" for k in range(200)), whole=True)) > 5
+
+
 def test_counts_of_repeated_words_and_lines():
     pick = random.Random(8)
     texts = [" ".join(pick.choice("abc") for _ in range(pick.randrange(40))) for _ in range(200)]
