@@ -241,6 +241,22 @@ def test_graph_recall_in_dense_and_sparse_data():
     assert recall >= neighbors.AUDIT_RECALL and (found & truth).sum() / truth.sum() > 0.97
 
 
+def test_audit_counts_no_row_as_its_own_link_and_ends_in_brute_force():
+    r = np.random.default_rng(9)
+    x = r.normal(size=(400, 24))
+    x[399] = x[0] + 0.01 * r.normal(size=24)  # the only link among the rows
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    shard = neighbors.Shard.built(x)
+    for graph in shard.layers:
+        graph[graph == 399] = len(x)  # no way leads there
+        graph[399] = len(x)
+    beam, recall = shard.audited_beam()
+    assert (beam, recall) == (0, 1.0)
+    assert shard.audited_beam(foreign=x[:1]) == (beam, recall)
+    q, node = shard.links(x[[0, 399]], beam)
+    assert set(zip(q.tolist(), node.tolist(), strict=True)) == {(0, 0), (0, 399), (1, 0), (1, 399)}
+
+
 PAGES = {
     "": "",
     "plain text": "plain text",
