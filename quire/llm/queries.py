@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import extract, grammar, language, negatives, neighbors, ngram_join, packing, pieces, quality, spans, suffixes
+from quire.llm import alignment, extract, grammar, language, negatives, neighbors, ngram_join, packing, pieces, quality, spans, suffixes
 from quire.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,8 @@ QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.sc
 """)
 def _(spark, root):
     return negatives.hard_negatives(read(spark, root, "embeddings"))
+
+
+@query("op11_token_alignment")
+def _(spark, root):
+    return alignment.alignment_digests(read(spark, root, "documents"))
