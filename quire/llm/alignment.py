@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,117 +26,200 @@ _BITS = 20
 REMEMBERED, CHUNK_BYTES = 400_000, 8 << 20
 
 
-def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Groups and links of two token lists by the byte offsets where their tokens end.
+def slices(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The byte offsets where tokens of both sides end, and how many tokens of each side lie up to each.
 
-    A group is the pair of token counts up to and with it; a link is a pair of token indexes whose byte ranges
-    overlap. Tokens without bytes end with the token before them and are linked with nothing.
+    Tokens without bytes end with the token before them.
     """
-    a_at = {end: i + 1 for i, end in enumerate(a_ends)}
-    b_at = {end: i + 1 for i, end in enumerate(b_ends)}
-    groups, links = [], []
-    a, b = 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        a_stop, b_stop = a_at[end], b_at[end]
-        groups.append((a_stop, b_stop))
-        if a_stop - a == 1 or b_stop - b == 1:  # one token covers the whole slice
-            links.extend((i, j) for i in range(a, a_stop) for j in range(b, b_stop))
-        else:
-            i, j = a, b
-            while i < a_stop and j < b_stop:
-                links.append((i, j))
-                mine, other = a_ends[i], b_ends[j]
-                i, j = i + (mine <= other), j + (other <= mine)
-        a, b = a_stop, b_stop
-    if any(x == y for ends in (a_ends, b_ends) for x, y in zip([0, *ends], ends, strict=False)):
-        links = [(i, j) for i, j in links if a_ends[i] > (a_ends[i - 1] if i else 0) and b_ends[j] > (b_ends[j - 1] if j else 0)]
-    return groups, links
-
-
-class Unit:
-    """The alignment of a text or of a part of it at whose ends both sides end a token."""
-
-    __slots__ = ("fits", "n_a", "n_b", "n_groups", "pairs", "groups")
-
-    def __init__(self, text: bytes, a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> None:
-        mine, other = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
-        self.fits = b"".join(mine) == text and b"".join(other) == text
-        if not self.fits:
-            self.n_a = self.n_b = self.n_groups = 0
-            self.pairs, self.groups = (), ""
-            return
-        groups, links = align(list(accumulate(map(len, mine))), list(accumulate(map(len, other))))
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(groups)
-        self.pairs = tuple([a[i] << _BITS | b[j] for i, j in links])
-        parts, i, j = [], 0, 0
-        for a_stop, b_stop in groups:
-            parts.append(",".join(map(str, a[i:a_stop])) + "|" + ",".join(map(str, b[j:b_stop])))
-            i, j = a_stop, b_stop
-        self.groups = ";".join(parts)
+    a_at = dict(zip(a_ends.tolist(), range(1, len(a_ends) + 1), strict=True))
+    b_at = dict(zip(b_ends.tolist(), range(1, len(b_ends) + 1), strict=True))
+    common = sorted(a_at.keys() & b_at.keys())
+    return np.array(common, np.int64), *(np.array([at[end] for end in common], np.int64) for at in (a_at, b_at))
+
+
+def links(a_ends: np.ndarray, b_ends: np.ndarray, a_stops: np.ndarray, b_stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the tokens whose byte ranges overlap, slice by slice; tokens without bytes overlap with nothing.
+
+    A slice of one token on a side links it with all on the other. In the rest, the tokens of the other side that
+    a token overlaps follow each other from the first that ends behind its start.
+    """
+    a_counts, b_counts = np.diff(a_stops, prepend=0), np.diff(b_stops, prepend=0)
+    plain = (a_counts == 1) | (b_counts == 1)
+    in_plain = np.repeat(plain, a_counts)
+    slice_of = np.repeat(np.arange(len(a_stops)), a_counts)
+    a_used, b_used = a_stops[-1] if len(a_stops) else 0, b_stops[-1] if len(b_stops) else 0
+    starts = np.concatenate(([0], a_ends))[:a_used]
+    b_starts = np.concatenate(([0], b_ends))[:b_used]
+    low = (b_stops - b_counts)[slice_of]
+    high = b_stops[slice_of]
+    odd = np.flatnonzero(~in_plain)
+    low[odd] = np.searchsorted(b_ends[:b_used], starts[odd], "right")
+    high[odd] = np.searchsorted(b_starts, a_ends[:a_used][odd], "left")
+    sizes = np.where(a_ends[:a_used] > starts, high - low, 0)
+    left, right = np.repeat(np.arange(a_used), sizes), spread(low, sizes)
+    if not (b_ends[:b_used] > b_starts).all():
+        filled = (b_ends[:b_used] > b_starts)[right]
+        left, right = left[filled], right[filled]
+    return left, right
+
+
+class Units:
+    """Aligned texts or words, one after the other: sizes of each, the codes of its linked pairs, its groups as text."""
+
+    def __init__(self) -> None:
+        self.fits, self.counts = np.zeros(0, bool), np.zeros((0, 4), np.int64)  # tokens A and B, groups, links
+        self.pairs, self.strings = np.zeros(0, np.int64), []
+
+    def add(self, other: Units) -> None:
+        self.fits, self.counts = np.concatenate([self.fits, other.fits]), np.concatenate([self.counts, other.counts])
+        self.pairs = np.concatenate([self.pairs, other.pairs])
+        self.strings = self.strings + other.strings
+
+    def take(self, which: np.ndarray) -> Units:
+        out = Units()
+        out.fits, out.counts = self.fits[which], self.counts[which]
+        starts = np.cumsum(self.counts[:, 3]) - self.counts[:, 3]
+        out.pairs = self.pairs[spread(starts[which], out.counts[:, 3])]
+        out.strings = [self.strings[i] for i in which.tolist()]
+        return out
+
+
+class Side:
+    """The bytes of each id of a tokenizer."""
+
+    def __init__(self, spelled: list[bytes]) -> None:
+        self.spelled = spelled
+        self.sizes = np.array([len(x) for x in spelled], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
+
+    def text(self, ids: np.ndarray) -> np.ndarray:
+        return self.bytes[spread(self.starts[ids], self.sizes[ids])]
 
 
 class Aligner:
     """Units of texts by a byte-level vocabulary (side A) and a model of pieces (side B)."""
 
     def __init__(self, vocabulary: str, model: str) -> None:
-        import os
-
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.a = Tokenizer.from_file(vocabulary)
-        self.a.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.b = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.encoder = tokens.Encoder(vocabulary)
         byte_of = {chr(letter): byte for byte, letter in enumerate(tokens._byte_letters().tolist()) if byte != 0x0A}
         byte_of["Ċ"] = 0x0A
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
-            self.a_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-        self.b_bytes = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(pieces.BLANK, " ").encode()
-            for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
-        ]
-        # side A splits before every single blank that a visible character follows; no piece of side B may hold one inside
-        self.by_words = all(b" " not in x.lstrip(b" ") for x in self.b_bytes)
-        self.known: dict[str, Unit] = {}
+        known = self.encoder.tokenizer.get_vocab()
+        spelled = [b""] * len(known)
+        for token, i in known.items():
+            spelled[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+        self.a = Side(spelled)
+        self.model = sentencepiece.SentencePieceProcessor(model_file=model)
+        named = [(i, self.model.id_to_piece(i)) for i in range(self.model.get_piece_size())]
+        self.b = Side([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(pieces.BLANK, " ").encode() for i, p in named])
+        # no piece may hold a blank inside, or a line feed beside others, so that words are encoded apart
+        plain = [x for (i, _), x in zip(named, self.b.spelled, strict=True) if not self.model.is_byte(i)]
+        self.by_words = all(b" " not in x.lstrip(b" ") and b"\n" not in x for x in plain)
+        self.leads = np.array([p.startswith(pieces.BLANK) for _, p in named])
+        self.known: dict[str, int] = {}
+        self.units = Units()
 
     def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides for a blank and each text."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        return a, self.b.encode(texts, num_threads=1)
+        return self.encoder._whole([" " + t for t in texts]), self.model.encode(texts, num_threads=1)
+
+    def _made(self, sizes: np.ndarray, text: np.ndarray, a: np.ndarray, a_counts: np.ndarray, b: np.ndarray, b_counts: np.ndarray) -> Units:
+        """Units of so many bytes each from the ids of both sides. Both end a token where a unit ends, so all units
+        are aligned in one go over the offsets of their bytes laid side by side."""
+        out = Units()
+        fits = np.ones(len(sizes), bool)
+        for side, ids, counts in ((self.a, a, a_counts), (self.b, b, b_counts)):
+            spelled = side.text(ids)
+            of = np.repeat(np.arange(len(sizes)), counts)
+            fits &= np.bincount(of, weights=side.sizes[ids], minlength=len(sizes)).astype(np.int64) == sizes
+            if len(spelled) == len(text):
+                differ = np.flatnonzero(spelled != text)
+                fits[np.searchsorted(np.cumsum(sizes), differ, "right")] = False
+            else:  # some unit is longer or shorter: compare one by one
+                ends, stops = np.cumsum(np.bincount(of, weights=side.sizes[ids], minlength=len(sizes)).astype(np.int64)), np.cumsum(sizes)
+                for i in np.flatnonzero(fits).tolist():
+                    fits[i] = np.array_equal(spelled[ends[i] - sizes[i] : ends[i]], text[stops[i] - sizes[i] : stops[i]])
+        if not fits.all():
+            a, b = a[np.repeat(fits, a_counts)], b[np.repeat(fits, b_counts)]
+            a_counts, b_counts, sizes = a_counts * fits, b_counts * fits, sizes * fits
+        a_ends, b_ends = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
+        ends, a_stops, b_stops = slices(a_ends, b_ends)
+        left, right = links(a_ends, b_ends, a_stops, b_stops)
+        unit_ends = np.cumsum(sizes)
+        groups = np.diff(np.searchsorted(ends, unit_ends, "right"), prepend=0)
+        n_links = np.diff(np.searchsorted(left, np.cumsum(a_counts), "left"), prepend=0)
+        out.fits, out.counts = fits, np.stack([a_counts, b_counts, groups, n_links], axis=1)
+        out.pairs = a[left] << _BITS | b[right]
+        names, others = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        parts, i, j = [], 0, 0
+        for a_stop, b_stop in zip(a_stops.tolist(), b_stops.tolist(), strict=True):
+            if a_stop - i == 1 and b_stop - j == 1:
+                parts.append(names[i] + "|" + others[j])
+            else:
+                parts.append(",".join(names[i:a_stop]) + "|" + ",".join(others[j:b_stop]))
+            i, j = a_stop, b_stop
+        cut = np.cumsum(groups).tolist()
+        out.strings = [parts[s] if e - s == 1 else ";".join(parts[s:e]) for s, e in zip([0, *cut], cut, strict=False)]
+        return out
 
-    def units(self, texts: list[str]) -> list[Unit]:
+    def whole(self, texts: list[str]) -> Units:
+        """A unit for each text."""
         a, b = self.ids(texts)
-        return [Unit(b" " + t.encode(), x, y, self.a_bytes, self.b_bytes) for t, x, y in zip(texts, a, b, strict=True)]
-
-    def words(self, words: list[str]) -> list[Unit]:
-        """Units of words, from memory where they have been seen."""
+        raw = [b" " + t.encode() for t in texts]
+        flat = [np.array([i for x in side for i in x], np.int64) for side in (a, b)]
+        counts = [np.array([len(x) for x in side], np.int64) for side in (a, b)]
+        return self._made(np.array([len(x) for x in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8), flat[0], counts[0], flat[1], counts[1])
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Places of the units of words in ``units``, made where they are new. A word that starts with a line feed
+        follows it, others follow a blank."""
         if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
+            self.known, self.units = {}, Units()
         new = [w for w in words if w not in self.known]
+        first = len(self.known)
+        self.known.update(zip(new, range(first, first + len(new)), strict=True))
+        made = Units()
         for low in range(0, len(new), 20_000):
-            self.known.update(zip(new[low : low + 20_000], self.units(new[low : low + 20_000]), strict=True))
-        return [self.known[w] for w in words]
-
-    def split(self, texts: pa.Array) -> tuple[list[Unit], np.ndarray, np.ndarray]:
+            made.add(self._word_units(new[low : low + 20_000]))
+        if new:
+            self.units.add(made)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def _word_units(self, words: list[str]) -> Units:
+        array = pa.array(words, pa.large_string())
+        feeds = pc.starts_with(array, "\n").to_numpy(zero_copy_only=False)
+        a, a_counts = self.encoder._learn(array)
+        b = np.array([i for low in range(0, len(words), 500) for i in self.model.encode(" ".join(words[low : low + 500]))], np.int64)
+        at = np.flatnonzero(self.leads[b])  # each word starts at one; a line feed follows the bare blank
+        b_counts = np.diff(np.append(at, len(b)))
+        b, b_counts = np.delete(b, at[feeds]), b_counts - feeds
+        raw = b"".join([(w if feed else " " + w).encode() for w, feed in zip(words, feeds.tolist(), strict=True)])
+        sizes = pc.binary_length(array).to_numpy(zero_copy_only=False).astype(np.int64) + ~feeds
+        return self._made(sizes, np.frombuffer(raw, np.uint8), a, a_counts, b, b_counts)
+
+    def split(self, texts: pa.Array) -> tuple[Units, np.ndarray, np.ndarray]:
         """Distinct units, which of them each text is made of one after the other, and the text of each.
 
-        Where white space is regular both sides split at every blank, so the words between are units, each
-        made once. Other texts are one unit. An empty text has none.
+        Where white space is regular both sides split at every blank and before every line feed, so the words
+        between are units, each made once. Other texts are one unit. An empty text has none, and one with the
+        blank of the pieces in it, which they give back as an ordinary one, has a unit that does not fit.
         """
         texts = texts.cast(pa.large_string())
         empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        odd = pc.match_substring_regex(texts, tokens._IRREGULAR).to_numpy(zero_copy_only=False) if self.by_words else ~empty
-        regular = np.flatnonzero(~odd & ~empty)
-        whole = np.flatnonzero(odd & ~empty)
-        lists = pc.split_pattern(texts.take(pa.array(regular)), " ")
+        odd = pc.match_substring_regex(texts, tokens._IRREGULAR + "|" + pieces.BLANK).to_numpy(zero_copy_only=False) if self.by_words else ~empty
+        regular, whole = np.flatnonzero(~odd & ~empty), np.flatnonzero(odd & ~empty)
+        lists = pc.split_pattern(pc.replace_substring(texts.take(pa.array(regular)), "\n", " \n"), " ")
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
         encoded = pc.list_flatten(lists).dictionary_encode()
-        units = self.words(encoded.dictionary.to_pylist()) + self.units(texts.take(pa.array(whole)).to_pylist())
-        which = np.concatenate([encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(encoded.dictionary) + np.arange(len(whole))])
+        places = self.words(encoded.dictionary.to_pylist())
+        units = self.units.take(places)
+        if len(whole):
+            units.add(self.whole(texts.take(pa.array(whole)).to_pylist()))
+        which = np.concatenate([encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(places) + np.arange(len(whole))])
         of = np.concatenate([regular[pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)], whole]).astype(np.int64)
-        order = np.argsort(of, kind="stable")
+        order = np.argsort(of, kind="stable") if len(whole) else slice(None)
         return units, which[order], of[order]
 
 
@@ -157,14 +239,12 @@ def _chunk(aligner: Aligner, number: int, ids: pa.Array, texts: pa.Array) -> pa.
     each. The first row carries the dictionary: the code of each pair and how many documents here hold it."""
     n = len(texts)
     units, which, of = aligner.split(texts)
-    fits = np.array([u.fits for u in units], bool)
     bad = np.zeros(n, bool)
-    bad[of[~fits[which]]] = True
+    bad[of[~units.fits[which]]] = True
     stay = ~bad[of]
-    which, of = which[stay], of[stay]
-    counts = np.array([(u.n_a, u.n_b, u.n_groups, len(u.pairs)) for u in units], np.int64).reshape(-1, 4)
+    which, of, counts = which[stay], of[stay], units.counts
     sums = np.stack([np.bincount(of, weights=counts[which, c], minlength=n).astype(np.int64) for c in range(4)])
-    strings = [u.groups for u in units]
+    strings = units.strings
     stops = np.searchsorted(of, np.arange(n), "right")
     starts = np.searchsorted(of, np.arange(n), "left")
     digests = []
@@ -173,9 +253,10 @@ def _chunk(aligner: Aligner, number: int, ids: pa.Array, texts: pa.Array) -> pa.
         digests.append(hashlib.sha256(joined.encode()).hexdigest() if stop > start else "")
     # distinct units of each document, then its distinct pairs
     sizes = counts[:, 3]
-    codes, place = np.unique(np.fromiter((p for u in units for p in u.pairs), np.int64, sizes.sum()), return_inverse=True)
-    held, times = np.unique(of * max(1, len(units)) + which, return_counts=True)
-    doc, unit = held // max(1, len(units)), held % max(1, len(units))
+    codes, place = np.unique(units.pairs, return_inverse=True)
+    n_units = max(1, len(sizes))
+    held, times = np.unique(of * n_units + which, return_counts=True)
+    doc, unit = held // n_units, held % n_units
     at = spread((np.cumsum(sizes) - sizes)[unit], sizes[unit])
     keys = np.repeat(doc, sizes[unit]) * max(1, len(codes)) + place[at]
     held, back = np.unique(keys, return_inverse=True)
@@ -271,12 +352,16 @@ def _spelled(vocabulary: str, model: str):
         for block in blocks(batches):
             texts = block.column("text").to_pylist()
             rows = []
-            for doc, text, a, b in zip(block.column("doc_id").to_pylist(), texts, *aligner.ids(texts), strict=True):
-                mine, other = [aligner.a_bytes[i] for i in a], [aligner.b_bytes[i] for i in b]
-                if not text or b"".join(mine) != b" " + text.encode() or b"".join(other) != b" " + text.encode():
-                    a, b, mine, other = [], [], [], []
-                groups, links = align(list(accumulate(map(len, mine))), list(accumulate(map(len, other))))
-                rows.append({"doc_id": doc, "a_ids": a, "b_ids": b, "groups": [{"a_end": x, "b_end": y} for x, y in groups], "links": [{"a": x, "b": y} for x, y in links]})
+            for doc, text, *both in zip(block.column("doc_id").to_pylist(), texts, *aligner.ids(texts), strict=True):
+                raw = np.frombuffer(b" " + text.encode(), np.uint8)
+                a, b = (np.array(x, np.int64) for x in both)
+                if not text or not np.array_equal(aligner.a.text(a), raw) or not np.array_equal(aligner.b.text(b), raw):
+                    a = b = np.zeros(0, np.int64)
+                a_ends, b_ends = np.cumsum(aligner.a.sizes[a]), np.cumsum(aligner.b.sizes[b])
+                _, a_stops, b_stops = slices(a_ends, b_ends)
+                pairs = links(a_ends, b_ends, a_stops, b_stops)
+                groups, linked = ([{x: i, y: j} for i, j in zip(*(c.tolist() for c in both), strict=True)] for x, y, both in (("a_end", "b_end", (a_stops, b_stops)), ("a", "b", pairs)))
+                rows.append({"doc_id": doc, "a_ids": a.tolist(), "b_ids": b.tolist(), "groups": groups, "links": linked})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run

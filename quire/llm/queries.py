@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import alignment, extract, grammar, language, negatives, neighbors, ngram_join, packing, pieces, quality, spans, suffixes
+from quire.llm import alignment, extract, grammar, language, mixing, negatives, neighbors, ngram_join, packing, pieces, quality, spans, suffixes
 from quire.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ def _(spark, root):
 @query("op11_token_alignment")
 def _(spark, root):
     return alignment.alignment_digests(read(spark, root, "documents"))
+
+
+@query("op13_context_mixing")
+def _(spark, root):
+    return mixing.score_documents(read(spark, root, "documents"))

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from quire.llm import alignment, pieces, tokens
@@ -26,7 +27,7 @@ def one(aligner, text):
     (a,), (b,) = aligner.ids([text])
     raw = b" " + text.encode()
     spans = []
-    for ids, known in ((a, aligner.a_bytes), (b, aligner.b_bytes)):
+    for ids, known in ((a, aligner.a.spelled), (b, aligner.b.spelled)):
         if b"".join(known[i] for i in ids) != raw:
             return None
         at, own = 0, []
@@ -68,9 +69,17 @@ def test_links_follow_byte_ranges(aligner):
         if want is None:
             continue
         a, b, groups, links = want
-        ends = [[sum(len(known[i]) for i in ids[: k + 1]) for k in range(len(ids))] for ids, known in ((a, aligner.a_bytes), (b, aligner.b_bytes))]
-        got, got_links = alignment.align(*ends)
-        assert sorted(got_links) == links and len(got) == len(groups)
+        ends = [np.cumsum([len(known[i]) for i in ids]) for ids, known in ((a, aligner.a.spelled), (b, aligner.b.spelled))]
+        _, *stops = alignment.slices(*ends)
+        got = zip(*(x.tolist() for x in alignment.links(*ends, *stops)), strict=True)
+        assert sorted(got) == links and len(stops[0]) == len(groups)
+
+
+def test_tokens_without_bytes():
+    a, b = np.array([2, 2, 5]), np.array([1, 2, 5, 5])
+    _, *stops = alignment.slices(a, b)
+    assert [x.tolist() for x in stops] == [[2, 3], [2, 4]]
+    assert list(zip(*(x.tolist() for x in alignment.links(a, b, *stops)), strict=True)) == [(0, 0), (0, 1), (2, 2)]
 
 
 def test_digests_equal_brute_force(spark, aligner, monkeypatch):
@@ -103,8 +112,8 @@ def one_ends(aligner, text):
     if not text:
         return None
     (a,), (b,) = aligner.ids([text])
-    owner = [[k for k, i in enumerate(ids) for _ in known[i]] for ids, known in ((a, aligner.a_bytes), (b, aligner.b_bytes))]
-    if any(b"".join(known[i] for i in ids) != b" " + text.encode() for ids, known in ((a, aligner.a_bytes), (b, aligner.b_bytes))):
+    owner = [[k for k, i in enumerate(ids) for _ in known[i]] for ids, known in ((a, aligner.a.spelled), (b, aligner.b.spelled))]
+    if any(b"".join(known[i] for i in ids) != b" " + text.encode() for ids, known in ((a, aligner.a.spelled), (b, aligner.b.spelled))):
         return None
     links = list(dict.fromkeys(zip(*owner, strict=True)))
     groups, x, y = [], [], []
