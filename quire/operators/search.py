@@ -32,11 +32,10 @@ def tokenize_pages(pages: DataFrame) -> DataFrame:
     return pages.select(*_PAGE, F.posexplode(tokens(F.col("markdown"))).alias("position", "token"))
 
 
-def inverted_index(pages: DataFrame) -> DataFrame:
-    """(token, document_id, page_number, tf, dl).
+def counted_tokens(pages: DataFrame) -> DataFrame:
+    """(document_id, page_number, dl, tokens), the distinct tokens of a page in order, each with its count ``tf``.
 
-    Tokens are counted inside the page's own row (its sorted tokens are cut into runs), so the
-    postings come out of the scan without any shuffle.
+    Tokens are counted inside the page's own row: its sorted tokens are cut into runs.
     """
     split = computed(pages.select(*_PAGE, "markdown"), "_t", F.sort_array(tokens(F.col("markdown")))).drop(
         "markdown"
@@ -55,9 +54,13 @@ def inverted_index(pages: DataFrame) -> DataFrame:
             (F.coalesce(F.get(begin, i + 1), F.size(token)) - start).alias("tf"),
         ),
     )
-    return runs.select(*_PAGE, F.size(token).alias("dl"), F.explode(counted).alias("_c")).select(
-        "_c.token", *_PAGE, "_c.tf", "dl"
-    )
+    return runs.select(*_PAGE, F.size(token).alias("dl"), counted.alias("tokens"))
+
+
+def inverted_index(pages: DataFrame) -> DataFrame:
+    """(token, document_id, page_number, tf, dl). The postings come out of the scan without any shuffle."""
+    counted = counted_tokens(pages)
+    return counted.select(*_PAGE, "dl", F.explode("tokens").alias("_c")).select("_c.token", *_PAGE, "_c.tf", "dl")
 
 
 def write_index(pages: DataFrame, path: str, files: int = 64) -> None:
@@ -89,12 +92,12 @@ def search_terms(query: str) -> list[str]:
     return literal_tokens(query)
 
 
-def _idf(n_pages: Column, frequency: Column) -> Column:
+def idf(n_pages: Column, frequency: Column) -> Column:
     raw = F.log((n_pages - frequency + 0.5) / (frequency + 0.5))
     return F.greatest(raw, F.lit(1e-6))
 
 
-def _gain(tf: Column, dl: Column, avg_length: Column) -> Column:
+def gain(tf: Column, dl: Column, avg_length: Column) -> Column:
     return tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / avg_length))
 
 
@@ -111,8 +114,8 @@ def _rank(per_page: DataFrame, terms: list[str], distinct: list[str], corpus: Da
         lambda a, b: a + b,
         [
             F.lit(float(terms.count(t)))
-            * _idf(F.col("_s.n_pages"), F.col(f"_s.n{i}"))
-            * _gain(F.col(f"_tf{i}"), F.col("_dl"), F.col("_s.avg_length"))
+            * idf(F.col("_s.n_pages"), F.col(f"_s.n{i}"))
+            * gain(F.col(f"_tf{i}"), F.col("_dl"), F.col("_s.avg_length"))
             for i, t in enumerate(distinct)
         ],
     )
@@ -224,14 +227,14 @@ def search_many(
         .withColumn("_s", corpus.scalar())
         .select(
             key, "term", F.col("_s.avg_length").alias("avg_length"),
-            (F.col("weight") * _idf(F.col("_s.n_pages"), F.col("n_term"))).alias("term_weight"),
+            (F.col("weight") * idf(F.col("_s.n_pages"), F.col("n_term"))).alias("term_weight"),
         )
     )
     scored = (
         attach(term_pages, weighted, ["term"], "inner")
         .groupBy(key, *_PAGE)
         .agg(
-            F.sum(F.col("term_weight") * _gain(F.col("tf"), F.col("dl"), F.col("avg_length"))).alias("score"),
+            F.sum(F.col("term_weight") * gain(F.col("tf"), F.col("dl"), F.col("avg_length"))).alias("score"),
             F.count(F.lit(1)).alias("n_found"),
         )
     )
