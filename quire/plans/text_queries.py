@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.functions.skew import attach
-from quire.functions.tokens import tokens
-from quire.operators import search
+from quire.operators import search, segments
 from quire.operators.aggregates import corpus_stats
 from quire.operators.exports import preprocess_report_rows
 from quire.operators.joins import owner_scoped, search_enrich
@@ -115,6 +114,17 @@ def _score(term_where: str) -> str:
 _FIXED = "SELECT 0 AS query_id, unnest(['the', 'tion']) AS term"
 
 
+def _segments(spark, root):
+    """The segmented index of all document texts, stored once a session."""
+    known = getattr(_segments, "known", {})
+    key = (spark.sparkContext.applicationId, root)
+    if key not in known:
+        path = work_dir(spark, "segments")
+        segments.build_index(bind(spark, root, "doc_pages", heavy=True), path)
+        _segments.known = {**known, key: path}
+    return segments.Index(spark, _segments.known[key])
+
+
 def _stored_index(spark, root):
     path = work_dir(spark, "index")
     search.write_index(bind(spark, root, "doc_pages", heavy=True), path, files=spark.sparkContext.defaultParallelism)
@@ -138,12 +148,13 @@ def _(spark, root):
     """,
 )
 def _(spark, root):
-    hits = search.search_text(bind(spark, root, "doc_pages", heavy=True), FIXED_QUERY)
+    """Ranked over the stored index; of the best scores all ties stay until the dates order them."""
+    hits = segments.search_stored(_segments(spark, root), FIXED_QUERY, 30)
     documents = bind(spark, root, "doc_table").select("document_id", "session_id")
     sessions = bind(spark, root, "session_table").select(
         "session_id", F.col("session_updated_at").alias("updated_at")
     )
-    dated = hits.withColumn("score", F.round("score", 6)).join(documents, "document_id").join(sessions, "session_id")
+    dated = hits.join(documents, "document_id").join(sessions, "session_id")
     return search_top_k(dated.drop("session_id"), 30)
 
 
@@ -160,18 +171,16 @@ def _(spark, root):
     """,
 )
 def _(spark, root):
-    """The whole search: ranked over all pages, cut to the owner's sessions, and only the top enriched."""
-    hits = search.search_text(bind(spark, root, "doc_pages", heavy=True), FIXED_QUERY).withColumn(
-        "score", F.round("score", 6)
-    )
+    """The whole search: ranked by the statistics of all pages, among those of the owner's sessions, and only
+    the top enriched."""
     sessions = bind(spark, root, "session_table")
     documents = bind(spark, root, "doc_table").withColumnRenamed("name", "document_name")
     dates = sessions.select("session_id", F.col("session_updated_at").alias("updated_at"))
-    owned = attach(
-        attach(hits, documents.select("document_id", "session_id"), ["document_id"], "inner"), dates,
-        ["session_id"], "inner",
-    )
-    top = search_top_k(owner_scoped(owned, sessions, 1), 30).select("document_id", "page_number", "score")
+    placed = attach(documents.select("document_id", "session_id"), dates, ["session_id"], "inner")
+    visible = owner_scoped(placed, sessions, 1)
+    hits = segments.search_stored(_segments(spark, root), FIXED_QUERY, 30, within=visible)
+    owned = attach(hits, visible, ["document_id"], "inner")
+    top = search_top_k(owned, 30).select("document_id", "page_number", "score")
     enriched = search_enrich(
         top, documents, sessions, bind(spark, root, "project_table"), bind(spark, root, "review_pages")
     )
@@ -183,7 +192,7 @@ def _(spark, root):
 @query(
     "search_many",
     _score(
-        f"SELECT query_id, unnest(({_tok('query')})[1:2]) AS term FROM [[user_queries]]"
+        f"SELECT query_id, unnest({_tok('query')}) AS term FROM [[user_queries]]"
     )
     + """
     SELECT query_id, document_id, page_number, score, rank FROM (
@@ -192,10 +201,8 @@ def _(spark, root):
     """,
 )
 def _(spark, root):
-    short = bind(spark, root, "user_queries").select(
-        "query_id", F.array_join(F.slice(tokens(F.col("query")), 1, 2), " ").alias("query")
-    )
-    return search.search_many(*_stored_index(spark, root), short, k=10)
+    queries = bind(spark, root, "user_queries")
+    return segments.search_index(_segments(spark, root), queries, 10).select("query_id", "document_id", "page_number", "score", "rank")
 
 
 _WORDS = "regexp_split_to_array(trim({}, ' ' || chr(9) || chr(10) || chr(13)), '\\s+')"
