@@ -2,8 +2,8 @@
 
 Stateful results are kept as change logs: every micro-batch is reduced first and written to a
 folder named by its batch id, so a replayed batch overwrites itself (exactly once), a batch only
-shuffles its own rows, and readers merge the log. Nothing is rewritten as the table grows, and
-:func:`compact` folds a log into one folder.
+shuffles its own rows, and readers merge the log. Where a reader needs one row a key, the result is the
+state of the stream itself.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from quire.functions.ranking import minute_of
 from quire.functions.skew import attach
 from quire.operators.aggregates import PAGES_PER_MINUTE, TARGET_UTILIZATION, ewma_parts, ewma_value, merge_ewma
 from quire.operators.joins import reject_stale
-from quire.operators.search import inverted_index
-from quire.operators.transitions import last_by_key
+from quire.operators.segments import Index, update_index
 
 CLAIM_SALTS = 64
 
@@ -48,10 +48,6 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/log").withColumn("batch_id", F.col("batch_id").cast("bigint"))
 
 
-def compact(log: DataFrame, merge: Callable[[DataFrame], DataFrame], path: str) -> None:
-    merge(log).write.mode("overwrite").parquet(path)
-
-
 def latest_status(events: DataFrame) -> DataFrame:
     """Newest status per (job_id, page_number); also merges already reduced logs."""
     newest = F.max(F.struct("ts", "event_id", "status")).alias("_last")
@@ -61,8 +57,34 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 
 def stream_latest_status(spark: SparkSession, events: DataFrame, path: str) -> DataFrame:
-    run_log(events, latest_status, path)
-    return latest_status(read_log(spark, path))
+    """Newest event of each (job, page) over all batches, one row a key.
+
+    The newest event is the state of a streaming aggregation: batches are combined before their shuffle, so
+    that a page with very many events costs one row a task, and each batch touches the state of its own keys only.
+    Events may come late and in any order. The table is read from the state after the last finished batch; a
+    restart goes on from there, and a replayed batch starts from the state before it.
+    """
+    newest = F.max(F.struct("ts", "event_id", "status")).alias("_last")
+    query = (
+        events.groupBy("job_id", "page_number").agg(newest).writeStream.outputMode("update").format("noop")
+        .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    if query.lastProgress is None and not _has_state(spark, path):
+        return latest_status(spark.createDataFrame([], events.schema))
+    state = spark.read.format("statestore").load(f"{path}/checkpoint")
+    (held,) = state.schema["value"].dataType.names
+    return state.select("key.*", F.col(f"value.{held}").alias("_last")).select(
+        "job_id", "page_number", "_last.status", "_last.ts", "_last.event_id"
+    )
+
+
+def _has_state(spark: SparkSession, path: str) -> bool:
+    """Whether a batch of the stream has been finished."""
+    try:
+        return bool(spark.read.format("state-metadata").load(f"{path}/checkpoint").head(1))
+    except AnalysisException:
+        return False
 
 
 def stream_claims(spark: SparkSession, claims: DataFrame, path: str, horizon: str) -> DataFrame:
@@ -129,27 +151,12 @@ def stream_job_progress(spark: SparkSession, events: DataFrame, path: str) -> Da
 def stream_index_update(spark: SparkSession, changes: DataFrame, path: str, order: str | None = None) -> DataFrame:
     """Postings in step with page changes; null markdown deletes a page.
 
-    Of several changes of one page in a batch the last by ``order``, a column of the changes, counts;
-    without it a page changes at most once a batch. Each batch appends the postings of its pages and the list of those pages. A posting counts
-    while no later batch touched its page.
+    Of several changes of one page in a batch the last by ``order``, a column of the changes, counts; without it
+    a page changes at most once a batch. A batch becomes a segment of the stored index in ``path``, which marks
+    the pages it replaces; only segments that a full size tier merges are written again.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch = last_by_key(batch, ["document_id", "page_number"], order)
-        pages = batch.select("document_id", "page_number").distinct()
-        pages.write.mode("overwrite").parquet(f"{path}/touched/batch_id={batch_id}")
-        inverted_index(batch.where(F.col("markdown").isNotNull())).write.mode("overwrite").parquet(
-            f"{path}/log/batch_id={batch_id}"
-        )
-
-    drain(changes, write, path)
-    newest = (
-        spark.read.parquet(f"{path}/touched").groupBy("document_id", "page_number")
-        .agg(F.max(F.col("batch_id").cast("bigint")).alias("batch_id"))
-    )
-    return read_log(spark, path).join(newest, ["document_id", "page_number", "batch_id"], "left_semi").drop(
-        "batch_id"
-    )
+    drain(changes, lambda batch, batch_id: update_index(batch.sparkSession, path, batch, batch_id, order), path)
+    return Index(spark, path).postings()
 
 
 def stream_reject_stale(
