@@ -134,10 +134,14 @@ def training_rows(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> lis
     the bound that leaves this share of the language's distinct texts. Repeated texts count once. Only
     these rows, cut to the bytes that training uses, reach the driver."""
     rows = docs.where("lang IS NOT NULL AND text RLIKE '[^ ]'").select("text", "lang", F.xxhash64("text").alias("h"))
-    sizes = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
-    bound = (F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")) * 2 - 1) * float(2**63)
-    chosen = rows.join(sizes, "lang").where(F.col("h").cast("double") < bound).dropDuplicates(["lang", "h"])
-    return chosen.select(F.substring("text", 1, TRAINING_BYTES).alias("text"), "lang", "h").orderBy("h", "lang").collect()
+    sizes = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
+    if not sizes:
+        return []
+    # the bounds are in the scan's filter, so only the chosen texts are shuffled
+    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, per_language / r.n))])
+    bound = (shares[F.col("lang")] * 2 - 1) * float(2**63)
+    chosen = rows.where(F.col("h").cast("double") < bound).select(F.substring("text", 1, TRAINING_BYTES).alias("text"), "lang", "h")
+    return chosen.dropDuplicates(["lang", "h"]).orderBy("h", "lang").collect()
 
 
 def _predicted(model: Model) -> Callable:

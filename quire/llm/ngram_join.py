@@ -1,7 +1,7 @@
 """Set-similarity join of word n-gram sets by prefix trees, and the groups that its links make.
 
 Signatures that any two similar sets must share deal the sets into groups; inside a group the sets lie in a
-trie in one global token order, and a traversal shares the partial overlaps of common prefixes.
+trie in one token order of the group, and a traversal shares the partial overlaps of common prefixes.
 """
 
 from __future__ import annotations
@@ -195,7 +195,7 @@ def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Trie:
-    """Token sets in one global order, the tokens of most sets first, as sorted lists with the length that
+    """Token sets in one order, the tokens of most sets first, as sorted lists with the length that
     each has in common with the one before: an interval of the lists with a depth is a node."""
 
     def __init__(self, sets_: list[np.ndarray]) -> None:
@@ -294,49 +294,51 @@ class Trie:
             label[np.isin(label, joined)] = joined[0]
 
 
-def _deal(n: int) -> Callable:
-    """The set of each text, once for each pair of blocks that its group is dealt in."""
+def _deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text, packed, once for each pair of blocks that its group is dealt in. A packed text is a fraction of
+    the hashes of its set, which nothing can pack; the set is made again where the trie is."""
+    import zstandard
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, 2 << 20):
-            rows = sets(batch.column("text"), n)
-            group, key, count = (batch.column(c).to_pylist() for c in ("group", "set_key", "blocks"))
-            out = []
-            for i, tokens in enumerate(rows):
-                mine = key[i] % count[i]
-                pairs = [(0, 0)] if count[i] == 1 else [(min(mine, b), max(mine, b)) for b in range(count[i]) if b != mine]
-                out += [(group[i], a, b, key[i], tokens.tobytes()) for a, b in pairs]
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["group", "a", "b", "set_key", "tokens"])
-
-    return run
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in blocks(batches, 2 << 20):
+        group, key, count, texts = (batch.column(c).to_pylist() for c in ("group", "set_key", "blocks", "text"))
+        out = []
+        for i, text in enumerate(texts):
+            packed, mine = pack(text.encode()), key[i] % count[i]
+            pairs = [(0, 0)] if count[i] == 1 else [(min(mine, b), max(mine, b)) for b in range(count[i]) if b != mine]
+            out += [(group[i], a, b, key[i], packed) for a, b in pairs]
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["group", "a", "b", "set_key", "packed"])
 
 
-def _joined(percent: int) -> Callable:
+def _joined(n: int, percent: int) -> Callable:
     """Joins each run of rows of one group and pair of blocks; the rows come sorted by them."""
 
-    def links(keys: list[int], tokens: list[bytes]) -> tuple[list[int], list[int]]:
+    def links(keys: list[int], texts: list[str]) -> tuple[list[int], list[int]]:
         if len(keys) < 2:
             return [], []
-        first = Trie([np.frombuffer(t, np.uint64) for t in tokens]).groups(percent)
+        first = Trie(sets(pa.array(texts, pa.large_string()), n)).groups(percent)
         moved = np.flatnonzero(first != np.arange(len(first)))
         return [keys[i] for i in moved.tolist()], [keys[i] for i in first[moved].tolist()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, tokens = None, [], []
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        now, keys, texts = None, [], []
         for batch in batches:
             a_out, b_out = [], []
-            for *place, key, own in zip(*(batch.column(c).to_pylist() for c in ("group", "a", "b", "set_key", "tokens")), strict=True):
+            for *place, key, own in zip(*(batch.column(c).to_pylist() for c in ("group", "a", "b", "set_key", "packed")), strict=True):
                 if place != now:
-                    a, b = links(keys, tokens)
+                    a, b = links(keys, texts)
                     a_out += a
                     b_out += b
-                    now, keys, tokens = place, [], []
+                    now, keys, texts = place, [], []
                 keys.append(key)
-                tokens.append(own)
+                texts.append(unpack(own).decode())
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
-        a, b = links(keys, tokens)
+        a, b = links(keys, texts)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
@@ -364,9 +366,9 @@ def join_groups(docs: DataFrame, n: int = 5, percent: int = 80, trie_tokens: int
     sizes = sizes.select("group", F.when(F.col("halves") <= 2, 1).otherwise(F.col("halves")).alias("blocks"))
     dealt = attach(members.select("doc_id", "set_key", "group"), sizes, ["group"], "inner")
     texts = rows.join(dealt, "doc_id").select("text", "group", "set_key", "blocks")
-    placed = texts.mapInArrow(_deal(n), "group long, a int, b int, set_key long, tokens binary")
+    placed = texts.mapInArrow(_deal, "group long, a int, b int, set_key long, packed binary")
     placed = placed.repartition("group", "a", "b").sortWithinPartitions("group", "a", "b", "set_key")
-    linked = components(placed.mapInArrow(_joined(percent), "a long, b long"), "a", "b").toDF("set_key", "component")
+    linked = components(placed.mapInArrow(_joined(n, percent), "a long, b long"), "a", "b").toDF("set_key", "component")
     named = attach(described.select("doc_id", "set_key", "n_shingles"), linked, ["set_key"])
     named = written(named.select("doc_id", "n_shingles", F.coalesce("component", "set_key").alias("label")), "named")
     least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
