@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.skew import attach
 from quire.llm import pieces, tokens
-from quire.llm.shared import blocks, doc_texts, spread, written
+from quire.llm.shared import blocks, doc_texts, gathered, spread, written
 
 #: Ids of the second side take this many bits of a pair's code.
 _BITS = 20
@@ -281,26 +281,13 @@ def _aligned(vocabulary: str, model: str):
 
         aligner = Aligner(vocabulary, model)
         number = TaskContext.get().partitionId() << 32
-        for block in blocks(_gathered(batches), CHUNK_BYTES):
+        for block in gathered(batches, CHUNK_BYTES):
             yield _chunk(aligner, number, block.column("doc_id"), block.column("text"))
             number += 1
 
     return run
 
 
-def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches joined until they hold enough text for a chunk."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= CHUNK_BYTES:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, size = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 def _summed(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     """Best links and sums of counts of the documents of a chunk from what the corpus says about its pairs."""
     at = pairs.column("at").to_numpy()

@@ -71,6 +71,19 @@ def blocks(batches: Iterable[pa.RecordBatch], size: int = 2 << 20, column: str =
             yield batch.slice(start)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], size: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches cut and joined so that the texts of each hold about ``size`` bytes, but for the last of a task."""
+    held, total = [], 0
+    for block in blocks(batches, max(1, size // 8), column):
+        held.append(block)
+        total += pc.sum(pc.binary_length(block.column(column))).as_py() or 0
+        if total >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, total = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Word codes of all texts in order, the row of each, and the distinct words. A word is a run of
     characters other than ``WORD_SPACE``."""
