@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.binding import computed
 from quire.functions.ranking import number_rows
 from quire.functions.skew import attach
 from quire.functions.tokens import tokens, word_count
@@ -131,18 +132,19 @@ def corpus_size(pages: DataFrame) -> DataFrame:
 def corpus_stats(pages: DataFrame) -> DataFrame:
     """Pages containing each token, beside corpus size and average length.
 
-    Tokens are made distinct inside the page's own row, so the count needs no distinct shuffle.
+    A page is tokenised once: its distinct tokens, and one row without a token for its length, are counted in the
+    same aggregate, which combines before its shuffle.
     """
-    split = pages.select(tokens(F.col("markdown")).alias("_tokens"))
-    frequency = (
-        split.select(F.explode(F.array_distinct("_tokens")).alias("token"))
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("page_frequency"))
+    split = computed(pages, "_tokens", F.coalesce(tokens(F.col("markdown")), F.array().cast("array<string>")))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.when(F.col("markdown").isNotNull(), F.size("_tokens")).alias("dl")))
+    each = F.transform(F.array_distinct("_tokens"), lambda t: F.struct(t.alias("token"), F.lit(None).cast("int").alias("dl")))
+    counted = split.select(F.inline(F.concat(whole, each))).groupBy("token").agg(
+        F.count(F.lit(1)).alias("page_frequency"), F.avg("dl").alias("avg_length")
     )
-    size = corpus_size(pages).select(F.struct("n_pages", "avg_length").alias("s"))
-    return frequency.withColumn("_s", size.scalar()).select(
-        "token", "page_frequency", F.col("_s.n_pages").alias("n_pages"),
-        F.round(F.col("_s.avg_length"), 6).alias("avg_length"),
+    # both filters are on the aggregate, so that neither is pushed below it and its shuffle serves both
+    size = counted.where("avg_length IS NOT NULL").select(F.struct(F.col("page_frequency").alias("n_pages"), "avg_length").alias("s"))
+    return counted.where("avg_length IS NULL").drop("avg_length").withColumn("_s", size.scalar()).select(
+        "token", "page_frequency", F.col("_s.n_pages").alias("n_pages"), F.round(F.col("_s.avg_length"), 6).alias("avg_length")
     )
 
 
@@ -152,25 +154,17 @@ def ewma_parts(
 ) -> DataFrame:
     """Per key: ``n`` positive samples, their discounted sum ``s`` and the ``first`` one.
 
-    The ordered fold is linear: a sample followed by r later ones weighs (1-keep)*keep**r. So it is
-    folded inside coarse time buckets first, and the few bucket rows of a key are then merged.
-    ``newest`` orders samples from the newest on; ``bucket`` grows with time.
+    The ordered fold is linear: a sample followed by r later ones weighs (1-keep)*keep**r. Rows are numbered from
+    the newest on, see :func:`number_rows`, and weighted samples are summed with combination before the shuffle,
+    so no key and no time bucket is folded in one task. ``newest`` orders samples from the newest on; ``bucket``
+    grows with time.
     """
     keys = list(keys)
-    within = Window.partitionBy(*keys, "_bucket").orderBy(*newest)
+    numbered = number_rows(samples.where(F.col(value) > 0), keys, bucket, newest, "_age", newest_first=True)
     weight = (1.0 - keep) * F.pow(F.lit(keep), F.col("_age") - 1)
-    parts = (
-        samples.where(F.col(value) > 0)
-        .withColumn("_bucket", bucket)
-        .withColumn("_age", F.row_number().over(within))
-        .groupBy(*keys, "_bucket")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.col(value) * weight).alias("s"),
-            F.max_by(value, "_age").alias("first"),
-        )
+    return numbered.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(value) * weight).alias("s"), F.max_by(value, "_age").alias("first")
     )
-    return merge_ewma(parts, keys, "_bucket", keep)
 
 
 def merge_ewma(parts: DataFrame, keys: Sequence[str], order: str, keep: float = 0.8) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.skew import attach
-from quire.functions.text import ASSET_LINK, asset_url, export_stem, interleave
+from quire.functions.text import asset_name, asset_url, export_stem, image_links, join_links
 
 SEPARATOR = "\n\n---\n\n"
 _PAGE = ["document_id", "page_number"]
@@ -108,24 +108,21 @@ def resolve_asset_links(pages: DataFrame, assets: DataFrame) -> DataFrame:
     ``pages`` carry session_id. Only the links found in a page travel to the join, and each page
     takes back just its own matches.
     """
-    found = F.regexp_extract_all("markdown", F.lit(ASSET_LINK), F.lit(0))
-    names = F.transform(found, lambda x: F.rtrim(F.substring_index(x, "](assets/", -1), F.lit(")")))
+    names = F.filter(F.transform(image_links(F.col("markdown")), lambda x: asset_name(x["target"])), lambda n: n.isNotNull())
     links = pages.select(*_PAGE, F.explode(F.array_distinct(names)).alias("filename"))
     known = (
         attach(links, assets.select("document_id", "filename"), ["document_id", "filename"], "left_semi")
         .groupBy(*_PAGE)
         .agg(F.collect_set("filename").alias("_known"))
     )
-    opens = F.transform(found, lambda x: F.concat(F.substring_index(x, "](assets/", 1), F.lit("](")))
 
     def link(reference: Column) -> Column:
-        name = reference["name"]
+        name = asset_name(reference["target"])
         url = asset_url(F.col("session_id").cast("string"), F.col("document_id").cast("string"), name)
-        target = F.when(F.array_contains("_known", name), url).otherwise(F.concat(F.lit("assets/"), name))
-        return F.concat(reference["open"], target, F.lit(")"))
+        target = F.when(F.array_contains("_known", name), url).otherwise(reference["target"])
+        return F.struct(reference["alt"].alias("alt"), target.alias("target"), reference["rest"].alias("rest"))
 
-    links = F.transform(F.arrays_zip(opens.alias("open"), names.alias("name")), link)
-    rebuilt = interleave(F.split("markdown", ASSET_LINK), links)
+    rebuilt = join_links(F.transform(image_links(F.col("markdown")), link))
     joined = pages.join(known, _PAGE, "left")
     return joined.withColumn(
         "markdown",

@@ -251,26 +251,49 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
 
 
+def _marks(patterns: list[str]) -> Callable[[Column], Column]:
+    """The patterns that a word matches, a bit each."""
+    bits = [(p, F.lit(1 << k).cast("bigint")) for k, p in enumerate(patterns)]
+    return lambda word: reduce(lambda a, b: a.bitwiseOR(b), [F.when(word.rlike(p), bit).otherwise(F.lit(0).cast("bigint")) for p, bit in bits])
+
+
+#: Terms that one number of 64 bits can mark.
+_MASK_TERMS = 62
+
+
 def search_excerpt(pages: DataFrame, query: str, width: int = 24, lead: int = 5) -> DataFrame:
-    """Adds ``excerpt``: up to ``width`` words starting at most ``lead`` before the first match.
+    """Adds ``excerpt``: the ``width`` words that hold the most different terms.
 
-    Cut ends show an ellipsis. Pages without a match have a null excerpt. The fragment choice of
-    full-text engines is internal to them; this window is this operator's own definition.
+    A window starts ``lead`` words before a match, or at the first word; of windows with equally many terms the
+    first is taken. Cut ends show an ellipsis. Pages without a match have a null excerpt. Each word carries the
+    terms it matches as bits, so a window is judged by its ``width`` words, and work grows with the matches.
     """
-    terms = search_terms(query)
+    terms = list(dict.fromkeys(search_terms(query)))
     if not terms:
         return pages.withColumn("excerpt", F.lit(None).cast("string"))
-    begins = "|".join(re.escape(t) for t in dict.fromkeys(terms))
-    words = pages.withColumn("_w", _words(F.col("markdown"))).withColumn("_f", _words(fold(F.col("markdown"))))
-    hit = F.transform("_f", lambda w: w.rlike(rf"(^|[^\p{{L}}\p{{N}}])({begins})"))
-    placed = words.withColumn("_at", F.array_position(hit, F.lit(True)))
-    start = F.greatest(F.lit(1), F.col("_at") - lead)
-    body = F.array_join(F.slice("_w", start.cast("int"), width), " ")
+    begins = [rf"(^|[^\p{{L}}\p{{N}}]){re.escape(t)}" for t in terms]
+    parts = [begins[at : at + _MASK_TERMS] for at in range(0, len(begins), _MASK_TERMS)]
+    out = pages.withColumn("_w", _words(F.col("markdown"))).withColumn("_f", _words(fold(F.col("markdown"))))
+    for number, part in enumerate(parts):
+        out = computed(out, f"_m{number}", F.transform("_f", _marks(part)))
+
+    def covered(start: Column) -> Column:
+        seen = [F.aggregate(F.slice(f"_m{k}", start, width), F.lit(0).cast("bigint"), lambda a, m: a.bitwiseOR(m)) for k in range(len(parts))]
+        return reduce(lambda a, b: a + b, [F.bit_count(x) for x in seen])
+
+    def first(i: Column) -> Column:
+        return F.greatest(F.lit(1), i + 1 - lead)
+
+    hits = F.filter(
+        F.transform("_m0", lambda m, i: F.when(reduce(lambda a, b: a | b, [F.get(f"_m{k}", i) != 0 for k in range(len(parts))]), i)),
+        lambda i: i.isNotNull(),
+    )
+    placed = computed(out, "_at", F.array_min(F.transform(hits, lambda i: F.struct((-covered(first(i))).alias("n"), i.alias("i")))))
+    start = first(F.col("_at.i"))
     excerpt = F.concat(
         F.when(start > 1, "… ").otherwise(""),
-        body,
+        F.array_join(F.slice("_w", start, width), " "),
         F.when(start + width - 1 < F.size("_w"), " …").otherwise(""),
     )
-    return placed.withColumn("excerpt", F.when(F.col("_at") > 0, excerpt)).drop("_w", "_f", "_at")
-
-
+    masks = [f"_m{k}" for k in range(len(parts))]
+    return placed.withColumn("excerpt", F.when(F.col("_at").isNotNull(), excerpt)).drop("_w", "_f", "_at", *masks)

@@ -121,9 +121,9 @@ def upsert_extractions(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     key = ["document_id", "profile"]
     fields = ("data_json", "schema_version", "status", "model")
-    firsts = new.groupBy(*key).agg(F.min("at").alias("_first"))
-    n = last_by_key(new.select(*key, "at", *fields), key, "at").join(firsts, key)
-    n = n.select(*key, F.col("at").alias("_at"), "_first", *[F.col(c).alias(f"_n_{c}") for c in fields])
+    last = F.max(F.struct("at", *fields)).alias("_last")  # rows of equal ``at`` by their fields
+    n = new.groupBy(*key).agg(last, F.min("at").alias("_first"))
+    n = n.select(*key, F.col("_last.at").alias("_at"), "_first", *[F.col(f"_last.{c}").alias(f"_n_{c}") for c in fields])
     touched = F.col("_at").isNotNull()
     return old.join(n, key, "full_outer").select(
         *key,
@@ -297,12 +297,15 @@ def mark_pages(job_pages: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def start_jobs(jobs: DataFrame, started: DataFrame) -> DataFrame:
-    """Queued jobs named by ``started`` turn running."""
-    asked = started.select("job_id").where("job_id IS NOT NULL").distinct().withColumn("_started", F.lit(True))
-    return jobs.join(asked, "job_id", "left").withColumn(
-        "status",
-        F.when(F.col("_started") & (F.col("status") == "queued"), "running").otherwise(F.col("status")),
-    ).drop("_started")
+    """Queued jobs named by ``started`` turn running and get the first ``started_at`` given there."""
+    asked = started.where("job_id IS NOT NULL").groupBy("job_id").agg(F.min("started_at").alias("_at"), F.lit(True).alias("_started"))
+    starts = F.coalesce("_started", F.lit(False)) & (F.col("status") == "queued")
+    return (
+        attach(jobs, asked, ["job_id"])
+        .withColumn("started_at", F.when(starts, F.col("_at")).otherwise(F.col("started_at")))
+        .withColumn("status", F.when(starts, "running").otherwise(F.col("status")))
+        .drop("_started", "_at")
+    )
 
 
 def classify_errors(df: DataFrame, status: str = "status_code", message: str = "error") -> DataFrame:

@@ -440,22 +440,22 @@ def _(spark, root):
     "upsert_extractions",
     """
     WITH old AS (SELECT o_orderkey AS document_id, 'invoice' AS profile, o_orderpriority AS data_json, 'approved' AS status,
-                        o_orderdate AS created_at FROM {orders} WHERE o_orderstatus <> 'P'),
-    new AS (SELECT l_orderkey AS document_id, 'invoice' AS profile, CAST(sum(l_linenumber) AS VARCHAR) AS data_json,
+                        o_orderdate AS created_at FROM {orders}),
+    new AS (SELECT l_orderkey AS document_id, CASE WHEN l_orderkey % 3 = 0 THEN 'receipt' ELSE 'invoice' END AS profile,
+                   CAST(sum(l_linenumber) AS VARCHAR) AS data_json,
                    CASE WHEN max(l_returnflag) = 'R' THEN 'approved' ELSE 'needs_review' END AS status,
                    max(l_shipdate) AS at FROM {lineitem} GROUP BY l_orderkey)
-    SELECT coalesce(n.document_id, o.document_id) AS document_id, 'invoice' AS profile,
+    SELECT coalesce(n.document_id, o.document_id) AS document_id, coalesce(n.profile, o.profile) AS profile,
            coalesce(n.data_json, o.data_json) AS data_json,
            CAST(CASE WHEN n.document_id IS NULL THEN 1 ELSE 2 END AS INTEGER) AS schema_version,
            coalesce(n.status, o.status) AS status, 'model' AS model,
            CASE WHEN n.document_id IS NULL THEN o.created_at WHEN n.status = 'approved' THEN n.at END AS reviewed_at,
            coalesce(o.created_at, n.at) AS created_at
-    FROM old o FULL OUTER JOIN new n ON o.document_id = n.document_id
+    FROM old o FULL OUTER JOIN new n ON o.document_id = n.document_id AND o.profile = n.profile
     """,
 )
 def _(spark, root):
-    orders = table(spark, root, "orders").where("o_orderstatus <> 'P'")
-    old = orders.select(
+    old = table(spark, root, "orders").select(
         F.col("o_orderkey").alias("document_id"), F.lit("invoice").alias("profile"),
         F.col("o_orderpriority").alias("data_json"), F.lit(1).alias("schema_version"),
         F.lit("approved").alias("status"), F.lit("model").alias("model"),
@@ -465,7 +465,10 @@ def _(spark, root):
         F.sum("l_linenumber").cast("string").alias("data_json"),
         F.when(F.max("l_returnflag") == "R", "approved").otherwise("needs_review").alias("status"),
         F.max("l_shipdate").alias("at"),
-    ).withColumns({"profile": F.lit("invoice"), "schema_version": F.lit(2), "model": F.lit("model")})
+    ).withColumns({
+        "profile": F.when(F.col("document_id") % 3 == 0, "receipt").otherwise("invoice"),
+        "schema_version": F.lit(2), "model": F.lit("model"),
+    })
     return transitions.upsert_extractions(old, new)
 
 
@@ -602,12 +605,15 @@ def _(spark, root):
 @query(
     "start_jobs",
     """
-    SELECT job_id, cancel_requested, CASE WHEN status = 'queued' THEN 'running' ELSE status END AS status FROM [[jobs]]
+    SELECT j.job_id, cancel_requested, CASE WHEN status = 'queued' THEN 'running' ELSE status END AS status,
+           CASE WHEN status = 'queued' THEN s.started_at END AS started_at
+    FROM [[jobs]] j JOIN (SELECT user_id AS job_id, min(ts) AS started_at FROM {events} GROUP BY user_id) s ON j.job_id = s.job_id
     """,
 )
 def _(spark, root):
-    started = table(spark, root, "events").select(F.col("user_id").alias("job_id"))
-    return transitions.start_jobs(bind(spark, root, "jobs").drop("num_pages"), started)
+    started = table(spark, root, "events").select(F.col("user_id").alias("job_id"), F.col("ts").alias("started_at"))
+    jobs = bind(spark, root, "jobs").drop("num_pages").withColumn("started_at", F.lit(None).cast("timestamp_ntz"))
+    return transitions.start_jobs(jobs, started)
 
 
 @query(
@@ -618,16 +624,26 @@ def _(spark, root):
            CAST(arg_max(duration_ms, (ts, event_id)) FILTER (duration_ms IS NOT NULL) AS VARCHAR) AS duration_ms,
            CAST(count(*) FILTER (status = 'running') AS BIGINT) AS attempts,
            max(ts) FILTER (status = 'running') AS started_at,
-           max(ts) FILTER (status IN ('completed', 'failed', 'cancelled')) AS finished_at
+           max(ts) FILTER (status IN ('completed', 'failed', 'cancelled')) AS finished_at,
+           CAST(CASE WHEN count(*) FILTER (status = 'running') > 0 THEN 0 ELSE 1000 END AS INTEGER) AS priority,
+           CASE WHEN arg_max(status, (ts, event_id)) = 'failed' THEN 'upstream_503' END AS error_code,
+           arg_max(CASE WHEN event_id % 2 = 0 THEN 'realtime' ELSE 'batch' END, (ts, event_id)) AS processing_mode,
+           arg_max(concat('batch-', event_id % 9), (ts, event_id)) FILTER (event_id % 2 = 1) AS remote_batch_id
     FROM [[status_events]] GROUP BY job_id, page_number
     """,
 )
 def _(spark, root):
-    events = bind(spark, root, "status_events")
+    odd = F.col("event_id") % 2 == 1
+    events = bind(spark, root, "status_events").withColumns({
+        "error_code": F.when(F.col("status") == "failed", "upstream_503"),
+        "processing_mode": F.when(odd, "batch").otherwise("realtime"),
+        "remote_batch_id": F.when(odd, F.concat(F.lit("batch-"), F.col("event_id") % 9)),
+    })
     blank = events.select("job_id", "page_number").distinct().select(
         "*", F.lit("queued").alias("status"), F.lit(None).cast("string").alias("error"),
         F.lit(None).cast("bigint").alias("duration_ms"), F.lit(0).alias("attempts"),
         F.lit(None).cast("timestamp_ntz").alias("started_at"), F.lit(None).cast("timestamp_ntz").alias("finished_at"),
+        F.lit(1000).alias("priority"), *[F.lit(None).cast("string").alias(c) for c in ("error_code", "processing_mode", "remote_batch_id")],
     )
     return transitions.mark_pages(blank, events).withColumn("duration_ms", F.col("duration_ms").cast("string"))
 

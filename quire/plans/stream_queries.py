@@ -104,9 +104,11 @@ def _(spark, root):
         "document_id", F.col("session_id").alias("job_id"),
         F.when(third == 0, F.col("checksum")).when(third == 1, "outdated").alias("expected_checksum"),
     )
-    documents = table(spark, root, "documents").select(
+    stored = work_dir(spark, "checksums")  # once, not in every batch
+    table(spark, root, "documents").select(
         F.col("doc_id").alias("document_id"), F.sha2("text", 256).alias("checksum")
-    )
+    ).write.parquet(stored)
+    documents = spark.read.parquet(stored)
     cancelled = (
         table(spark, root, "documents").groupBy(F.col("source").alias("job_id"))
         .agg(F.min("doc_id").alias("first")).where("first % 3 = 0")

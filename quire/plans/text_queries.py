@@ -213,9 +213,13 @@ _WORDS = "regexp_split_to_array(trim({}, ' ' || chr(9) || chr(10) || chr(13)), '
     f"""
     WITH w AS (SELECT document_id, page_number, {_WORDS.format('markdown')} AS w,
                       {_WORDS.format('strip_accents(lower(markdown))')} AS f FROM [[doc_pages]]),
-    a AS (SELECT *, list_position(list_transform(f, lambda x: regexp_matches(x, '(^|[^\\p{{L}}\\p{{N}}])(the|tion)')), true) AS k FROM w),
-    b AS (SELECT *, greatest(1, k - 5) AS b FROM a)
-    SELECT document_id, page_number, CASE WHEN k > 0 THEN
+    h AS (SELECT *, list_transform(f, lambda x: regexp_matches(x, '(^|[^\\p{{L}}\\p{{N}}])the')) AS h1,
+                 list_transform(f, lambda x: regexp_matches(x, '(^|[^\\p{{L}}\\p{{N}}])tion')) AS h2 FROM w),
+    c AS (SELECT *, list_min(list_transform(list_filter(range(1, len(f) + 1), lambda i: h1[i] OR h2[i]), lambda i:
+             {{'n': -(CAST(list_contains(h1[greatest(1, i - 5):greatest(1, i - 5) + 23], true) AS INT)
+                   + CAST(list_contains(h2[greatest(1, i - 5):greatest(1, i - 5) + 23], true) AS INT)), 'i': i}})) AS k FROM h),
+    b AS (SELECT *, greatest(1, k.i - 5) AS b FROM c)
+    SELECT document_id, page_number, CASE WHEN k.i > 0 THEN
              concat(CASE WHEN b > 1 THEN '… ' ELSE '' END, array_to_string(w[b:b + 23], ' '),
                     CASE WHEN b + 23 < len(w) THEN ' …' ELSE '' END) END AS excerpt
     FROM b
@@ -285,9 +289,35 @@ def _(spark, root):
     return table(spark, root, "pages").select("page_id", text.escape_html(F.col("html")).alias("html"))
 
 
-@query("math_spans")
+_BLANK_ENDS = "[ \\t\\n\\x0B\\f\\r]"
+
+
+@query(
+    "math_spans",
+    f"""
+    WITH RECURSIVE scan AS (
+      SELECT page_id, 0 AS n, html AS rest, '' AS before, CAST(NULL AS VARCHAR) AS span FROM {{pages}} WHERE html IS NOT NULL
+      UNION ALL
+      SELECT page_id, n + 1, substr(tail, length(coalesce(found, '$')) + 1), right(coalesce(found, left(tail, 1)), 1), found
+      FROM (
+        SELECT *, CASE
+          WHEN starts_with(tail, '$$') THEN CASE WHEN strpos(substr(tail, 3), '$$') > 0 THEN left(tail, strpos(substr(tail, 3), '$$') + 3) END
+          WHEN starts_with(tail, '\\[') THEN CASE WHEN strpos(substr(tail, 3), '\\]') > 0 THEN left(tail, strpos(substr(tail, 3), '\\]') + 3) END
+          WHEN starts_with(tail, '\\(') THEN CASE WHEN strpos(substr(tail, 3), '\\)') > 0 THEN left(tail, strpos(substr(tail, 3), '\\)') + 3) END
+          WHEN previous <> '$' AND strpos(substr(tail, 2), '$') > 1 AND NOT contains(left(tail, strpos(substr(tail, 2), '$')), chr(10))
+               AND NOT regexp_matches(substr(tail, 2, 1), '{_BLANK_ENDS}') AND NOT regexp_matches(substr(tail, strpos(substr(tail, 2), '$'), 1), '{_BLANK_ENDS}')
+               AND NOT regexp_matches(substr(tail, strpos(substr(tail, 2), '$') + 2, 1), '[$0-9]')
+          THEN left(tail, strpos(substr(tail, 2), '$') + 1) END AS found
+        FROM (SELECT *, substr(rest, p) AS tail, CASE WHEN p > 1 THEN substr(rest, p - 1, 1) ELSE before END AS previous
+              FROM (SELECT *, list_min(list_filter([strpos(rest, '$'), strpos(rest, '\\['), strpos(rest, '\\(')], lambda x: x > 0)) AS p FROM scan)
+              WHERE p IS NOT NULL)))
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INTEGER) AS position,
+           CASE WHEN starts_with(span, '$') AND NOT starts_with(span, '$$') THEN concat('\\(', substr(span, 2, length(span) - 2), '\\)') ELSE span END AS span
+    FROM scan WHERE span IS NOT NULL
+    """,
+)
 def _(spark, root):
-    """Web pages carry dollar junk. The pattern needs lookaround, which the SQL engine lacks."""
+    """Web pages carry dollar junk."""
     pages = table(spark, root, "pages")
     return pages.select("page_id", F.posexplode(text.math_spans(F.col("html"))).alias("position", "span"))
 

@@ -126,19 +126,33 @@ def stream_rate_windows(
 def stream_latency_ewma(
     spark: SparkSession, samples: DataFrame, path: str, key: str, value: str, keep: float = 0.8
 ) -> DataFrame:
-    """Running moving average per key. Batches must arrive in time order.
+    """Running moving average per key (samples with ``ts`` and ``event_id``), whatever the order of the batches.
 
-    A micro-batch is reduced to (n, s, first) per key, with the ranks spread over time buckets, so
-    a busy key never sits in one task. Composing two batches is s = s1*keep**n2 + s2.
+    Samples are logged by batch. For each (key, minute) that a batch touches, also one that was there before, the
+    summary (n, s, first) is made again from all its samples so far and logged with the batch. The average composes
+    the newest summaries of a key in the order of time: s = s1*keep**n2 + s2. A late batch so changes its own minutes
+    only. A replayed batch writes the same folders again and reads no later ones.
     """
+    newest = [F.desc("ts"), F.desc("event_id")]
 
-    def reduce_batch(batch: DataFrame) -> DataFrame:
-        return ewma_parts(
-            batch, [key], value, minute_of(F.col("ts")), [F.desc("ts"), F.desc("event_id")], keep
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        timed = batch.select(key, value, "ts", "event_id").withColumn("minute", minute_of(F.col("ts")))
+        timed.write.mode("overwrite").parquet(f"{path}/samples/batch_id={batch_id}")
+        own = session.read.parquet(f"{path}/samples/batch_id={batch_id}")
+        span = own.agg(F.min("minute").alias("low"), F.max("minute").alias("high")).first()
+        known = session.read.parquet(f"{path}/samples").where(
+            (F.col("batch_id") <= batch_id) & F.col("minute").between(F.lit(span.low), F.lit(span.high))
         )
-
-    run_log(samples, reduce_batch, path)
-    return ewma_value(merge_ewma(read_log(spark, path), [key], "batch_id", keep), [key], keep)
+        touched = own.select(key, "minute").distinct()
+        due = known.join(touched, [key, "minute"], "left_semi")
+        parts = ewma_parts(due, [key, "minute"], value, F.lit(0), newest, keep)
+        parts.write.mode("overwrite").parquet(f"{path}/log/batch_id={batch_id}")
+
+    drain(samples, write, path)
+    latest = F.max(F.struct("batch_id", "n", "s", "first")).alias("_l")
+    summaries = read_log(spark, path).groupBy(key, "minute").agg(latest).select(key, "minute", "_l.n", "_l.s", "_l.first")
+    return ewma_value(merge_ewma(summaries, [key], "minute", keep), [key], keep)
 
 
 def stream_job_progress(spark: SparkSession, events: DataFrame, path: str) -> DataFrame:

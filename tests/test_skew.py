@@ -1,10 +1,13 @@
 """One key holding most rows must be split, and must not change results."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quire.functions.ranking import minute_of, number_rows, ordered_rows
 from quire.functions.skew import attach, flag_first
 from quire.operators import joins, transitions
+from quire.operators.aggregates import latency_ewma
 
 SMALL = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -73,3 +76,24 @@ def test_first_of_a_hot_key(spark):
     got = {r["k"]: r["document_id"] for r in flagged.where("is_first").collect()}
     want = {r["k"]: r["m"] for r in rows.groupBy("k").agg(F.min("document_id").alias("m")).collect()}
     assert got == want and flagged.count() == 9000
+
+
+def test_half_of_all_rows_in_one_minute(spark):
+    """Rows of one key and minute are numbered in as many tasks as their number needs."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = 40_000
+        events = spark.range(n).select(
+            F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("event_id"), F.lit(2.0).alias("value"),
+            F.timestamp_seconds(F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") * 60)).alias("ts"),
+        )
+        order = [F.asc("ts"), F.asc("event_id")]
+        tasks = sorted(r["count"] for r in ordered_rows(events, ["k"], order).groupBy(F.shiftright("_at", 33).alias("task")).count().collect())
+        assert sum(tasks) == n and len(tasks) >= 4 and tasks[-1] <= 2 * tasks[len(tasks) // 2]
+        numbered = number_rows(events, ["k"], minute_of(F.col("ts")), order, "n")
+        want = events.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+        assert numbered.select("k", "event_id", "n").exceptAll(want.select("k", "event_id", F.col("n").cast("bigint"))).count() == 0
+        ewma = latency_ewma(events, "k", "value", minute_of(F.col("ts")), [F.desc("ts"), F.desc("event_id")])
+        assert {round(r.ewma, 9) for r in ewma.collect()} == {2.0}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -31,6 +31,22 @@ def test_ewma_across_batches_and_restart(spark, root, tmp_path):
         assert got[row["job_id"]] == pytest.approx(row["ewma"])
 
 
+def test_ewma_of_batches_in_any_order(spark, root, tmp_path):
+    """Minutes torn over batches that arrive newest first and mixed, in two runs, equal the batch result."""
+    samples = bind(spark, root, "job_pages").select(
+        (F.col("job_id") % 3).alias("job_id"), "duration_seconds", F.date_trunc("hour", "ts").alias("ts"), "event_id"
+    )
+    newest_first = in_files(spark, samples.where("event_id % 3 > 0"), F.desc("event_id"), str(tmp_path / "in"), n=3)
+    streams.stream_latency_ewma(spark, newest_first, str(tmp_path / "w"), "job_id", "duration_seconds")
+    in_files(spark, samples.where("event_id % 3 = 0"), F.hash("event_id"), str(tmp_path / "in"), n=3)
+    got = streams.stream_latency_ewma(spark, newest_first, str(tmp_path / "w"), "job_id", "duration_seconds")
+    want = aggregates.latency_ewma(samples, "job_id", "duration_seconds", minute_of(F.col("ts")), [F.desc("ts"), F.desc("event_id")])
+    pairs = got.join(want.select("job_id", F.col("ewma").alias("want"), F.col("samples").alias("n")), "job_id").collect()
+    assert len(pairs) == 3
+    for row in pairs:
+        assert row.ewma == pytest.approx(row.want) and row.samples == row.n
+
+
 def test_latest_status_over_batches_and_restart(spark, root, tmp_path):
     events = bind(spark, root, "status_events")
     early, late = events.where("event_id % 3 <> 0"), events.where("event_id % 3 = 0")

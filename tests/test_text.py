@@ -254,3 +254,37 @@ def test_empty_terms_and_other_scripts(spark):
             assert [r.document_id for r in search.search_text(pages, word).collect()] == [document], word
     assert search.search_excerpt(pages, " !").where("excerpt IS NOT NULL").count() == 0
     assert len(search.search_terms(" ".join("abcdefghijklmnop"))) == 16
+
+
+def test_excerpt_covers_most_terms(spark):
+    """Against all windows, also with more terms than one number has bits."""
+    rng = random.Random(11)
+    words = [f"t{i:02d}" for i in range(70)] + ["filler"] * 200
+    for query, width in (("t00 t01 t02", 4), (" ".join(f"t{i:02d}" for i in range(70)), 6)):
+        terms = search.search_terms(query)
+        texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(60)]
+        pages = spark.createDataFrame(list(enumerate(texts)), "document_id int, markdown string")
+        for row in search.search_excerpt(pages, query, width, 1).collect():
+            own = row.markdown.split()
+            starts = sorted({max(0, i - 1) for i, w in enumerate(own) if any(w.startswith(t) for t in terms)})
+            if not starts:
+                assert row.excerpt is None
+                continue
+            covers = {s: len({t for t in terms if any(w.startswith(t) for w in own[s : s + width])}) for s in starts}
+            best = min(s for s in starts if covers[s] == max(covers.values()))
+            want = ("… " if best else "") + " ".join(own[best : best + width]) + (" …" if best + width < len(own) else "")
+            assert row.excerpt == want
+
+
+def test_full_case_folding(spark):
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (chr(c).isalpha() or chr(c).casefold() != chr(c))]
+    texts = ["".join(letters[at : at + 400]) for at in range(0, len(letters), 400)] + ["STRASSE", "Straße ΐ ﬃ İI"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.casefold(F.col("t")).alias("got")).collect()
+    assert all(r.got == r.t.casefold() for r in rows)
+
+
+def test_image_links_are_taken_apart(spark):
+    given = "a ![x](assets/p q.png) ![y](assets/ok.png)![z](data:image/png;base64,aW1hZ2U=) ![n] (no) ![u](open"
+    links = one(spark, text.image_links(F.col("t")), t=given)
+    assert [(x.alt, x.target) for x in links] == [(None, None), ("x", "assets/p q.png"), ("y", "assets/ok.png"), ("z", "data:image/png;base64,aW1hZ2U="), (None, None), (None, None)]
+    assert one(spark, text.join_links(text.image_links(F.col("t"))), t=given) == given
