@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _PART = r"^\d+\s*(-\s*\d+)?$"
@@ -28,49 +28,87 @@ def _bounds(part: Column) -> Column:
     )
 
 
-def _pages(bounds: Column) -> Column:
-    expanded = F.transform(bounds, lambda b: F.sequence(b["first"], b["last"]))
-    return F.transform(F.array_sort(F.array_distinct(F.flatten(expanded))), lambda p: p.cast("int"))
+def merged(bounds: Column) -> Column:
+    """Intervals in order, those that touch or overlap joined: as many as the spec has parts at most."""
+
+    def step(runs: Column, b: Column) -> Column:
+        last = F.get(runs, F.size(runs) - 1)
+        joins = F.coalesce(b["first"] <= last["last"] + 1, F.lit(False))
+        grown = F.struct(last["first"].alias("first"), F.greatest(last["last"], b["last"]).alias("last"))
+        before = F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0)))
+        return F.when(joins, F.concat(before, F.array(grown))).otherwise(F.concat(runs, F.array(b)))
+
+    empty = F.lit([]).cast("array<struct<first: bigint, last: bigint>>")
+    return F.aggregate(F.array_sort(bounds), empty, step)
+
+
+def expand(runs: Column) -> Column:
+    """The page numbers of merged intervals as one array, for short ranges."""
+    numbers = F.flatten(F.transform(runs, lambda b: F.sequence(b["first"], b["last"])))
+    return F.transform(numbers, lambda p: p.cast("int"))
+
+
+#: Page numbers that are made at a time.
+_BLOCK = 4096
+
+
+def explode_runs(df: DataFrame, runs: Column, out: str = "page_number") -> DataFrame:
+    """A row for each page of merged intervals. Long ones go through rows of one block each, so that no array
+    holds more than a block, or one number a block."""
+    blocks = F.flatten(F.transform(runs, lambda b: F.transform(
+        F.sequence(b["first"], b["last"], F.lit(_BLOCK).cast("bigint")),
+        lambda at: F.struct(at.alias("first"), F.least(at + (_BLOCK - 1), b["last"]).alias("last")),
+    )))
+    rows = df.withColumn("_block", F.explode(blocks))
+    return rows.withColumn(out, F.explode(F.sequence("_block.first", "_block.last"))).withColumn(out, F.col(out).cast("int")).drop("_block")
 
 
 def _is_all(spec: Column, *names: str) -> Column:
     return F.lower(F.trim(spec)).isin(*names)
 
 
-def strict_pages(spec: Column, total: Column) -> Column:
-    """Sorted distinct pages, or null when any part is malformed or out of bounds.
+def _whole(total: Column) -> Column:
+    every = F.array(F.struct(F.lit(1).cast("bigint").alias("first"), total.cast("bigint").alias("last")))
+    return F.when(total >= 1, every)
+
+
+def strict_runs(spec: Column, total: Column) -> Column:
+    """Merged intervals of pages, or null when any part is malformed or out of bounds.
 
     Blank, ``all`` and ``*`` select every page; reversed bounds are swapped.
     """
     parts = _parts(F.coalesce(spec, F.lit("all")))
-    wide_total = total.cast("bigint")
     bounds = F.transform(parts, _bounds)
-    valid = F.forall(parts, lambda p: p.rlike(_PART)) & F.forall(
-        bounds,
-        lambda b: F.coalesce((b["first"] >= 1) & (b["last"] <= wide_total), F.lit(False)),
-    )
-    inside = F.filter(bounds, lambda b: (b["first"] >= 1) & (b["last"] <= wide_total))
-    every = F.when(wide_total >= 1, F.sequence(F.lit(1), total.cast("int")))
-    return F.when(_is_all(F.coalesce(spec, F.lit("")), "", "all", "*"), every).when(
-        valid, _pages(inside)
-    )
 
+    def inside(b: Column) -> Column:
+        return F.coalesce((b["first"] >= 1) & (b["last"] <= total.cast("bigint")), F.lit(False))
 
-def lenient_pages(spec: Column, total: Column) -> Column:
-    """Sorted distinct pages with bad parts and outside pages dropped; null when none is left.
+    valid = F.forall(parts, lambda p: p.rlike(_PART)) & F.forall(bounds, inside)
+    return F.when(_is_all(F.coalesce(spec, F.lit("")), "", "all", "*"), _whole(total)).when(valid, merged(bounds))
+
+
+def lenient_runs(spec: Column, total: Column) -> Column:
+    """Merged intervals of pages with bad parts and outside pages dropped; null when none is left.
 
     Numbers are plain digits; signed forms count as malformed.
     """
     parts = F.filter(_parts(F.coalesce(spec, F.lit(""))), lambda p: p.rlike(_PART))
-    wide_total = total.cast("bigint")
     clipped = F.transform(
         F.transform(parts, _bounds),
         lambda b: F.struct(
-            F.greatest(b["first"], F.lit(1)).alias("first"),
-            F.least(b["last"], wide_total).alias("last"),
+            F.greatest(b["first"], F.lit(1).cast("bigint")).alias("first"),
+            F.least(b["last"], total.cast("bigint")).alias("last"),
         ),
     )
-    inside = F.filter(clipped, lambda b: b["first"] <= b["last"])
-    pages = _pages(inside)
-    every = F.when(wide_total >= 1, F.sequence(F.lit(1), total.cast("int")))
-    return F.when(_is_all(spec, "all", "*"), every).when(F.size(pages) > 0, pages)
+    left = F.filter(clipped, lambda b: b["first"] <= b["last"])
+    return F.when(_is_all(spec, "all", "*"), _whole(total)).when(F.size(left) > 0, merged(left))
+
+
+def strict_pages(spec: Column, total: Column) -> Column:
+    """Sorted distinct pages of :func:`strict_runs`."""
+    return expand(strict_runs(spec, total))
+
+
+def lenient_pages(spec: Column, total: Column) -> Column:
+    """Sorted distinct pages of :func:`lenient_runs`."""
+    return expand(lenient_runs(spec, total))

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.ranges import lenient_pages, strict_pages
+from quire.functions.ranges import explode_runs, lenient_pages, strict_pages
 from quire.functions.skew import attach
 
 ACTIVE_JOB = ("queued", "running", "cancelling")
@@ -34,9 +34,8 @@ def requested_pages(parts: DataFrame, key: str = "spec_id") -> DataFrame:
     outside = (F.col("first") < 1) | (F.col("last") > F.col("total_pages"))
     bad = parts.where(outside).select(key).distinct()
     kept = attach(parts, bad, [key], "left_anti").where(~outside)
-    return kept.select(
-        key, F.explode(F.sequence(F.col("first"), F.col("last"))).alias("page_number")
-    ).distinct()
+    run = F.array(F.struct(F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last")))
+    return explode_runs(kept, run).select(key, "page_number").distinct()
 
 
 def review_queue(pages: DataFrame, status: str = "needs_review") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.ranges import explode_runs
 from quire.functions.skew import attach
 from quire.operators.selection import ACTIVE_JOB
 
@@ -139,11 +140,13 @@ def create_jobs(documents: DataFrame, pages: DataFrame, force: bool = False) ->
 
     Pages already stored start completed unless forced.
     """
-    selected = (
-        F.array_distinct("pages") if "pages" in documents.columns
-        else F.sequence(F.lit(1), F.col("num_pages"))
-    )
-    wanted = documents.select("job_id", "document_id", F.explode(selected).alias("page_number"))
+    jobs = documents.select("job_id", "document_id", *(c for c in ("pages", "num_pages") if c in documents.columns))
+    if "pages" in documents.columns:
+        wanted = jobs.withColumn("page_number", F.explode(F.array_distinct("pages")))
+    else:
+        whole = F.array(F.struct(F.lit(1).cast("bigint").alias("first"), F.col("num_pages").cast("bigint").alias("last")))
+        wanted = explode_runs(jobs.where(F.col("num_pages") >= 1), whole)
+    wanted = wanted.select("job_id", "document_id", "page_number")
     if force:
         return wanted.withColumn("status", F.lit("queued"))
     done = pages.select(*_PAGE, F.lit(True).alias("_done"))

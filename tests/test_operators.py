@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import ranges
 from quire.functions.ranges import lenient_pages, strict_pages
 from quire.functions.ranking import number_rows, page_block
 from quire.operators import aggregates, extraction, joins, selection, transitions, userfuncs, windows
@@ -390,3 +391,22 @@ def test_only_live_jobs_end_and_marks_carry_mode_and_code(spark):
     )
     row = transitions.mark_pages(stored, events).first()
     assert (row.status, row.priority, row.error_code, row.processing_mode, row.remote_batch_id) == ("failed", 0, "upstream_503", "batch", "r1")
+
+
+def test_page_runs_cost_the_parts_of_a_spec(spark):
+    """A thousand million pages are one interval; merged intervals equal sets of numbers."""
+    one = spark.createDataFrame([("1-1000000000", 2_000_000_000), ("7, 1-2000000000,5-9", 2_000_000_000)], "spec string, total int")
+    got = one.select(ranges.strict_runs(F.col("spec"), F.col("total")).alias("r")).collect()
+    assert [[tuple(x) for x in r.r] for r in got] == [[(1, 1_000_000_000)], [(1, 2_000_000_000)]]
+    rng = random.Random(4)
+    specs = [", ".join(f"{rng.randint(0, 30)}" if rng.random() < 0.4 else f"{rng.randint(0, 30)}-{rng.randint(0, 30)}" for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    rows = spark.createDataFrame([(s, 25) for s in specs], "spec string, total int").select(
+        "spec", ranges.strict_pages(F.col("spec"), F.col("total")).alias("strict"), ranges.lenient_pages(F.col("spec"), F.col("total")).alias("lenient")
+    )
+    for row in rows.collect():
+        bounds = [sorted(map(int, p.split("-")[:: max(1, p.count("-"))])) for p in row.spec.split(", ")]
+        pages = {n for b in bounds for n in range(b[0], b[-1] + 1)}
+        assert row.strict == (sorted(pages) if pages <= set(range(1, 26)) else None)
+        assert row.lenient == (sorted(pages & set(range(1, 26))) or None)
+    long = ranges.explode_runs(spark.createDataFrame([(1,)], "k int"), F.expr("array(named_struct('first', 3L, 'last', 10000L), named_struct('first', 20000L, 'last', 20001L))"))
+    assert long.agg(F.count("*"), F.countDistinct("page_number"), F.min("page_number"), F.max("page_number")).first()[:] == (10000, 10000, 3, 20001)
