@@ -8,7 +8,8 @@ from quire.functions.ranking import minute_of, page_block
 from quire.operators import aggregates, transitions, userfuncs, windows
 from quire.operators.selection import job_recoverable
 from quire.plans.registry import bind, query
-from quire.session import table
+from quire.session import table, work_dir
+from quire.sources.buckets import create_table
 
 
 _ROLLUP = """
@@ -321,9 +322,7 @@ def _(spark, root):
     )
 
 
-@query(
-    "upsert_pages",
-    """
+_UPSERT_PAGES = """
     WITH old AS (
       SELECT document_id, page_number, markdown AS source_markdown, concat(markdown, ' edited') AS markdown,
              '{{"version":1}}' AS preprocessing_json, confidence_score, review_status,
@@ -343,9 +342,11 @@ def _(spark, root):
                 ELSE 'unreviewed' END AS review_status,
            CASE WHEN n.document_id IS NULL THEN o.reviewed_at END AS reviewed_at
     FROM old o FULL OUTER JOIN new n ON o.document_id = n.document_id AND o.page_number = n.page_number
-    """.replace("{{", "{").replace("}}", "}"),
-)
-def _(spark, root):
+    """.replace("{{", "{").replace("}}", "}")
+
+
+def _page_versions(spark, root):
+    """A page table, and OCR results and edits for it."""
     old = bind(spark, root, "page_table").select(
         "document_id", "page_number", F.col("markdown").alias("source_markdown"),
         F.concat("markdown", F.lit(" edited")).alias("markdown"),
@@ -359,7 +360,23 @@ def _(spark, root):
         F.lit('{"version":2}').alias("preprocessing_json"),
         ((F.col("n_chars") % 100) / F.lit(100.0)).alias("confidence_score"),
     )
-    return transitions.upsert_pages(old, new)
+    return old, new
+
+
+@query("upsert_pages", _UPSERT_PAGES)
+def _(spark, root):
+    return transitions.upsert_pages(*_page_versions(spark, root))
+
+
+@query("upsert_pages_stored", _UPSERT_PAGES)
+def _(spark, root):
+    """The same in a stored table, whose buckets two batches of changes rewrite one after the other."""
+    old, new = _page_versions(spark, root)
+    stored = create_table(old, work_dir(spark, "pages"), ["document_id"], 32)
+    for batch in (0, 1):
+        part = new.where(F.pmod(F.xxhash64("document_id"), F.lit(2)) == batch)
+        stored = stored.update(part, batch, transitions.upsert_pages)
+    return stored.read()
 
 
 @query(

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from quire.operators import joins, selection
 from quire.operators.exports import document_markdown, package_manifest, resolve_asset_links
 from quire.plans.registry import bind, query
-from quire.session import table
+from quire.session import table, work_dir
 from quire.sources import tables
+from quire.sources.files import write_files
 from quire.sources.lines import batch_request_lines
 from quire.sources.uploads import ingest_files, validate_uploads
 
@@ -102,6 +103,25 @@ def _(spark, root):
     return document_markdown(bind(spark, root, "page_table"), bind(spark, root, "page_docs"))
 
 
+@query(
+    "document_files",
+    f"""
+    SELECT concat('My_Report_', document_id, '.md') AS file_name, markdown, CAST(octet_length(encode(markdown)) AS BIGINT) AS bytes
+    FROM ({_MARKDOWN_SQL})
+    """,
+)
+def _(spark, root):
+    """Every document as one file, read back as a whole."""
+    parts = document_markdown(bind(spark, root, "page_table"), bind(spark, root, "page_docs"))
+    path = work_dir(spark, "document-files")
+    named = parts.withColumn("file_name", F.concat(F.lit("My_Report_"), "document_id", F.lit(".md")))
+    write_files(named, path, "document_id", "part", "file_name", "markdown")
+    stored = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(path)
+    return stored.select(
+        F.substring_index("path", "/", -1).alias("file_name"), F.decode("content", "UTF-8").alias("markdown"), F.col("length").alias("bytes")
+    )
+
+
 @query(
     "document_markdown_headings",
     """

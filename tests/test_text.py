@@ -288,3 +288,17 @@ def test_image_links_are_taken_apart(spark):
     links = one(spark, text.image_links(F.col("t")), t=given)
     assert [(x.alt, x.target) for x in links] == [(None, None), ("x", "assets/p q.png"), ("y", "assets/ok.png"), ("z", "data:image/png;base64,aW1hZ2U="), (None, None), (None, None)]
     assert one(spark, text.join_links(text.image_links(F.col("t"))), t=given) == given
+
+
+def test_a_document_of_many_pages_is_one_file(spark, tmp_path):
+    from quire.sources.files import write_files
+
+    pages = spark.range(10_000).select(F.lit(1).alias("document_id"), (F.col("id") + 1).cast("int").alias("page_number"), F.concat(F.lit("page é "), "id").alias("markdown"))
+    more = spark.createDataFrame([(2, 1, "one"), (3, 1, "a"), (3, 2, "b")], "document_id int, page_number int, markdown string")
+    documents = spark.createDataFrame([(1, 10_000), (2, 1), (3, 2)], "document_id int, num_pages int")
+    parts = document_markdown(pages.union(more), documents).withColumn("file_name", F.concat(F.lit("d"), "document_id", F.lit(".md")))
+    for _ in range(2):  # a second write replaces the files
+        write_files(parts, str(tmp_path / "out"), "document_id", "part", "file_name", "markdown")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["d1.md", "d2.md", "d3.md"]
+    assert (tmp_path / "out/d1.md").read_text() == "\n\n---\n\n".join(f"<!-- Page {i + 1} -->\n\npage é {i}" for i in range(10_000))
+    assert (tmp_path / "out/d2.md").read_text() == "one"
