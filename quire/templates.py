@@ -10,138 +10,138 @@ from pyspark.sql import types as T
 PAGE_LIMIT = 8
 
 # Keys, labels and kinds of every template, in layout order.
-# A section or table is (title, key, fields); a field is "key | label | kind".
+# A section or table is (title, key, fields); a field is (key, label, kind).
 _INVOICE = (
-    ("Invoice details", None, """
-supplier_name | Supplier | text
-supplier_registration_number | Registration number | text
-supplier_address | Supplier address | long_text
-customer_name | Customer | text
-invoice_number | Invoice number | text
-invoice_date | Invoice date | date
-due_date | Due date | date
-currency | Currency | text
-payment_terms | Payment terms | long_text
-"""),
-    ("Totals", None, """
-subtotal | Subtotal | number
-discount_amount | Discount | number
-tax_amount | Tax | number
-total_amount | Total | number
-"""),
-    ("Line items", "line_items", """
-description | Description | text
-quantity | Qty | number
-unit_price | Unit price | number
-tax_amount | Tax | number
-amount | Amount | number
-"""),
+    ("Invoice details", None, (
+        ("supplier_name", "Supplier", "text"),
+        ("supplier_registration_number", "Registration number", "text"),
+        ("supplier_address", "Supplier address", "long_text"),
+        ("customer_name", "Customer", "text"),
+        ("invoice_number", "Invoice number", "text"),
+        ("invoice_date", "Invoice date", "date"),
+        ("due_date", "Due date", "date"),
+        ("currency", "Currency", "text"),
+        ("payment_terms", "Payment terms", "long_text"),
+    )),
+    ("Totals", None, (
+        ("subtotal", "Subtotal", "number"),
+        ("discount_amount", "Discount", "number"),
+        ("tax_amount", "Tax", "number"),
+        ("total_amount", "Total", "number"),
+    )),
+    ("Line items", "line_items", (
+        ("description", "Description", "text"),
+        ("quantity", "Qty", "number"),
+        ("unit_price", "Unit price", "number"),
+        ("tax_amount", "Tax", "number"),
+        ("amount", "Amount", "number"),
+    )),
 )
 _RECEIPT = (
-    ("Receipt details", None, """
-merchant_name | Merchant | text
-merchant_registration_number | Registration number | text
-merchant_address | Merchant address | long_text
-receipt_number | Receipt number | text
-transaction_datetime | Date and time | text
-currency | Currency | text
-payment_method | Payment method | text
-"""),
-    ("Totals", None, """
-subtotal | Subtotal | number
-discount_amount | Discount | number
-tax_amount | Tax | number
-total_amount | Total | number
-"""),
-    ("Purchased items", "purchased_items", """
-description | Description | text
-quantity | Qty | number
-unit_price | Unit price | number
-amount | Amount | number
-"""),
+    ("Receipt details", None, (
+        ("merchant_name", "Merchant", "text"),
+        ("merchant_registration_number", "Registration number", "text"),
+        ("merchant_address", "Merchant address", "long_text"),
+        ("receipt_number", "Receipt number", "text"),
+        ("transaction_datetime", "Date and time", "text"),
+        ("currency", "Currency", "text"),
+        ("payment_method", "Payment method", "text"),
+    )),
+    ("Totals", None, (
+        ("subtotal", "Subtotal", "number"),
+        ("discount_amount", "Discount", "number"),
+        ("tax_amount", "Tax", "number"),
+        ("total_amount", "Total", "number"),
+    )),
+    ("Purchased items", "purchased_items", (
+        ("description", "Description", "text"),
+        ("quantity", "Qty", "number"),
+        ("unit_price", "Unit price", "number"),
+        ("amount", "Amount", "number"),
+    )),
 )
 _QUOTATION = (
-    ("Quotation details", None, """
-supplier_name | Supplier | text
-supplier_registration_number | Registration number | text
-supplier_address | Supplier address | long_text
-supplier_contact | Supplier contact | text
-customer_name | Customer | text
-customer_address | Customer address | long_text
-quotation_number | Quotation number | text
-quotation_date | Quotation date | date
-valid_until | Valid until | date
-subject | Subject / project | long_text
-currency | Currency | text
-"""),
-    ("Commercial terms", None, """
-payment_terms | Payment terms | long_text
-delivery_terms | Delivery terms | long_text
-warranty_terms | Warranty terms | long_text
-"""),
-    ("Totals", None, """
-subtotal | Subtotal | number
-discount_amount | Discount | number
-tax_amount | Tax | number
-total_amount | Total | number
-"""),
-    ("Quoted items", "quoted_items", """
-item_code | Item code | text
-description | Description | text
-quantity | Qty | number
-unit | Unit | text
-unit_price | Unit price | number
-discount_amount | Discount | number
-tax_amount | Tax | number
-amount | Amount | number
-"""),
+    ("Quotation details", None, (
+        ("supplier_name", "Supplier", "text"),
+        ("supplier_registration_number", "Registration number", "text"),
+        ("supplier_address", "Supplier address", "long_text"),
+        ("supplier_contact", "Supplier contact", "text"),
+        ("customer_name", "Customer", "text"),
+        ("customer_address", "Customer address", "long_text"),
+        ("quotation_number", "Quotation number", "text"),
+        ("quotation_date", "Quotation date", "date"),
+        ("valid_until", "Valid until", "date"),
+        ("subject", "Subject / project", "long_text"),
+        ("currency", "Currency", "text"),
+    )),
+    ("Commercial terms", None, (
+        ("payment_terms", "Payment terms", "long_text"),
+        ("delivery_terms", "Delivery terms", "long_text"),
+        ("warranty_terms", "Warranty terms", "long_text"),
+    )),
+    ("Totals", None, (
+        ("subtotal", "Subtotal", "number"),
+        ("discount_amount", "Discount", "number"),
+        ("tax_amount", "Tax", "number"),
+        ("total_amount", "Total", "number"),
+    )),
+    ("Quoted items", "quoted_items", (
+        ("item_code", "Item code", "text"),
+        ("description", "Description", "text"),
+        ("quantity", "Qty", "number"),
+        ("unit", "Unit", "text"),
+        ("unit_price", "Unit price", "number"),
+        ("discount_amount", "Discount", "number"),
+        ("tax_amount", "Tax", "number"),
+        ("amount", "Amount", "number"),
+    )),
 )
 _RESUME = (
-    ("Profile", None, """
-full_name | Full name | text
-professional_title | Professional title | text
-email | Email | text
-phone | Phone | text
-location | Location | text
-linkedin_url | LinkedIn | text
-github_url | GitHub | text
-portfolio_url | Portfolio / website | text
-professional_summary | Professional summary | long_text
-"""),
-    ("Experience", "experience", """
-employer | Employer | text
-job_title | Role | text
-location | Location | text
-start_date | Start | text
-end_date | End | text
-description | Description | text
-"""),
-    ("Education", "education", """
-institution | Institution | text
-qualification | Qualification | text
-field_of_study | Field | text
-start_date | Start | text
-end_date | End | text
-"""),
-    ("Projects", "projects", """
-name | Project | text
-description | Description | text
-technologies | Technologies | text
-"""),
-    ("Certifications", "certifications", """
-name | Certification | text
-issuer | Issuer | text
-date | Date | text
-"""),
-    ("Achievements", "achievements", """
-title | Achievement | text
-date | Date | text
-description | Description | text
-"""),
-    ("Languages", "languages", """
-language | Language | text
-proficiency | Proficiency | text
-"""),
+    ("Profile", None, (
+        ("full_name", "Full name", "text"),
+        ("professional_title", "Professional title", "text"),
+        ("email", "Email", "text"),
+        ("phone", "Phone", "text"),
+        ("location", "Location", "text"),
+        ("linkedin_url", "LinkedIn", "text"),
+        ("github_url", "GitHub", "text"),
+        ("portfolio_url", "Portfolio / website", "text"),
+        ("professional_summary", "Professional summary", "long_text"),
+    )),
+    ("Experience", "experience", (
+        ("employer", "Employer", "text"),
+        ("job_title", "Role", "text"),
+        ("location", "Location", "text"),
+        ("start_date", "Start", "text"),
+        ("end_date", "End", "text"),
+        ("description", "Description", "text"),
+    )),
+    ("Education", "education", (
+        ("institution", "Institution", "text"),
+        ("qualification", "Qualification", "text"),
+        ("field_of_study", "Field", "text"),
+        ("start_date", "Start", "text"),
+        ("end_date", "End", "text"),
+    )),
+    ("Projects", "projects", (
+        ("name", "Project", "text"),
+        ("description", "Description", "text"),
+        ("technologies", "Technologies", "text"),
+    )),
+    ("Certifications", "certifications", (
+        ("name", "Certification", "text"),
+        ("issuer", "Issuer", "text"),
+        ("date", "Date", "text"),
+    )),
+    ("Achievements", "achievements", (
+        ("title", "Achievement", "text"),
+        ("date", "Date", "text"),
+        ("description", "Description", "text"),
+    )),
+    ("Languages", "languages", (
+        ("language", "Language", "text"),
+        ("proficiency", "Proficiency", "text"),
+    )),
 )
 
 
@@ -194,13 +194,7 @@ def _leaf(field: Field) -> T.DataType:
 
 
 def _template(id: str, label: str, version: int, groups: tuple, lists: tuple) -> Template:
-    built = [
-        Group(title, key, tuple(
-            Field(*(part.strip() for part in line.split(" | ")))
-            for line in body.strip().splitlines()
-        ))
-        for title, key, body in groups
-    ]
+    built = [Group(title, key, tuple(Field(*field) for field in fields)) for title, key, fields in groups]
     return Template(
         id, label, version,
         tuple(g for g in built if g.key is None),
