@@ -73,7 +73,9 @@ def _(spark, root):
     requested = bind(spark, root, "page_docs").select(
         "document_id", F.explode(F.sequence(F.lit(1), F.col("num_pages"))).alias("page_number")
     ).withColumn("custom_id", F.concat_ws(":", "document_id", "page_number"))
-    return joins.batch_correlate(requested, _mapped(spark, root)).drop("custom_id")
+    last = _mapped(spark, root).withColumn("line", F.lit(1))
+    earlier = last.where("error IS NULL").withColumns({"markdown": F.concat(F.lit("~"), "markdown"), "line": F.lit(0)})
+    return joins.batch_correlate(requested, last.unionByName(earlier), order="line").drop("custom_id")
 
 
 _GATE = f"""

@@ -29,11 +29,20 @@ def _(spark, root):
     return streams.stream_latest_status(spark, events, work_dir(spark, "latest-status"))
 
 
-@query("stream_claims", "SELECT DISTINCT document_id, page_number FROM [[claims]]")
+@query(
+    "stream_claims",
+    """
+    SELECT document_id, page_number, owner_token, claimed_at FROM (
+      SELECT *, row_number() OVER (PARTITION BY document_id, page_number, time_bucket(INTERVAL 10 MINUTES, claimed_at)
+                                   ORDER BY claimed_at, owner_token) AS n
+      FROM (SELECT document_id, page_number, owner_token, CAST(claimed_at AS TIMESTAMP) AS claimed_at FROM [[claims]]))
+    WHERE n = 1
+    """,
+)
 def _(spark, root):
     claims = bind_stream(spark, root, "claims").withColumn("claimed_at", F.col("claimed_at").cast("timestamp"))
-    first = streams.stream_claims(spark, claims, work_dir(spark, "claims"), "36500 days")
-    return first.select("document_id", "page_number")
+    first = streams.stream_claims(spark, claims, work_dir(spark, "claims"), "10 minutes")
+    return first.select("document_id", "page_number", "owner_token", F.col("claimed_at").cast("timestamp_ntz").alias("claimed_at"))
 
 
 @query(

@@ -20,8 +20,6 @@ from quire.operators.aggregates import PAGES_PER_MINUTE, TARGET_UTILIZATION, ewm
 from quire.operators.joins import reject_stale
 from quire.operators.segments import Index, update_index
 
-CLAIM_SALTS = 64
-
 
 def run_log(stream: DataFrame, reduce_batch: Callable[[DataFrame], DataFrame], path: str) -> None:
     """Drain the stream, writing each reduced micro-batch to ``path/log/batch_id=<id>``."""
@@ -88,22 +86,24 @@ def _has_state(spark: SparkSession, path: str) -> bool:
 
 
 def stream_claims(spark: SparkSession, claims: DataFrame, path: str, horizon: str) -> DataFrame:
-    """First claim seen per key within the horizon. Which of several claims in one batch stays is open.
+    """The winning claim of each page in each period of ``horizon``: the first by (claimed_at, owner_token).
 
-    Claims are made unique per (key, salt) first, so a page that everyone claims reaches the final
-    step as at most ``CLAIM_SALTS`` rows per horizon.
+    The best claim of a (period, page) is the state of a streaming aggregation, so a page that everyone claims
+    costs one row a task, and state goes when the watermark, one horizon behind the newest claim, has passed its
+    period; claims that come later than that count no more. Winners that a batch changes are logged with it, and
+    the least of a page's logged winners is the one that stands, whatever the order of the batches.
     """
-    key = ["document_id", "page_number"]
-    salt = F.pmod(F.xxhash64("owner_token", "claimed_at"), F.lit(CLAIM_SALTS))
-    unique = (
-        claims.withColumn("_salt", salt)
-        .withWatermark("claimed_at", horizon)
-        .dropDuplicatesWithinWatermark([*key, "_salt"])
-        .dropDuplicatesWithinWatermark(key)
-        .drop("_salt")
+    best = F.min(F.struct("claimed_at", "owner_token")).alias("_best")
+    winners = claims.withWatermark("claimed_at", horizon).groupBy(F.window("claimed_at", horizon), "document_id", "page_number").agg(best)
+    winners = winners.select(F.col("window.start").alias("period"), "document_id", "page_number", "_best")
+    query = (
+        winners.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint")
+        .foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/log/batch_id={batch_id}"))
+        .trigger(availableNow=True).start()
     )
-    run_log(unique, lambda batch: batch, path)
-    return read_log(spark, path)
+    query.awaitTermination()
+    stand = read_log(spark, path).groupBy("period", "document_id", "page_number").agg(F.min("_best").alias("_best"))
+    return stand.select("period", "document_id", "page_number", "_best.owner_token", "_best.claimed_at")
 
 
 def stream_rate_windows(

@@ -116,7 +116,21 @@ def test_every_row_counts_in_its_window(spark, tmp_path):
 
 
 def test_claims_over_batches(spark, tmp_path):
-    rows = [(d, 1, f"o{i}", i, f"2024-01-01 00:00:{i:02d}") for i, d in enumerate((1, 1, 2, 1, 2, 3))]
-    claims = spark.createDataFrame(rows, "document_id int, page_number int, owner_token string, i int, t string").withColumn("claimed_at", F.col("t").cast("timestamp")).drop("t")
-    got = streams.stream_claims(spark, in_files(spark, claims, "i", str(tmp_path / "in"), n=3), str(tmp_path / "w"), "1 hour")
-    assert sorted(r["document_id"] for r in got.collect()) == [1, 2, 3]
+    """Winners by (time, owner) in each period, also where an earlier claim comes a batch later; one that comes
+    after its period has passed counts no more."""
+    rows = [
+        (1, "b", "10:05:00"), (1, "c", "10:04:00"), (2, "z", "10:30:00"), (3, "m", "10:00:00"),
+        (1, "a", "10:04:00"), (2, "y", "10:30:00"), (2, "k", "10:59:59"), (1, "late", "11:10:00"),
+        (4, "n", "14:00:00"), (1, "d", "14:00:01"), (4, "o", "14:00:00"), (4, "p", "13:59:00"),
+        (5, "s", "14:00:00"), (5, "t", "14:05:00"), (5, "u", "14:10:00"), (5, "v", "14:15:00"),
+        (1, "gone", "10:00:00"), (4, "q", "14:00:00"), (3, "gone", "09:00:00"), (4, "r", "14:30:00"),
+    ]
+    claims = spark.createDataFrame([(d, 1, o, i, f"2024-01-01 {t}") for i, (d, o, t) in enumerate(rows)], "document_id int, page_number int, owner_token string, i int, t string")
+    claims = claims.withColumn("claimed_at", F.col("t").cast("timestamp")).drop("t")
+    stream = in_files(spark, claims, "i", str(tmp_path / "in"), n=5)
+    for _ in range(2):  # the second run has nothing to add
+        got = streams.stream_claims(spark, stream, str(tmp_path / "w"), "1 hour")
+        won = sorted((f"{r.period:%H}", r.document_id, r.owner_token) for r in got.collect())
+        assert won == [("10", 1, "a"), ("10", 2, "y"), ("10", 3, "m"), ("11", 1, "late"), ("13", 4, "p"), ("14", 1, "d"), ("14", 4, "n"), ("14", 5, "s")]
+    held = spark.read.format("statestore").load(str(tmp_path / "w/checkpoint")).select("key.window.start").distinct().collect()
+    assert {f"{r.start:%H}" for r in held} <= {"13", "14"}
