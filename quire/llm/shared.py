@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     own is used only where the session names none, which is the case in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="spark-")
         shared_folder.own = base
