@@ -112,11 +112,11 @@ class Index:
         buckets = max(1, -(-sizes.n // BUCKET_PAGES))
         placed = stored.withColumn("bucket", F.pmod(F.xxhash64(*_PAGE), F.lit(buckets)).cast("int"))
         each = placed.select("bucket", *_PAGE, "dl", F.explode("tokens").alias("_c")).select("_c.token", "bucket", *_PAGE, "_c.tf", "dl")
-        blocks = each.groupBy("token", "bucket").agg(
+        ranged = each.repartitionByRange("token", "bucket")  # which also is how the blocks must be grouped
+        blocks = ranged.groupBy("token", "bucket").agg(
             F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct(*_PAGE)).alias("pages")
         )
-        ordered = blocks.repartitionByRange("token", "bucket").sortWithinPartitions("token", "bucket")
-        ordered.write.mode("overwrite").parquet(place["postings"])
+        blocks.sortWithinPartitions("token", "bucket").write.mode("overwrite").parquet(place["postings"])
         if prefixes is None:
             prefixes = _prefixes(stored, 1)
             if dead is not None:
@@ -129,12 +129,22 @@ class Index:
 
 
 def _prefixes(pages: DataFrame, sign: int) -> DataFrame:
-    """(prefix, n): each token prefix of each page once, counted by page with a sign."""
-    lengths = F.transform("tokens", lambda t: F.transform(
-        F.sequence(F.lit(1), F.least(F.char_length(t.token), F.lit(PREFIX_LENGTH))), lambda n: F.substr(t.token, F.lit(1), n)
-    ))
-    each = pages.select(F.explode(F.array_distinct(F.flatten(lengths))).alias("prefix"))
-    return each.groupBy("prefix").agg((F.count(F.lit(1)) * sign).alias("n"))
+    """(prefix, n): each token prefix of each page once, counted by page with a sign.
+
+    The tokens of a page are in order, so a token brings the prefixes that are longer than what it shares with the
+    one before. How many pages bring a token with how much shared is counted first; only those few rows are
+    taken apart into prefixes.
+    """
+    def shared(token: Column, before: Column) -> Column:
+        longest = F.least(F.char_length(token), F.char_length(before), F.lit(PREFIX_LENGTH))
+        lengths = F.when(longest >= 1, F.sequence(F.lit(1), longest))
+        return F.coalesce(F.size(F.filter(lengths, lambda n: F.substr(token, F.lit(1), n) == F.substr(before, F.lit(1), n))), F.lit(0))
+
+    brought = F.transform("tokens", lambda t, i: F.struct(t.token.alias("token"), F.greatest(shared(t.token, F.get("tokens", i - 1).token), F.lit(0)).alias("known")))
+    counted = pages.select(F.inline(brought)).groupBy("token", "known").agg(F.count(F.lit(1)).alias("n"))
+    longest = F.least(F.char_length("token"), F.lit(PREFIX_LENGTH))
+    each = counted.where(F.col("known") < longest).withColumn("_l", F.explode(F.sequence(F.col("known") + 1, longest)))
+    return each.select(F.substr("token", F.lit(1), F.col("_l")).alias("prefix"), (F.col("n") * sign).alias("n")).groupBy("prefix").agg(F.sum("n").alias("n"))
 
 
 def build_index(pages: DataFrame, path: str) -> Index:
