@@ -18,6 +18,7 @@ def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``withColumn`` whose value is computed exactly once per row.
 
     A one-element generator keeps the optimiser from copying the expression into every later use
-    and into filters pushed below it.
+    and into filters pushed below it. The value is projected first: a generator with a lambda
+    function inside is interpreted as a whole, a projection is compiled.
     """
-    return df.withColumn(name, F.explode(F.array(value)))
+    return df.withColumn("_computed", value).withColumn(name, F.explode(F.array("_computed"))).drop("_computed")

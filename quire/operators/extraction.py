@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.binding import computed
+from quire.functions.binding import computed, let
 from quire.functions.text import dedupe_string_list, export_stem
 from quire.templates import TEMPLATES, Field, Group, Template
 
@@ -23,7 +23,7 @@ def parse_annotation(df: DataFrame, json: str = "annotation") -> DataFrame:
     """Adds ``parsed`` (variant, objects only) and ``error``."""
     raw = F.col(json)
     read = computed(df, "_read", F.try_parse_json(raw))
-    is_object = F.schema_of_variant("_read").startswith("OBJECT")
+    is_object = F.ltrim(raw, F.lit(" \t\r\n")).startswith("{")  # it is valid JSON where this is asked
     error = (
         F.when(raw.isNull() | (F.trim(raw) == ""), "no structured extraction")
         .when(F.col("_read").isNull(), "not valid JSON")
@@ -39,16 +39,17 @@ def _raw_leaves(fields: Sequence[Field], parent: Column) -> list[Column]:
 
 
 def _raw_list(parsed: Column, key: str) -> Column:
+    given = F.try_variant_get(parsed, f"$.{key}", "variant")
     return F.struct(
         F.try_variant_get(parsed, f"$.{key}", "array<variant>").alias("items"),
-        F.try_variant_get(parsed, f"$.{key}", "string").isNotNull().alias("given"),
+        (given.isNotNull() & ~F.is_variant_null(given)).alias("given"),
     ).alias(key)
 
 
 def _raw_item_of(group: Group) -> Callable[[Column], Column]:
     """(is_object, is_null, leaves) of one entry."""
     return lambda item: F.struct(
-        F.schema_of_variant(item).startswith("OBJECT").alias("is_object"),
+        F.try_variant_get(item, "$", "map<string,variant>").isNotNull().alias("is_object"),
         F.is_variant_null(item).alias("is_null"),
         *_raw_leaves(group.fields, item),
     )
@@ -71,12 +72,20 @@ def _number(raw: Column) -> Column:
 
 def _number_error(raw: Column) -> Column:
     """A blank string counts as absent, as does null; anything else must be a finite amount."""
-    number = _amount(raw)
+    return _judged_number(raw, _amount(raw))
+
+
+def _judged_number(raw: Column, number: Column) -> Column:
     return F.when(raw.isNotNull() & (raw != "") & number.isNull(), "Amounts must be numbers").when(
         F.isnan(number) | (F.abs(number) >= _AMOUNT_BOUND), "Amount is outside the supported range"
     )
 
 
+def _item_number_error(raw: Column) -> Column:
+    """The same inside a lambda, where common parts are not shared: the amount is read once, if any is given."""
+    return F.when(raw.isNotNull(), let(_amount(raw), lambda number: _judged_number(raw, number)))
+
+
 def _leaves(fields: Sequence[Field], raw: Column) -> list[Column]:
     return [(_number(raw[f.key]) if f.is_number else _text(raw[f.key])).alias(f.key) for f in fields]
 
@@ -92,11 +101,11 @@ def _item_of(group: Group) -> Callable[[Column], Column]:
 def _item_error_of(group: Group) -> Callable[[Column], Column]:
     return lambda item: F.when(
         ~item["is_object"] & ~item["is_null"], "Structured sections must be objects"
-    ).when(item["is_object"], F.coalesce(F.lit(None).cast("string"), *_leaf_errors(group.fields, item)))
+    ).when(item["is_object"], F.coalesce(F.lit(None).cast("string"), *[_item_number_error(item[f.key]) for f in group.fields if f.is_number]))
 
 
 def _item_line_of(group: Group) -> Callable[[Column], Column]:
-    return lambda item: _csv_line([cell_text(f, item) for f in group.fields])
+    return lambda item: _csv_line(group.fields, item)
 
 
 def _first_error(errors: Column) -> Column:
@@ -177,7 +186,8 @@ def extraction_fields_long(df: DataFrame, template_id: str, data: str = "data")
 
 def number_text(value: Column) -> Column:
     """Plain decimal text with at least one fraction digit, as in ``10.6`` or ``216.0``."""
-    fixed = F.regexp_replace(value.cast("decimal(20,6)").cast("string"), r"(\.\d+?)0*$", "$1")
+    cut = F.rtrim(value.cast("decimal(20,6)").cast("string"), F.lit("0"))
+    fixed = F.rtrim(F.replace(F.concat(cut, F.lit("|")), F.lit(".|"), F.lit(".0|")), F.lit("|"))
     tiny = F.regexp_replace(
         F.regexp_replace(value.cast("string"), r"\.0E", "E"), r"E-(\d)$", "e-0$1"
     )
@@ -195,7 +205,17 @@ def csv_cell(text: Column) -> Column:
     return F.coalesce(F.when(text.rlike("[\",\r\n]"), quoted).otherwise(text), F.lit(""))
 
 
-def _csv_line(cells: list[Column]) -> Column:
+def _csv_cell_of(field: Field, data: Column) -> Column:
+    """A number never needs quotes."""
+    text = cell_text(field, data)
+    return F.coalesce(text, F.lit("")) if field.is_number else csv_cell(text)
+
+
+def _csv_line(fields: Sequence[Field], data: Column) -> Column:
+    return F.concat_ws(",", *[_csv_cell_of(f, data) for f in fields])
+
+
+def _csv_head(*cells: Column) -> Column:
     return F.concat_ws(",", *[csv_cell(c) for c in cells])
 
 
@@ -203,15 +223,15 @@ def csv_lines(template: Template, value: Column) -> Column:
     """CSV lines of one extraction in order: header, fields, lists, then each table."""
     head = [F.lit("field,value")]
     head += [
-        _csv_line([F.lit(f.label), cell_text(f, value)]) for s in template.sections for f in s.fields
+        F.concat_ws(",", csv_cell(F.lit(f.label)), _csv_cell_of(f, value)) for s in template.sections for f in s.fields
     ]
     head += [
-        _csv_line([F.lit(label), F.array_join(value[key], " | ")]) for key, label in template.lists
+        _csv_head(F.lit(label), F.array_join(value[key], " | ")) for key, label in template.lists
     ]
     parts = [F.array(*head)]
     for group in template.tables:
         titles = [F.lit(f.label) for f in group.fields]
-        parts.append(F.array(F.lit(""), _csv_line([F.lit(group.title)]), _csv_line(titles)))
+        parts.append(F.array(F.lit(""), _csv_head(F.lit(group.title)), _csv_head(*titles)))
         parts.append(F.transform(value[group.key], _item_line_of(group)))
     return reduce(lambda a, b: F.concat(a, b), parts)
 
@@ -224,9 +244,8 @@ def extraction_csv_rows(df: DataFrame, template_id: str, data: str = "data") ->
     value = F.col(data)
     ids = [c for c in df.columns if c != data]
     lines = csv_lines(TEMPLATES[template_id], value)
-    return df.where(value.isNotNull()).select(*ids, F.posexplode(lines).alias("_pos", "line")).select(
-        *ids, (F.col("_pos") + 1).alias("seq"), "line"
-    )
+    made = df.where(value.isNotNull()).select(*ids, lines.alias("_lines"))  # compiled there, interpreted inside a generator
+    return made.select(*ids, F.posexplode("_lines").alias("_pos", "line")).select(*ids, (F.col("_pos") + 1).alias("seq"), "line")
 
 
 def extraction_csv_files(df: DataFrame, template_id: str, name: str = "document_name", data: str = "data") -> DataFrame:

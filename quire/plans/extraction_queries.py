@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import extraction, joins, userfuncs
 from quire.plans.registry import bind, query
-from quire.session import table
+from quire.session import spread_rows, table
 from quire.sources import lines
 from quire.templates import template_catalogue
 
@@ -154,7 +154,8 @@ def _invoice_json(spark, root):
         F.substr(fixed, F.lit(1), F.length(fixed) - 1), F.lit(',"total_amount":'), amount, F.lit("}")
     )
     annotation = F.when(noise == 0, F.concat(F.lit("["), whole, F.lit("]"))).otherwise(whole)
-    return bind(spark, root, "invoices", heavy=True).select("document_id", annotation.alias("annotation"))
+    invoices = spread_rows(bind(spark, root, "invoices"), table(spark, root, "orders").count(), "document_id")
+    return invoices.select("document_id", annotation.alias("annotation"))
 
 
 def _normalized(spark, root):

@@ -22,6 +22,16 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def spread_rows(df: DataFrame, rows: int, key: str, each: int = 100_000) -> DataFrame:
+    """The rows of ``df``, about ``rows``, dealt by a key to tasks of about ``each`` rows for CPU-heavy row work.
+
+    A task's time then stays the same however large the table is; adaptive execution would join
+    the partitions by their bytes, which are few here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-rows // each)), key)
+
+
 def stream_table(spark: SparkSession, root: str, name: str, **options: object) -> DataFrame:
     """The same table as a file stream. The glob lets it be one file or a folder of part files."""
     schema = table(spark, root, name).schema
