@@ -7,9 +7,12 @@ frequency is the number of page tokens with that prefix, and the corpus is all p
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,26 +38,33 @@ def tokenize_pages(pages: DataFrame) -> DataFrame:
 def counted_tokens(pages: DataFrame) -> DataFrame:
     """(document_id, page_number, dl, tokens), the distinct tokens of a page in order, each with its count ``tf``.
 
-    Tokens are counted inside the page's own row: its sorted tokens are cut into runs.
+    Tokens are counted without a shuffle: those of an Arrow batch become numbers, which are sorted page by page.
     """
-    split = computed(pages.select(*_PAGE, "markdown"), "_t", F.sort_array(tokens(F.col("markdown")))).drop(
-        "markdown"
-    )
-    token = F.col("_t")
-    starts = F.filter(
-        F.transform(token, lambda t, i: F.when((i == 0) | (t != F.get(token, i - 1)), i)),
-        lambda i: i.isNotNull(),
-    )
-    runs = computed(split, "_starts", starts)
-    begin = F.col("_starts")
-    counted = F.transform(
-        begin,
-        lambda start, i: F.struct(
-            F.get(token, start).alias("token"),
-            (F.coalesce(F.get(begin, i + 1), F.size(token)) - start).alias("tf"),
-        ),
-    )
-    return runs.select(*_PAGE, F.size(token).alias("dl"), counted.alias("tokens"))
+    kept = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in _PAGE)
+    split = pages.select(*_PAGE, tokens(F.col("markdown")).alias("_t"))
+    return split.mapInArrow(_counted, f"{kept}, dl int, tokens array<struct<token: string, tf: int>>")
+
+
+def ranked_words(flat: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of an array in order, and for each entry the place of its word."""
+    encoded = flat.dictionary_encode()
+    order = pc.sort_indices(encoded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return encoded.dictionary.take(pa.array(order)), place[encoded.indices.to_numpy(zero_copy_only=False)]
+
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("_t")
+        words, at = ranked_words(pc.list_flatten(lists))
+        size = max(1, len(words))
+        rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        found, tf = np.unique(rows * size + at, return_counts=True)
+        counted = pa.StructArray.from_arrays([words.take(pa.array(found % size)), pa.array(tf.astype(np.int32))], ["token", "tf"])
+        ends = np.searchsorted(found // size, np.arange(len(lists) + 1)).astype(np.int32)
+        held = pa.ListArray.from_arrays(pa.array(ends), counted, mask=lists.is_null())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _PAGE), pc.list_value_length(lists).cast(pa.int32()), held], [*_PAGE, "dl", "tokens"])
 
 
 def inverted_index(pages: DataFrame) -> DataFrame:

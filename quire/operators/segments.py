@@ -14,20 +14,25 @@ A manifest names the segments that count. It is kept in two slots written in tur
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from quire.functions.skew import attach
 from quire.functions.tokens import query_terms
-from quire.operators.search import counted_tokens, gain, idf, search_terms
+from quire.operators.search import counted_tokens, gain, idf, ranked_words, search_terms
 from quire.operators.transitions import last_by_key
 
 _PAGE = ["document_id", "page_number"]
-#: Pages of a bucket, about; segments of one size tier that are merged; size of the smallest tier and step between tiers.
+#: Most pages of a bucket; segments of one size tier that are merged; size of the smallest tier and step between tiers.
 BUCKET_PAGES, FAN_IN, SMALLEST, STEP = 512, 4, 64, 4
 #: Longest prefix in the dictionary. The pages of longer query terms are counted from their postings.
 PREFIX_LENGTH = 24
@@ -109,14 +114,12 @@ class Index:
         forward.select(columns).write.mode("overwrite").parquet(place["forward"])
         stored = self.spark.read.parquet(place["forward"])
         sizes = stored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
-        buckets = max(1, -(-sizes.n // BUCKET_PAGES))
-        placed = stored.withColumn("bucket", F.pmod(F.xxhash64(*_PAGE), F.lit(buckets)).cast("int"))
-        each = placed.select("bucket", *_PAGE, "dl", F.explode("tokens").alias("_c")).select("_c.token", "bucket", *_PAGE, "_c.tf", "dl")
-        ranged = each.repartitionByRange("token", "bucket")  # which also is how the blocks must be grouped
-        blocks = ranged.groupBy("token", "bucket").agg(
-            F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct(*_PAGE)).alias("pages")
-        )
-        blocks.sortWithinPartitions("token", "bucket").write.mode("overwrite").parquet(place["postings"])
+        types = ", ".join(f"`{c}`: {stored.schema[c].dataType.simpleString()}" for c in _PAGE)
+        head = "token string, bucket bigint, max_tf int, min_dl int, n bigint"
+        made = stored.mapInArrow(_blocks(BUCKET_PAGES), f"{head}, pages array<struct<{types}>>")
+        made.write.mode("overwrite").parquet(f"{self.path}/made/segment={number}")
+        ranged = self.spark.read.parquet(f"{self.path}/made/segment={number}").repartitionByRange("token", "bucket")
+        ranged.sortWithinPartitions("token", "bucket").write.mode("overwrite").parquet(place["postings"])
         if prefixes is None:
             prefixes = _prefixes(stored, 1)
             if dead is not None:
@@ -128,23 +131,83 @@ class Index:
         return Segment(number, sizes.n, 0, sizes.n, sizes.dl)
 
 
-def _prefixes(pages: DataFrame, sign: int) -> DataFrame:
-    """(prefix, n): each token prefix of each page once, counted by page with a sign.
+def _blocks(size: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Posting blocks of stored pages. Up to ``size`` pages that are stored next to each other are a bucket, so
+    its blocks are made where the pages are read."""
+
+    def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                lists = part.column("tokens")
+                counted = pc.list_flatten(lists)
+                words, at = ranked_words(pc.struct_field(counted, "token"))
+                if len(words):
+                    rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+                    order = np.argsort(at, kind="stable")
+                    starts = np.searchsorted(at[order], np.arange(len(words)))
+                    rows = rows[order]
+                    tf = pc.struct_field(counted, "tf").to_numpy(zero_copy_only=False)[order]
+                    dl = part.column("dl").to_numpy(zero_copy_only=False)[rows]
+                    ends = np.append(starts, len(rows))
+                    pages = pa.StructArray.from_arrays([part.column(c).take(pa.array(rows)) for c in _PAGE], _PAGE)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            words, pa.array(np.full(len(words), bucket)), pa.array(np.maximum.reduceat(tf, starts).astype(np.int32)),
+                            pa.array(np.minimum.reduceat(dl, starts).astype(np.int32)), pa.array(np.diff(ends)),
+                            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pages),
+                        ],
+                        ["token", "bucket", "max_tf", "min_dl", "n", "pages"],
+                    )
+                bucket += 1
+
+    return made
 
-    The tokens of a page are in order, so a token brings the prefixes that are longer than what it shares with the
-    one before. How many pages bring a token with how much shared is counted first; only those few rows are
-    taken apart into prefixes.
-    """
-    def shared(token: Column, before: Column) -> Column:
-        longest = F.least(F.char_length(token), F.char_length(before), F.lit(PREFIX_LENGTH))
-        lengths = F.when(longest >= 1, F.sequence(F.lit(1), longest))
-        return F.coalesce(F.size(F.filter(lengths, lambda n: F.substr(token, F.lit(1), n) == F.substr(before, F.lit(1), n))), F.lit(0))
-
-    brought = F.transform("tokens", lambda t, i: F.struct(t.token.alias("token"), F.greatest(shared(t.token, F.get("tokens", i - 1).token), F.lit(0)).alias("known")))
-    counted = pages.select(F.inline(brought)).groupBy("token", "known").agg(F.count(F.lit(1)).alias("n"))
-    longest = F.least(F.char_length("token"), F.lit(PREFIX_LENGTH))
-    each = counted.where(F.col("known") < longest).withColumn("_l", F.explode(F.sequence(F.col("known") + 1, longest)))
-    return each.select(F.substr("token", F.lit(1), F.col("_l")).alias("prefix"), (F.col("n") * sign).alias("n")).groupBy("prefix").agg(F.sum("n").alias("n"))
+
+def _prefixes(pages: DataFrame, sign: int) -> DataFrame:
+    """(prefix, n): each token prefix of each page once, counted by page with a sign."""
+    each = pages.select(F.col("tokens.token").alias("_t")).mapInArrow(_counted_prefixes, "prefix string, n bigint")
+    return each.groupBy("prefix").agg((F.sum("n") * sign).alias("n"))
+
+
+def _counted_prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of a page are in order, so a token brings the prefixes that are longer than what it shares with
+    the one before. How many pages of a batch bring a word with how much shared is counted first; only the
+    distinct words are taken apart into prefixes."""
+    for batch in batches:
+        lists = batch.column("_t")
+        words, at = ranked_words(pc.list_flatten(lists))
+        if not len(words):
+            continue
+        rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+        letters = np.array(pc.utf8_slice_codeunits(words, 0, PREFIX_LENGTH).to_pylist(), f"U{PREFIX_LENGTH}").view(np.uint32).reshape(len(words), -1)
+        lengths = (letters != 0).sum(axis=1)
+
+        def shared(one: np.ndarray, other: np.ndarray, letters: np.ndarray = letters) -> np.ndarray:
+            """Letters at the start of both words; two equal starts of full length share all."""
+            out = np.empty(len(one), np.int64)
+            for start in range(0, len(one), 1 << 17):
+                part = slice(start, start + (1 << 17))
+                same = (letters[one[part]] == letters[other[part]]) & (letters[one[part]] != 0)
+                out[part] = np.logical_and.accumulate(same, axis=1).sum(axis=1)
+            return out
+
+        known = np.zeros(len(at), np.int64)
+        next_to = np.flatnonzero(rows[1:] == rows[:-1]) + 1
+        known[next_to] = shared(at[next_to], at[next_to - 1])
+        width = PREFIX_LENGTH + 1
+        brought = np.bincount(at * width + known, minlength=len(words) * width).reshape(-1, width).cumsum(axis=1)
+        beside = np.zeros(len(words), np.int64)
+        beside[1:] = shared(np.arange(1, len(words)), np.arange(len(words) - 1))
+        for length in range(1, PREFIX_LENGTH + 1):
+            long = np.flatnonzero(lengths >= length)
+            if not len(long):
+                break
+            firsts = np.flatnonzero(beside[long] < length)
+            n = np.add.reduceat(brought[long, length - 1], firsts)
+            prefix = pc.utf8_slice_codeunits(words.take(pa.array(long[firsts])), 0, length)
+            yield pa.RecordBatch.from_arrays([prefix, pa.array(n)], ["prefix", "n"])
 
 
 def build_index(pages: DataFrame, path: str) -> Index:

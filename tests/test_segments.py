@@ -3,9 +3,12 @@
 import glob
 import os
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from quire.functions.tokens import tokens
 from quire.operators import search, segments
 
 SCHEMA = "document_id int, page_number int, markdown string"
@@ -119,3 +122,28 @@ def test_empty_index(spark, tmp_path):
     assert segments.search_stored(index, "a").count() == 1
     index = segments.update_index(spark, path, spark.createDataFrame([(1, 1, None)], SCHEMA), 2)
     assert index.size() == (0, 0.0) and index.postings().count() == 0
+
+
+def test_dictionary_and_buckets_by_brute_force(spark, tmp_path, monkeypatch):
+    """Each prefix counts its pages, whatever the batches and alphabets; a bucket holds BUCKET_PAGES pages at most."""
+    monkeypatch.setattr(segments, "BUCKET_PAGES", 7)
+    rng = random.Random(4)
+    stems = ["a", "ab", "abc", "Été", "éte", "straße", "x" * 24, "x" * 25, "x" * 24 + "y", "日本", "日本語", "𝒳𝒴", "7", "ab7"]
+    rows = [(d, 1, " ".join(rng.choice(stems) + rng.choice(["", "", "s", "ß"]) for _ in range(rng.randrange(0, 12)))) for d in range(80)]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    index = segments.build_index(pages, str(tmp_path / "i"))
+    words = {r.document_id: r.t for r in pages.select("document_id", tokens(F.col("markdown")).alias("t")).collect()}
+    want = Counter(p for t in words.values() for p in {w[:n] for w in t for n in range(1, min(len(w), segments.PREFIX_LENGTH) + 1)})
+    assert {r.prefix: r.n for r in index.part("prefixes").collect()} == want
+    assert {r.document_id: (r.dl, [(c.token, c.tf) for c in r.tokens]) for r in index.live().collect()} == {
+        d: (len(t), sorted(Counter(t).items(), key=lambda c: c[0].encode())) for d, t in words.items()
+    }
+    held = index.part("postings").select("bucket", F.explode("pages").alias("p")).groupBy("bucket").agg(F.count_distinct("p").alias("n"))
+    assert max(r.n for r in held.collect()) <= 7
+    own = index.part("postings").select("token", "bucket", "max_tf", "min_dl", "n", F.explode("pages.document_id").alias("d")).collect()
+    assert sorted((r.token, r.d) for r in own) == sorted((w, d) for d, t in words.items() for w in set(t))
+    blocks = {}
+    for r in own:
+        blocks.setdefault((r.token, r.bucket), (r.max_tf, r.min_dl, r.n, []))[3].append(r.d)
+    for (token, _), (tf, dl, n, docs) in blocks.items():
+        assert (tf, dl, n) == (max(words[d].count(token) for d in docs), min(len(words[d]) for d in docs), len(docs))
