@@ -27,6 +27,8 @@ from quire.functions.tokens import (
 )
 
 K1, B = 1.2, 0.75
+#: Most postings of a file of a stored index, about.
+FILE_POSTINGS = 4_000_000
 _PAGE = ["document_id", "page_number"]
 
 
@@ -76,17 +78,20 @@ def inverted_index(pages: DataFrame) -> DataFrame:
 def write_index(pages: DataFrame, path: str, files: int = 64) -> None:
     """Store postings and page lengths of a corpus.
 
-    Postings are laid out by ranges of (token, document), so a prefix filter touches few files and
-    row groups, and a token found on a third of all pages fills several files.
+    Pages are tokenised once, into a table of their counted tokens. Postings are laid out by ranges of (token,
+    document), so a prefix filter touches few files and row groups, and a token found on a third of all pages
+    fills several files. There are ``files`` of them, and more where they would hold over ``FILE_POSTINGS`` each.
     """
+    counted_tokens(pages).write.mode("overwrite").parquet(f"{path}/counted")
+    counted = pages.sparkSession.read.parquet(f"{path}/counted")
+    postings = counted.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    each = counted.select(*_PAGE, "dl", F.explode("tokens").alias("_c")).select("_c.token", *_PAGE, "_c.tf", "dl")
     (
-        inverted_index(pages)
-        .repartitionByRange(files, "token", "document_id")
+        each.repartitionByRange(max(files, -(-postings // FILE_POSTINGS)), "token", "document_id")
         .sortWithinPartitions("token", "document_id")
         .write.mode("overwrite").parquet(f"{path}/postings")
     )
-    lengths = pages.select(*_PAGE, F.size(tokens(F.col("markdown"))).alias("dl"))
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    counted.select(*_PAGE, "dl").write.mode("overwrite").parquet(f"{path}/lengths")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -438,3 +438,24 @@ def test_repeated_sections_that_are_no_lists(spark):
     got = {r.document_id: r.error for r in extraction.normalize_extraction(read, "invoice").collect()}
     lists, sections, amounts = "Repeated fields must be lists", "Structured sections must be objects", "Amounts must be numbers"
     assert [got[i] for i in range(10)] == [None, None, lists, lists, None, sections, sections, None, amounts, None]
+
+
+def test_stored_postings_fill_files_by_their_number(spark, tmp_path, monkeypatch):
+    """However few files are asked for, each holds about FILE_POSTINGS; nulls have no tokens, and postings are the text's."""
+    from quire.operators import search
+
+    monkeypatch.setattr(search, "FILE_POSTINGS", 100)
+    rows = [(d, 1, None if d % 9 == 0 else "Été b%d b%d the" % (d % 5, d)) for d in range(300)]
+    pages = spark.createDataFrame(rows, "document_id bigint, page_number int, markdown string")
+    search.write_index(pages, str(tmp_path / "i"), files=2)
+    assert len(list((tmp_path / "i/postings").glob("*.parquet"))) > 5
+    postings, size = search.read_index(spark, str(tmp_path / "i"))
+    got = sorted((r.token, r.document_id, r.tf, r.dl) for r in postings.collect())
+    want = []
+    for d, _, text in rows:
+        words = text.lower().replace("é", "e").split() if text else []
+        want += [(w, d, words.count(w), 4) for w in set(words)]
+    assert got == sorted(want)
+    whole = size.collect()[0]
+    assert (whole.n_pages, whole.avg_length) == (300, 4.0)
+    assert search.counted_tokens(pages).where("dl IS NULL AND tokens IS NULL").count() == sum(t is None for _, _, t in rows)
