@@ -48,15 +48,15 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(rows)
 
 
-def _shares(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text its distinct buckets and the share of n-grams in each."""
-    if len(texts) > 100:  # a few at a time, for the driver's memory
-        return [x for at in range(0, len(texts), 100) for x in _shares(texts[at : at + 100])]
+def _counts(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct buckets and the n-grams in each, in two bytes each for the driver's memory.
+    A text of TRAINING_BYTES has fewer n-grams than two bytes can count."""
+    if len(texts) > 100:  # a few at a time
+        return [x for at in range(0, len(texts), 100) for x in _counts(texts[at : at + 100])]
     found, rows = _grams(pa.array(texts, pa.string()))
     keys, counts = np.unique(rows.astype(np.int64) * BUCKETS + found, return_counts=True)
-    row, bucket = keys // BUCKETS, keys % BUCKETS
-    cuts = np.searchsorted(row, np.arange(1, len(texts)))
-    return [(b, c / max(1, c.sum())) for b, c in zip(np.split(bucket, cuts), np.split(counts.astype(np.float64), cuts), strict=True)]
+    cuts = np.searchsorted(keys // BUCKETS, np.arange(1, len(texts)))
+    return list(zip(np.split((keys % BUCKETS).astype(np.uint16), cuts), np.split(counts.astype(np.uint16), cuts), strict=True))
 
 
 class Model:
@@ -90,7 +90,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 10, rate: float = 0.
     of = {lang: k for k, lang in enumerate(languages)}
     target = np.array([of[x] for x in langs])
     texts = [t.encode()[:TRAINING_BYTES].decode(errors="ignore") for t in texts]
-    shares = _shares(texts)
+    counts = _counts(texts)
     held = np.arange(len(texts)) % 5 == 4
     random = np.random.default_rng(seed)
     embedding = random.normal(0, 1 / WIDTH, (BUCKETS, WIDTH))
@@ -100,7 +100,8 @@ def train(texts: list[str], langs: list[str], epochs: int = 10, rate: float = 0.
         for i in random.permutation(rows):
             lr = rate * (1 - step / (epochs * len(rows)))
             step += 1
-            buckets, share = shares[i]
+            buckets, n = counts[i]
+            share = n / max(1.0, float(n.sum()))
             hidden = share @ embedding[buckets]
             z = hidden @ output + bias
             p = np.exp(z - z.max())

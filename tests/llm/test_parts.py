@@ -288,3 +288,13 @@ def test_broken_pages_never_fail():
 def test_byte_ranges_merge():
     assert suffixes.merged([(5, 9), (0, 3), (3, 4), (6, 7)]) == [(0, 4), (5, 9)]
     assert re.fullmatch(r"[0-9a-f]*", "") is not None and suffixes.merged([]) == []
+
+
+def test_training_counts_are_small_and_right():
+    """Four bytes for each bucket of a text on the driver, and the shares that they give."""
+    texts = ["ab", "", "Die Äpfel und der Baum " * 150, "le chat et la souris " * 40] * 60
+    counts = language._counts(texts)
+    assert sum(b.nbytes + n.nbytes for b, n in counts) == 4 * sum(len(b) for b, _ in counts)
+    for text, (buckets, n) in zip(texts, counts, strict=True):
+        found, _ = language._grams(pa.array([text], pa.string()))
+        assert dict(zip(buckets.tolist(), n.tolist(), strict=True)) == Counter(found.tolist())
