@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import blocks
+from quire.llm.shared import blocks, giving_back
 
 UNDETERMINED = "und"
 #: Lengths of the byte n-grams of lower-cased text, and the hash buckets they share.
@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     predicted alike. Only doc_id and text are read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.mapInArrow(_predicted(model), "_key long, lang_pred string, score double, rejected boolean")
+    found = rows.mapInArrow(giving_back(_predicted(model)), "_key long, lang_pred string, score double, rejected boolean")
     return found.withColumnRenamed("_key", "doc_id")
 
 
@@ -206,4 +206,4 @@ def _accepted(model: Model) -> Callable:
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of ``docs`` with all columns whose language is told with enough certainty."""
-    return docs.mapInArrow(_accepted(model or fit(docs)), docs.schema)
+    return docs.mapInArrow(giving_back(_accepted(model or fit(docs))), docs.schema)

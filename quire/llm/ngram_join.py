@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.skew import attach
 from quire.llm.components import components
-from quire.llm.shared import blocks, doc_texts, hash_strings, mix, split_words, written
+from quire.llm.shared import blocks, doc_texts, giving_back, hash_strings, mix, split_words, written
 
 #: Tokens of one trie, about; a larger group of similar sets is dealt in pairs of blocks.
 TRIE_TOKENS = 3_000_000
@@ -142,7 +142,7 @@ def _bucket_counts(n: int) -> Callable:
 def common_buckets(rows: DataFrame, n: int) -> np.ndarray:
     """The buckets that hold shingles of many texts: those far above the mean count of all buckets. At most
     ``2 ** _COUNT_BITS`` numbers reach the driver, whatever the corpus."""
-    counts = rows.mapInArrow(_bucket_counts(n), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(giving_back(_bucket_counts(n)), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     found = counts.toPandas()
     mean = found["n"].sum() / (1 << _COUNT_BITS)
     common = np.zeros(1 << _COUNT_BITS, bool)
@@ -355,20 +355,20 @@ def join_groups(docs: DataFrame, n: int = 5, percent: int = 80, trie_tokens: int
     of their blocks. Only sets that share a signature with another are gathered, one for each distinct set.
     """
     rows = doc_texts(docs)
-    described = written(rows.mapInArrow(_described(n), "doc_id long, set_key long, n_shingles long"), "sets")
+    described = written(rows.mapInArrow(giving_back(_described(n)), "doc_id long, set_key long, n_shingles long"), "sets")
     common = common_buckets(rows, n) if spare_parts(percent) else None
-    marks = rows.mapInArrow(_marked(n, percent, common), "mark long, set_key long")
+    marks = rows.mapInArrow(giving_back(_marked(n, percent, common)), "mark long, set_key long")
     ordered = marks.repartition("mark").sortWithinPartitions("mark", "set_key")
-    near = components(ordered.mapInArrow(_neighbours, "a long, b long"), "a", "b").toDF("set_key", "group")
+    near = components(ordered.mapInArrow(giving_back(_neighbours), "a long, b long"), "a", "b").toDF("set_key", "group")
     known = described.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     members = written(near.join(known.where("doc_id IS NOT NULL"), "set_key"), "members")
     sizes = members.groupBy("group").agg(F.ceil(2 * F.sum("n") / F.lit(float(trie_tokens))).cast("int").alias("halves"))
     sizes = sizes.select("group", F.when(F.col("halves") <= 2, 1).otherwise(F.col("halves")).alias("blocks"))
     dealt = attach(members.select("doc_id", "set_key", "group"), sizes, ["group"], "inner")
     texts = rows.join(dealt, "doc_id").select("text", "group", "set_key", "blocks")
-    placed = texts.mapInArrow(_deal, "group long, a int, b int, set_key long, packed binary")
+    placed = texts.mapInArrow(giving_back(_deal), "group long, a int, b int, set_key long, packed binary")
     placed = placed.repartition("group", "a", "b").sortWithinPartitions("group", "a", "b", "set_key")
-    linked = components(placed.mapInArrow(_joined(n, percent), "a long, b long"), "a", "b").toDF("set_key", "component")
+    linked = components(placed.mapInArrow(giving_back(_joined(n, percent)), "a long, b long"), "a", "b").toDF("set_key", "component")
     named = attach(described.select("doc_id", "set_key", "n_shingles"), linked, ["set_key"])
     named = written(named.select("doc_id", "n_shingles", F.coalesce("component", "set_key").alias("label")), "named")
     least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import blocks, doc_texts, written
+from quire.llm.shared import blocks, doc_texts, giving_back, written
 from quire.llm.tokens import Encoder, crc, split, vocabulary_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -108,7 +108,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 512, tokens_p
     pieces = pieces.select("doc_id", "piece", "start", "length", "ids_crc32")
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     tasks = max(1, -(-total // tokens_per_task))
-    return pieces.coalesce(tasks).mapInArrow(_packed(capacity, open_bins), f"{PIECES}, {PLACES}")
+    return pieces.coalesce(tasks).mapInArrow(giving_back(_packed(capacity, open_bins)), f"{PIECES}, {PLACES}")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, open_bins: int = 512, vocabulary: str | None = None) -> DataFrame:
@@ -119,5 +119,5 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, open_bins: int = 512,
     null or repeated id are packed like all others. Texts are encoded where they are scanned; only the
     small piece rows are written between encoding and packing, and nothing is shuffled.
     """
-    pieces = doc_texts(docs).mapInArrow(_pieces(vocabulary or vocabulary_path(), capacity), PIECES)
+    pieces = doc_texts(docs).mapInArrow(giving_back(_pieces(vocabulary or vocabulary_path(), capacity)), PIECES)
     return pack(written(pieces, "pieces"), capacity, open_bins)

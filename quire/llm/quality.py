@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.skew import attach
-from quire.llm.shared import WORD_SPACE, blocks, mix, split_words, written
+from quire.llm.shared import WORD_SPACE, blocks, giving_back, mix, split_words, written
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -123,7 +123,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return rows.mapInArrow(_stats, _STATS).withColumn("base_failed", failed)
+    return rows.mapInArrow(giving_back(_stats), _STATS).withColumn("base_failed", failed)
 
 
 def _chi_tail(x: float, half: int) -> float:
@@ -177,7 +177,7 @@ def _moments(rows: DataFrame) -> DataFrame:
         F.array(*[F.sum(x) for x in v]).alias("sums"),
         F.array(*[F.sum(v[i] * v[j]) for i, j in _PAIRS]).alias("products"),
     )
-    return sums.mapInPandas(_estimates, _ESTIMATE)
+    return sums.mapInPandas(giving_back(_estimates), _ESTIMATE)
 
 
 def _distance() -> F.Column:

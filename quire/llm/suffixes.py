@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.skew import attach
-from quire.llm.shared import blocks, doc_texts, mix, spread, written
+from quire.llm.shared import blocks, doc_texts, giving_back, mix, spread, written
 
 #: Bytes of a repeated string, and of the strings inside it whose least hash deals it.
 LENGTH, INNER = 50, 16
@@ -344,16 +344,16 @@ def repeated_ranges(docs: DataFrame, build_bytes: int = BUILD_BYTES) -> DataFram
     """``doc_id, start, stop``: byte ranges of documents covered by 50-byte strings that also start in a document
     with a smaller id. Ranges of a document may overlap."""
     rows = doc_texts(docs).where("doc_id IS NOT NULL")
-    runs = rows.mapInArrow(_runs, _RUN).repartition("least").sortWithinPartitions("least", "own", "doc_id", "position")
-    shared = written(runs.mapInArrow(_shared, "least int, doc_id long, position int, n int, leads boolean"), "runs")
+    runs = rows.mapInArrow(giving_back(_runs), _RUN).repartition("least").sortWithinPartitions("least", "own", "doc_id", "position")
+    shared = written(runs.mapInArrow(giving_back(_shared), "least int, doc_id long, position int, n int, leads boolean"), "runs")
     leading = shared.where("leads")
     sizes = leading.groupBy("least").agg(F.sum(F.col("n") + (LENGTH - 1)).alias("bytes")).where(F.col("bytes") > DEAL_ANEW * build_bytes)
     parts = sizes.select("least", F.ceil(F.col("bytes") * 8 / F.lit(float(build_bytes))).cast("int").alias("parts"))
     leading = attach(leading, parts, ["least"]).withColumn("parts", F.coalesce("parts", F.lit(1)))
     lists = leading.groupBy("doc_id").agg(F.collect_list(F.struct("least", "position", "n", "parts")).alias("runs"))
-    strings = rows.join(lists, "doc_id").mapInArrow(_strings, "least int, part int, doc_id long, position int, bytes binary")
+    strings = rows.join(lists, "doc_id").mapInArrow(giving_back(_strings), "least int, part int, doc_id long, position int, bytes binary")
     ordered = strings.repartition("least", "part").sortWithinPartitions("least", "part", "doc_id", "position")
-    found = written(ordered.mapInArrow(_built(build_bytes), "doc_id long, start int, stop int"), "ranges")
+    found = written(ordered.mapInArrow(giving_back(_built(build_bytes)), "doc_id long, start int, stop int"), "ranges")
     copies = shared.where("NOT leads").select("doc_id", F.col("position").alias("start"), (F.col("position") + F.col("n") + (LENGTH - 1)).alias("stop"))
     return found.unionByName(copies)
 
@@ -369,7 +369,7 @@ def dedup_bytes(docs: DataFrame, build_bytes: int = BUILD_BYTES) -> DataFrame:
     """
     ranges = repeated_ranges(docs, build_bytes).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     joined = doc_texts(docs).join(ranges, "doc_id", "left")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(giving_back(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def _cut_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,4 +395,4 @@ def cut_documents(docs: DataFrame, build_bytes: int = BUILD_BYTES) -> DataFrame:
     leaves incomplete goes too. A null text stays null."""
     ranges = repeated_ranges(docs, build_bytes).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row"))
-    return rows.join(ranges, "doc_id", "left").select("row", "ranges").mapInArrow(_cut_texts, docs.schema)
+    return rows.join(ranges, "doc_id", "left").select("row", "ranges").mapInArrow(giving_back(_cut_texts), docs.schema)
