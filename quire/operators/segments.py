@@ -331,7 +331,7 @@ def search_index(
         pages = pages.select(key, "segment", "_p.document_id", "_p.page_number").distinct()
         if within is not None:
             pages = pages.join(within.select("document_id").distinct(), "document_id", "left_semi")
-        rows = pages.join(index.live(), ["segment", *_PAGE]).join(asked.select(key, "terms"), key)
+        rows = pages.join(_holding(index.live(), only), ["segment", *_PAGE]).join(asked.select(key, "terms"), key)
         return rows.select(key, *_PAGE, _score(average).alias("score")).where(F.col("score").isNotNull())
 
     first = scored(alive.where(F.col("_place") <= FIRST_BUCKETS))
@@ -345,6 +345,20 @@ def search_index(
     return ranked.where(F.col("rank") <= k)
 
 
+def _holding(pages: DataFrame, terms: list[str] | None) -> DataFrame:
+    """Of stored pages those that hold every one of the terms, with the tokens that start with one of them; all pages
+    where the terms are not known. Pages are cut so in the scan, before they are shuffled."""
+    if terms is None:
+        return pages
+
+    def begins(term: str) -> Callable[[Column], Column]:
+        return lambda x: x.token.startswith(term)
+
+    tests = [begins(t) for t in terms]
+    every = reduce(lambda a, b: a & b, [F.exists("tokens", test) for test in tests])
+    return pages.where(every).withColumn("tokens", F.filter("tokens", lambda x: reduce(lambda a, b: a | b, [test(x) for test in tests])))
+
+
 def _long_terms(index: Index, matched: DataFrame) -> DataFrame:
     """(term, n_term) of terms beyond the dictionary, from the live pages in their blocks."""
     long = matched.where(F.char_length("term") > PREFIX_LENGTH).select("term", "segment", "token", "bucket")
@@ -367,6 +381,6 @@ def _score(average: Column) -> Column:
 def search_stored(index: Index, query: str, k: int = 30, within: DataFrame | None = None) -> DataFrame:
     """The ``k`` best pages of one query text and all as good as the last: (document_id, page_number, score)."""
     terms = list(dict.fromkeys(search_terms(query)))
-    queries = index.spark.createDataFrame([(0, query if terms else "")], "query_id int, query string")
+    queries = index.spark.range(1).select(F.lit(0).alias("query_id"), F.lit(query if terms else "").alias("query"))
     found = search_index(index, queries, k, within=within, ties=True, only=terms or [" "])
     return found.select(*_PAGE, "score")

@@ -147,3 +147,13 @@ def test_dictionary_and_buckets_by_brute_force(spark, tmp_path, monkeypatch):
         blocks.setdefault((r.token, r.bucket), (r.max_tf, r.min_dl, r.n, []))[3].append(r.d)
     for (token, _), (tf, dl, n, docs) in blocks.items():
         assert (tf, dl, n) == (max(words[d].count(token) for d in docs), min(len(words[d]) for d in docs), len(docs))
+
+
+def test_pages_are_cut_to_the_terms_before_the_shuffle(spark, tmp_path):
+    """Of a page only the tokens that a known term begins are shuffled, of a page without all terms nothing."""
+    rows = [(1, 1, "the nation other"), (2, 1, "the other"), (3, 1, "theme tion tion x"), (4, 1, None)]
+    index = segments.build_index(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "i"))
+    cut = segments._holding(index.live(), ["the", "tion"]).collect()
+    assert [(r.document_id, r.dl, [tuple(t) for t in r.tokens]) for r in cut] == [(3, 4, [("theme", 1), ("tion", 2)])]
+    assert segments._holding(index.live(), None).count() == 3
+    assert [r.document_id for r in segments.search_stored(index, "the tion").collect()] == [3]
