@@ -179,19 +179,22 @@ def _marked(n: int, percent: int, common: np.ndarray | None) -> Callable:
     return run
 
 
-def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links rows of equal mark that follow each other; the rows come sorted by mark and set."""
-    last_mark = last_key = None
+def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links each set of a mark to the first one; the rows come sorted by mark and set. The marks of near copies begin
+    with the same few sets, so that their links repeat each other however many marks they share."""
+    last_mark = last_first = None
     for batch in batches:
         if not batch.num_rows:
             continue
         marks, keys = batch.column("mark").to_numpy(), batch.column("set_key").to_numpy()
-        same = (marks[1:] == marks[:-1]) & (keys[1:] != keys[:-1])
-        a, b = keys[:-1][same], keys[1:][same]
-        if last_mark == marks[0] and last_key != keys[0]:
-            a, b = np.append(a, last_key), np.append(b, keys[0])
-        last_mark, last_key = marks[-1], keys[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        starts = np.flatnonzero(np.append(True, marks[1:] != marks[:-1]))
+        first = keys[starts]
+        if last_mark == marks[0]:
+            first[0] = last_first
+        last_mark, last_first = marks[-1], first[-1]
+        first = np.repeat(first, np.diff(np.append(starts, len(marks))))
+        other = (keys != first) & np.append(True, keys[1:] != keys[:-1])  # a set once, as copies follow each other
+        yield pa.RecordBatch.from_arrays([pa.array(first[other], pa.int64()), pa.array(keys[other], pa.int64())], ["a", "b"])
 
 
 class Trie:
@@ -359,7 +362,9 @@ def join_groups(docs: DataFrame, n: int = 5, percent: int = 80, trie_tokens: int
     common = common_buckets(rows, n) if spare_parts(percent) else None
     marks = rows.mapInArrow(giving_back(_marked(n, percent, common)), "mark long, set_key long")
     ordered = marks.repartition("mark").sortWithinPartitions("mark", "set_key")
-    near = components(ordered.mapInArrow(giving_back(_neighbours), "a long, b long"), "a", "b").toDF("set_key", "group")
+    # one link for all marks that two sets share, as its tasks would each make stars of the same sets
+    links = ordered.mapInArrow(giving_back(_stars), "a long, b long").distinct()
+    near = components(links, "a", "b").toDF("set_key", "group")
     known = described.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     members = written(near.join(known.where("doc_id IS NOT NULL"), "set_key"), "members")
     sizes = members.groupBy("group").agg(F.ceil(2 * F.sum("n") / F.lit(float(trie_tokens))).cast("int").alias("halves"))

@@ -97,6 +97,23 @@ def test_ngram_join_in_blocks_of_a_large_group(spark):
     assert by_id(ngram_join.join_groups(df, 1, 90, trie_tokens=300), "n_shingles", "component_id") == brute_groups(texts, 1, 90)
 
 
+def test_ngram_join_links_grow_with_the_sets_of_a_group(spark, monkeypatch):
+    """Near copies share nearly all of their marks; each brings a few links, not one for every mark or task."""
+    base = [f"word{i}" for i in range(150)]
+    texts = {i: " ".join("own" if k == 2 * i else w for k, w in enumerate(base)) for i in range(60)}
+    counts, made = [], ngram_join.components
+
+    def counted(links, a, b):
+        counts.append(links.count())
+        return made(links, a, b)
+
+    monkeypatch.setattr(ngram_join, "components", counted)
+    df = spark.createDataFrame([*texts.items(), *((1000 + i, texts[7]) for i in range(60))], "doc_id long, text string")
+    found = by_id(ngram_join.join_groups(df, 5, 80), "n_shingles", "component_id")
+    assert {i: x for i, x in found.items() if i < 1000} == brute_groups(texts, 5, 80)
+    assert found[1059] == (146, 0) and counts[0] <= 4 * len(texts)
+
+
 def test_ngram_join_of_odd_rows(odd):
     got = ngram_join.join_groups(odd, 3, 90)
     assert got.count() == odd.count()

@@ -285,6 +285,14 @@ def test_broken_pages_never_fail():
     assert extract.main_text("<div>" * 20_000 + "deep text") == "deep text"
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_stars_join_the_sets_of_a_mark_over_batches(size):
+    rows = [(1, 5), (1, 5), (1, 6), (1, 6), (1, 9), (2, 6), (3, 5), (3, 5), (4, 5), (4, 9)]
+    table = pa.table({"mark": [m for m, _ in rows], "set_key": [k for _, k in rows]})
+    made = pa.Table.from_batches(list(ngram_join._stars(table.to_batches(size)))).to_pylist()
+    assert {(r["a"], r["b"]) for r in made} == {(5, 6), (5, 9)}
+
+
 def test_byte_ranges_merge():
     assert suffixes.merged([(5, 9), (0, 3), (3, 4), (6, 7)]) == [(0, 4), (5, 9)]
     assert re.fullmatch(r"[0-9a-f]*", "") is not None and suffixes.merged([]) == []
