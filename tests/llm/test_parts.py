@@ -293,6 +293,23 @@ def test_stars_join_the_sets_of_a_mark_over_batches(size):
     assert {(r["a"], r["b"]) for r in made} == {(5, 6), (5, 9)}
 
 
+def test_wide_beams_take_wider_steps_not_more():
+    """Each step orders the whole beam of all queries, so steps that grow with the beam cost its square."""
+    x = np.random.default_rng(5).normal(size=(1500, 24))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    shard, steps = neighbors.Shard.built(x), []
+
+    class Counted:
+        def __getitem__(self, nodes):
+            steps.append(len(nodes))
+            return shard.layers[-1][nodes]
+
+    queries = x[:200] + np.float32(0.02)
+    ids, sims, _ = neighbors.beam_search(x, Counted(), queries, np.zeros((200, 1), np.int64), 512)
+    assert (ids[:, 0] == (queries @ x.T).argmax(axis=1)).all()
+    assert (np.sort(sims, axis=1)[:, ::-1] == sims).all() and len(steps) <= 3 * 32
+
+
 def test_byte_ranges_merge():
     assert suffixes.merged([(5, 9), (0, 3), (3, 4), (6, 7)]) == [(0, 4), (5, 9)]
     assert re.fullmatch(r"[0-9a-f]*", "") is not None and suffixes.merged([]) == []
