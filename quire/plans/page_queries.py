@@ -17,7 +17,7 @@ from quire.sources.uploads import ingest_files, validate_uploads
 @query("ingest_files")
 def _(spark, root):
     """The given table files as uploads; the extension list is widened to take them."""
-    return ingest_files(spark, root, extensions=("parquet",)).drop("content")
+    return ingest_files(spark, root, extensions=("parquet",), content=False)
 
 
 @query(
