@@ -197,26 +197,40 @@ def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(first[other], pa.int64()), pa.array(keys[other], pa.int64())], ["a", "b"])
 
 
+def _ranked(tokens: np.ndarray) -> tuple[np.ndarray, int]:
+    """The place of each token in the order of those of most sets first, ties by value, -1 for a token of one set alone,
+    which is in no overlap; and how many tokens have a place. Numbers of 32 bits, as a trie has fewer tokens."""
+    by = np.argsort(tokens, kind="stable").astype(np.int32)
+    values = tokens[by]
+    first = np.append(True, values[1:] != values[:-1])
+    del values
+    counts = np.diff(np.append(np.flatnonzero(first), len(tokens)))
+    order = np.argsort(-counts, kind="stable")
+    shared = int((counts > 1).sum())
+    rank = np.full(len(counts), -1, np.int32)
+    rank[order[:shared]] = np.arange(shared, dtype=np.int32)
+    out = np.empty(len(tokens), np.int32)
+    out[by] = np.repeat(rank, counts)
+    return out, shared
+
+
 class Trie:
     """Token sets in one order, the tokens of most sets first, as sorted lists with the length that
     each has in common with the one before: an interval of the lists with a depth is a node."""
 
     def __init__(self, sets_: list[np.ndarray]) -> None:
         self.sizes = np.array([len(s) for s in sets_], np.int64)
-        owner = np.repeat(np.arange(len(sets_)), self.sizes)
-        _, which, counts = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
-        rank = np.full(len(counts), -1, np.int64)
-        order = np.argsort(-counts, kind="stable")
-        shared = int((counts > 1).sum())
-        rank[order[:shared]] = np.arange(shared)  # a token of one set alone is in no overlap
-        ranks = rank[which]
-        keep = ranks >= 0
-        owner, ranks = owner[keep], ranks[keep]
-        by = np.lexsort((ranks, owner))
-        owner, ranks = owner[by], ranks[by]
-        lists = np.split(ranks, np.searchsorted(owner, np.arange(1, len(sets_))))
+        ranks, shared = _ranked(np.concatenate(sets_))
+        lists = []
+        for end, size in zip(np.cumsum(self.sizes).tolist(), self.sizes.tolist(), strict=True):
+            own = ranks[end - size : end]
+            lists.append(np.sort(own[own >= 0]))
+        del ranks
         self.order = sorted(range(len(sets_)), key=lambda i: lists[i].astype(">u4").tobytes())
-        self.lists = [lists[i] for i in self.order]
+        self.flat = np.concatenate([lists[i] for i in self.order])
+        ends = np.cumsum([len(lists[i]) for i in self.order])
+        del lists
+        self.lists = np.split(self.flat, ends[:-1])
         self.sizes = self.sizes[self.order]
         self.lengths = np.array([len(x) for x in self.lists], np.int64)
         self.common = np.zeros(len(sets_) + 1, np.int64)
@@ -225,12 +239,12 @@ class Trie:
             m = min(len(a), len(b))
             differ = np.flatnonzero(a[:m] != b[:m])
             self.common[i] = differ[0] if len(differ) else m
-        self.flat = np.concatenate(self.lists)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))
-        holders = np.repeat(np.arange(len(sets_)), self.lengths)
+        holders = np.repeat(np.arange(len(sets_), dtype=np.int32), self.lengths)
         by = np.argsort(self.flat, kind="stable")
         self.holders = holders[by]
-        self.holder_starts = np.searchsorted(self.flat[by], np.arange(shared + 1))
+        del by, holders
+        self.holder_starts = np.concatenate(([0], np.cumsum(np.bincount(self.flat, minlength=shared)))).astype(np.int64)
 
     def groups(self, percent: int) -> np.ndarray:
         """For each set in the given order the first set that its links lead to.
@@ -305,14 +319,27 @@ def _deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in blocks(batches, 2 << 20):
         group, key, count, texts = (batch.column(c).to_pylist() for c in ("group", "set_key", "blocks", "text"))
-        out = []
+        out, size = [], 0
         for i, text in enumerate(texts):
             packed, mine = pack(text.encode()), key[i] % count[i]
-            pairs = [(0, 0)] if count[i] == 1 else [(min(mine, b), max(mine, b)) for b in range(count[i]) if b != mine]
-            out += [(group[i], a, b, key[i], packed) for a, b in pairs]
-        columns = list(zip(*out, strict=True)) if out else [()] * 5
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["group", "a", "b", "set_key", "packed"])
+            pairs = ((0, 0) for _ in "1") if count[i] == 1 else ((min(mine, b), max(mine, b)) for b in range(count[i]) if b != mine)
+            for a, b in pairs:
+                out.append((group[i], a, b, key[i], packed))
+                size += len(packed) + 24
+                if size >= DEALT_BYTES:
+                    yield _dealt(out)
+                    out, size = [], 0
+        yield _dealt(out)
+
+
+#: Bytes of the rows that are dealt at a time: a large group takes many copies of each text.
+DEALT_BYTES = 2 << 20
+
+
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["group", "a", "b", "set_key", "packed"])
 
 
 def _joined(n: int, percent: int) -> Callable:
@@ -321,7 +348,9 @@ def _joined(n: int, percent: int) -> Callable:
     def links(keys: list[int], texts: list[str]) -> tuple[list[int], list[int]]:
         if len(keys) < 2:
             return [], []
-        first = Trie(sets(pa.array(texts, pa.large_string()), n)).groups(percent)
+        whole = pa.record_batch([pa.array(texts, pa.large_string())], ["text"])
+        texts.clear()
+        first = Trie([s for part in blocks([whole], 1 << 20) for s in sets(part.column("text"), n)]).groups(percent)
         moved = np.flatnonzero(first != np.arange(len(first)))
         return [keys[i] for i in moved.tolist()], [keys[i] for i in first[moved].tolist()]
 
